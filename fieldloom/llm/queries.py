@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import table
 from fieldloom.llm.decontamination import contaminated
+from fieldloom.llm.language import learn, predict
 from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.secret_scan import BASE_RULES, find_secrets
 from fieldloom.llm.sharding import hilbert_indices, shard_documents
+from fieldloom.llm.simhash import near_duplicates
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +45,27 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = learn(docs.where(~held_out), "text", "lang", F.col("doc_id"))
+    return predict(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")]).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint of every document, and the smallest doc_id that links of at most 4 bits reach."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
+    "op9_simhash": op9_simhash,
 }
 
 
@@ -87,11 +105,12 @@ def _sharding_sql() -> str:
     table = "i::ubigint AS c0 FROM range(256) r(i)"
     for k in range(8):
         table = f"i, {step.format(c=f'c{k}')} AS c{k + 1} FROM (SELECT i, {table})" if k else f"i, {step.format(c='c0')} AS c1 FROM (SELECT i, {table})"
-    crc = lambda data: f"xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, 1 + length(hex({data})) // 2), lambda i: ('0x' || substr(hex({data}), 2 * i - 1, 2))::ubigint)), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)]), 4294967295::ubigint)::bigint"
+    byte = "('0x' || substr({hx}, 2 * i - 1, 2))::ubigint"
+    crc = lambda hx: f"xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, 1 + length({hx}) // 2), lambda i: {byte.format(hx=hx)})), lambda c, b: xor(c >> 8, crc[(1 + (xor(c, b) & 255))::bigint])), 4294967295::ubigint)::bigint"
     return f"""
     WITH t AS (SELECT list(c8 ORDER BY i) AS crc FROM (SELECT {table})),
-    b AS (SELECT doc_id, encode(coalesce(text, '')) AS data, encode(source) AS s, encode(lang) AS l FROM documents),
-    d AS (SELECT doc_id, octet_length(data) + 1 AS size, {crc("data")} AS text_crc32,
+    b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS data, hex(encode(source)) AS s, hex(encode(lang)) AS l FROM documents),
+    d AS (SELECT doc_id, length(data) // 2 + 1 AS size, {crc("data")} AS text_crc32,
           CASE WHEN s IS NULL THEN 0 ELSE {crc("s")} & 15 END AS x, CASE WHEN l IS NULL THEN 0 ELSE {crc("l")} & 15 END AS y FROM b, t),
     c AS (SELECT *, least(length(ltrim(to_base(size // 64, 2), '0')), 16) AS bin FROM d),
     h AS (SELECT doc_id, size, text_crc32, [{cells}][1 + x * 256 + y * 16 + greatest(bin - 1, 0)]::bigint AS curve, (((coalesce(doc_id, 0) & 2147483647) * 2654435761) & 4294967295) >> 22 AS part, x * 16 + y AS labels FROM c),
@@ -104,8 +123,8 @@ _DECONTAMINATION_SQL = f"""
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
     i AS (SELECT cast(item_id AS varchar) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
     n AS (SELECT DISTINCT item, array_to_string(w[k:k + 9], ' ') AS win, least(len(w), 10) AS size FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
-    a AS (SELECT row, at, size, item FROM (SELECT row, w, unnest(range(1, len(w) - size + 2)) AS at, size FROM d, (SELECT DISTINCT size FROM n) WHERE len(w) >= size) JOIN n USING (size) WHERE array_to_string(w[at:at + size - 1], ' ') = win),
-    h AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(at, at + size)) AS k FROM a) GROUP BY row),
+    a AS (SELECT row, pos, size, item FROM (SELECT row, w, unnest(range(1, len(w) - size + 2)) AS pos, size FROM d, (SELECT DISTINCT size FROM n) WHERE len(w) >= size) JOIN n USING (size) WHERE array_to_string(w[pos:pos + size - 1], ' ') = win),
+    h AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(pos, pos + size)) AS k FROM a) GROUP BY row),
     g AS (SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM a GROUP BY row)
     SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN h USING (row) LEFT JOIN g USING (row)"""
