@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import table
 from fieldloom.llm.decontamination import contaminated
 from fieldloom.llm.language import learn, predict
+from fieldloom.llm.lattice_lm import lattice_scores
 from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.secret_scan import BASE_RULES, find_secrets
 from fieldloom.llm.sharding import hilbert_indices, shard_documents
@@ -59,6 +60,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a subword lattice, and under an add-one word unigram."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    return lattice_scores(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -66,6 +73,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op9_simhash": op9_simhash,
+    "op10_lattice_lm": op10_lattice_lm,
 }
 
 
