@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import table
 from fieldloom.llm.decontamination import contaminated
+from fieldloom.llm.embeddings import near_duplicate_vectors
 from fieldloom.llm.language import learn, predict
 from fieldloom.llm.lattice_lm import lattice_scores
 from fieldloom.llm.packing import pack_documents
@@ -37,6 +38,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all vectors at a cosine of 0.95, and the smallest vec_id that links reach."""
+    found = near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words that lie within windows of 10 words of the benchmark items."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -70,6 +77,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op9_simhash": op9_simhash,
@@ -137,8 +145,20 @@ _DECONTAMINATION_SQL = f"""
     SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN h USING (row) LEFT JOIN g USING (row)"""
 
+_EMBEDDING_SQL = """
+    WITH RECURSIVE e AS MATERIALIZED (
+        SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+          AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, lambda x: x::double * x::double)) > 0),
+    l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+    r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, vec_id <= coalesce(c.b, vec_id) AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
+
 ORACLE_SQL = {
     "op1_secret_scan": _secrets_sql(),
     "op3_sharding": _sharding_sql(),
+    "op4_embedding_dedup": _EMBEDDING_SQL,
     "op6_decontamination": _DECONTAMINATION_SQL,
 }
