@@ -11,10 +11,12 @@ from fieldloom.llm.decontamination import contaminated
 from fieldloom.llm.embeddings import near_duplicate_vectors
 from fieldloom.llm.language import learn, predict
 from fieldloom.llm.lattice_lm import lattice_scores
+from fieldloom.llm.licenses import license_scan
 from fieldloom.llm.packing import pack_documents
 from fieldloom.llm.secret_scan import BASE_RULES, find_secrets
 from fieldloom.llm.sharding import hilbert_indices, shard_documents
 from fieldloom.llm.simhash import near_duplicates
+from fieldloom.llm.substrings import repeated_passages
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +46,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of all documents that lie in passages which other documents repeat."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' words that lie within windows of 10 words of the benchmark items."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,6 +68,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document, own or inherited; a document is a file in its source's directory of a thousand ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    found = license_scan(docs, path)
+    return found.select("doc_id", "path", F.array_join("licenses", ",").alias("licenses"), "n_findings", "origin", "from_dir")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint of every document, and the smallest doc_id that links of at most 4 bits reach."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -78,8 +93,10 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_sharding": op3_sharding,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_lattice_lm": op10_lattice_lm,
 }
