@@ -74,7 +74,8 @@ class Model:
         of = np.full(512, size - 1, np.int64)
         of[used] = np.arange(len(used))
         self.letters = of[1:257]
-        unmet = 256 - (len(used) - 1)
+        times = np.ones(size)  # byte values of a letter: a start letter is never coded, the last one is all unmet values
+        times[0], times[-1] = 0, 256 - (len(used) - 1)
         split = [[of[g >> 9 * (ORDER - k) & 511] for k in range(ORDER + 1)] for g, _ in counts]
         contexts = [np.array([0])]
         for order in range(1, ORDER + 1):
@@ -91,10 +92,7 @@ class Model:
         self.cost = np.zeros((int(first[-1]), size, len(languages)), np.float32)
         for k, (_, n) in enumerate(counts):
             s = split[k]
-            # order -1: 257 values, the byte values that were met one each, the others together in the last letter
-            below = np.full((1, size), 1 / 256)
-            below[0, 0] = 1e-12  # a start letter is never coded
-            below[0, -1] = 1 / 256 if unmet else 1e-12
+            below = np.full((1, size), 1 / 256)  # order -1: each byte value alike
             for order in range(ORDER + 1):
                 code = contexts[order]
                 own = sum((s[ORDER - order + j] * size ** (order - 1 - j) for j in range(order)), np.zeros(len(n), np.int64))
@@ -110,9 +108,10 @@ class Model:
                     assert kept.all()  # a context is met no more often than its suffix
                 else:
                     before = below
+                left = np.where(table > 0, 0, before * times).sum(axis=1, keepdims=True)  # escapes code only what the context has not met
+                escape = np.where(left > 0, distinct, 0)
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    left = np.where(table > 0, 0, before).sum(axis=1, keepdims=True)  # escapes code only what the context has not met
-                    p = np.where(total > 0, np.where(table > 0, table / (total + distinct), distinct / (total + distinct) * before / np.maximum(left, 1e-300)), before)
+                    p = np.where(total > 0, np.where(table > 0, table, escape * before / np.maximum(left, 1e-300)) / (total + escape), before)
                 self.cost[first[order] : first[order + 1], :, k] = -np.log2(np.maximum(p, 1e-30))
                 below = p
         # the longest kept context of every run of ORDER letters

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
@@ -101,10 +102,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
+def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int, open_end: bool = False) -> list[int]:
     """Window ends: from the candidates at[1:] (at[0] is the start, at[-1] the end), neighbours at most `size` apart.
 
-    Minimises the sum over windows of size - length and the penalty of its end.
+    Minimises the sum over windows of size - length and the penalty of its end.  open_end: what follows the last cut, less
+    than size, is left and costs nothing.
     """
     pos, pen = at.tolist(), penalty.tolist()
     cost, before = [pos[0]], [0]  # cost of the best cuts up to here, plus the position
@@ -121,6 +123,8 @@ def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
             queue.pop()
         queue.append(j)
     out, j = [], len(pos) - 1
+    if open_end:
+        j = min(range(bisect_right(pos, pos[-1] - size), len(pos)), key=lambda i: cost[i] - pos[i])
     while j:
         out.append(pos[j])
         j = before[j]
@@ -153,18 +157,15 @@ class _Packer:
         self.held += len(ids) // 4
 
     def pack(self, sentence_end: np.ndarray, last: bool) -> Iterator[tuple]:
-        """Pieces of what is held; unless it is the last time, the last window stays."""
+        """Pieces of what is held; unless it is the last time, less than a window stays."""
         if not self.docs:
             return
         raw = b"".join(d[3] for d in self.docs)
         ids = np.frombuffer(raw, "<u4")
         doc_ends = np.cumsum([len(d[3]) // 4 for d in self.docs])
-        cuts = best_cuts(*candidates(ids, doc_ends, sentence_end, self.penalties, self.step), self.size)
+        cuts = best_cuts(*candidates(ids, doc_ends, sentence_end, self.penalties, self.step), self.size, open_end=not last)
         if last:
-            cuts += self._tail(cuts)
-            cuts = sorted(set(cuts))
-        else:
-            cuts.pop()
+            cuts = sorted({*cuts, *self._tail(cuts)})
         done = cuts[-1] if cuts else 0
         doc_starts = np.concatenate([[0], doc_ends[:-1]])
         bounds = np.union1d(np.concatenate([[0], cuts]), doc_starts[doc_starts < done]).astype(np.int64) if done else np.array([0])
@@ -203,11 +204,11 @@ _OUT = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64
 _ROWS = "id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, penalties: tuple[int, int] = (6, 24), step: int = 32, block_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, penalties: tuple[int, int] = (2, 8), step: int = 16, block_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents in sequences: id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit).
 
-    Each partition packs its own rows in their order, a block of block_tokens at a time; the last window of a block
-    opens the next, so that only a partition's last sequence can be much shorter than size.  There is no shuffle.  step is
+    Each partition packs its own rows in their order, a block of block_tokens at a time; what follows a block's last
+    cut opens the next, so that only a partition's last sequence can be much shorter than size.  There is no shuffle.  step is
     at most size.  Null and empty texts are their end token alone; repeated rows and null ids are packed like others; other
     columns are left aside; an empty table gives no row.  A sequence id is the partition's number times 2**33 plus a count.
     """
