@@ -116,7 +116,7 @@ def tuple_to_dimension(df: DataFrame, value: str, dim: str) -> DataFrame:
 
 
 def from_numpy(spark: SparkSession, array: np.ndarray, dims: tuple[str, ...] = ("i", "j", "k"), name: str = "value", dtype: str | None = None, order: str = "C", offsets: Mapping[str, int] | None = None) -> DataFrame:
-    """A field from an array (or anything with a buffer); order F takes a flat column-major buffer's dimensions reversed.
+    """A field from an array (or anything with a buffer); order F: the array is a column-major buffer seen as row-major, its axes in the opposite order of dims.
 
     Checked: the number of dimensions, a fixed-size number type, and dtype where it is given.
     """
@@ -128,7 +128,7 @@ def from_numpy(spark: SparkSession, array: np.ndarray, dims: tuple[str, ...] = (
     if dtype and np.dtype(dtype) != a.dtype:
         raise ValueError(f"the array holds {a.dtype}, not {dtype}")
     if order == "F":
-        a, dims = a.T, dims[::-1]
+        a = a.T
     import pandas as pd
 
     places = np.indices(a.shape).reshape(a.ndim, -1)
