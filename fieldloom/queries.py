@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from fieldloom.functions import ieee
 from fieldloom.operators import boundary, halo, icosahedral, kernels, mesh, reduction, stencil
 from fieldloom.plans.expr import Index, array, maximum, where
-from fieldloom.plans.grid import Axis, Grid, Halo, make_grid
-from fieldloom.plans.spec import Operator, execute_backward, execute_forward, execute_parallel, in_, inout, multi_pass
+from fieldloom.plans.grid import Axis, Extent, Grid, Halo, make_grid
+from fieldloom.plans.spec import Global, Operator, execute_backward, execute_forward, execute_parallel, in_, inout, multi_pass
 from fieldloom.sources import fields as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -467,3 +467,77 @@ def backward_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = Axis(NK).full()
     step = Operator({full.last_level(): lambda inp, out: {"out": inp()}, full.modify(0, -1): lambda inp, out: {"out": out(k=1) + inp()}}, inp=in_(), out=inout(k=(0, 1)))
     return stencil.run(execute_backward().stage(step, inp="value", out="out"), make_grid(N, N, NK), lat(spark, sf_dir).withColumn("out", F.lit(0.0)))
+
+
+@query("WITH {lat} SELECT i, j, k, 2.5e0 * value + 10 + 11 AS out FROM lat")
+def global_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constants for all points, one of them a callable."""
+    own = Operator(lambda inp, scale, shift, out: {"out": scale() * inp() + shift(10) + shift(11)}, inp=in_(), scale=Global(2.5), shift=Global(lambda x: x), out=inout())
+    df = lat(spark, sf_dir).withColumn("out", F.lit(0.0))
+    return stencil.run_single_stage(own, make_grid(N, N, NK), df, inp="value", out="out").select("i", "j", "k", "out")
+
+
+@query(f"WITH {{lat}} SELECT i, j, k, 2 * ({_at(1, 0)}) AS out, {_at(1, 0)} + value AS other FROM lat a WHERE i BETWEEN 2 AND 7 AND j BETWEEN 2 AND 7")
+def stencil_procedures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A called operator with two results, seen from a neighbour, within a stage whose extent is given."""
+    both = Operator(lambda a, b, x, y: {"x": 2 * a(), "y": a() + b()}, a=in_(), b=in_(), x=inout(), y=inout())
+
+    def body(inp, out, other):
+        got = both(a=inp.at(i=1), b=inp())
+        return {"out": got["x"], "other": got["y"]}
+
+    stage = Operator(body, inp=in_(i=(0, 1)), out=inout(), other=inout())
+    df = lat(spark, sf_dir).withColumns({"out": F.lit(0.0), "other": F.lit(0.0)})
+    ran = stencil.run(execute_parallel().stage(stage, extent=Extent((-1, 1)), inp="value", out="out", other="other"), _box(2), df)
+    return _inner(ran, 2).select("i", "j", "k", "out", "other")
+
+
+@query("WITH {lat} SELECT i, j, k, i + j + value AS xy, j + k + value AS yz FROM lat")
+def struct_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Struct-valued fields, read by name."""
+    df = lat(spark, sf_dir).withColumn("t", F.struct(F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.col("k").cast("double").alias("z"), "value"))
+    own = Operator(lambda inp, xy, yz: {"xy": inp()["x"] + inp()["y"] + inp()["value"], "yz": inp()["y"] + inp()["z"] + inp()["value"]}, inp=in_(), xy=inout(), yz=inout())
+    ran = stencil.run_single_stage(own, make_grid(N, N, NK), df.withColumns({"xy": F.lit(0.0), "yz": F.lit(0.0)}), inp="t", xy="xy", yz="yz")
+    return ran.select("i", "j", "k", "xy", "yz")
+
+
+@query(f"WITH {{lat}} SELECT i, j, k, {' + '.join(f'({q + 1}) * (value + {q} - {_at(1, 0)})' for q in range(4))} AS out FROM lat a WHERE i BETWEEN 1 AND 8 AND j BETWEEN 1 AND 8")
+def extended_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fourth dimension in an array, with weights of its own, beside an offset in the first."""
+    df = lat(spark, sf_dir).withColumns({"t": F.array(*(F.col("value") + q for q in range(4))), "jac": F.array(*(F.lit(q + 1.0) for q in range(4))), "out": F.lit(0.0)})
+    own = Operator(lambda t, v, jac, out: {"out": sum((jac()[q] * (t()[q] - v(i=1)) for q in range(1, 4)), jac()[0] * (t()[0] - v(i=1)))}, t=in_(), v=in_(i=(0, 1)), jac=in_(), out=inout())
+    ran = stencil.run_single_stage(own, _box(1), df, t="t", v="value", jac="jac", out="out")
+    return _inner(ran, 1).select("i", "j", "k", "out")
+
+
+@query("""WITH {lat} SELECT i, j, sum(value * (k + 1)) AS total, max(2 * value) AS most, bool_and(value >= 0) AS all_positive FROM lat GROUP BY i, j""")
+def tuple_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transform, zip, fold and test a column of values as one tuple."""
+    packed = src.dimension_to_tuple(lat(spark, sf_dir), "k", "value")
+    weighed = F.zip_with("value", F.sequence(F.lit(1), F.size("value")), lambda v, w: v * w)
+    return packed.select("i", "j", F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max(F.transform("value", lambda v: 2 * v)).alias("most"), F.forall("value", lambda v: v >= 0).alias("all_positive"))
+
+
+@query(f"WITH {{lat}}, s AS (SELECT i, j, k, value, 3 * value AS twin FROM lat) SELECT i, j, k, value + {_at(0, -1, table='s', column='twin')} AS out FROM s a WHERE i BETWEEN 1 AND 8 AND j BETWEEN 1 AND 8")
+def composite_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields zipped on their points, one of them read at a neighbour."""
+    twin = lat(spark, sf_dir).select("i", "j", "k", (3 * F.col("value")).alias("twin"))
+    df = src.zip_fields(lat(spark, sf_dir), twin).withColumn("out", F.lit(0.0))
+    own = Operator(lambda a, b, out: {"out": a() + b(j=-1)}, a=in_(), b=in_(j=(-1, 0)), out=inout())
+    return _inner(stencil.run_single_stage(own, _box(1), df, a="value", b="twin", out="out"), 1).select("i", "j", "k", "out")
+
+
+@query("""WITH {lat} SELECT i, j, k, CASE WHEN i < 2 AND j BETWEEN 2 AND 7 THEN -1e0 ELSE value END AS value FROM lat""")
+def boundary_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition for the directions that a predicate lets pass."""
+    halos = (_H3, _H3, Halo(0, 0, 0, NK - 1, NK))
+    return boundary.apply_boundary(lat(spark, sf_dir), halos, boundary.value_boundary(-1.0, "value"), predicate=lambda d: d == (-1, 0, 0))
+
+
+@query("WITH {lat} SELECT i, j, k, 8 * value AS value FROM lat")
+def time_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps, each from the state before it."""
+    double = Operator(lambda inp, out: {"out": 2 * inp()}, inp=in_(), out=inout())
+    df = lat(spark, sf_dir).withColumn("next", F.lit(0.0))
+    *_, last = stencil.steps(execute_parallel().stage(double, inp="value", out="next"), make_grid(N, N, NK), df, {"value": "next"}, 3)
+    return last.select("i", "j", "k", "value")
