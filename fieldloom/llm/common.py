@@ -27,20 +27,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The table goes when the driver ends, or earlier by drop_written().
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, place = _file_system(spark, path)
+    fs.deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    fs, place = _file_system(df.sparkSession, df._written_at)
+    fs.delete(place, True)
 
 
 def utf8(text: Column) -> Column:
