@@ -44,7 +44,7 @@ class Reducible:
             yield pd.DataFrame({"value": [out]})
 
         partial = self.field.select(name).mapInPandas(fold, f"value {kind}")
-        return partial.coalesce(1).mapInPandas(fold, f"value {kind}")
+        return partial.repartition(1).mapInPandas(fold, f"value {kind}")
 
 
 def make_reducible(field: DataFrame, column: str, neutral: object) -> Reducible:
