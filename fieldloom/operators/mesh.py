@@ -191,6 +191,28 @@ class StencilExecutor:
         return df
 
 
+class VerticalExecutor:
+    """Column passes that run in order on one table: .assign(out, pass, seed, *inputs), each from the columns before it.
+
+    fields is dense along the axis within the domain; rows outside the domain are left aside.
+    """
+
+    def __init__(self, domain: Domain, fields: DataFrame, keys: list[str], axis: str, kind: str = "double"):
+        self.domain, self.fields, self.keys, self.axis, self.kind = domain, fields, keys, axis, kind
+        self.steps: list[tuple[str, Pass, Column, tuple[str, ...], bool, tuple, tuple]] = []
+
+    def assign(self, out: str, body: Pass, seed: Column, *inputs: str, backward: bool = False, prologue: tuple[Pass, ...] = (), epilogue: tuple[Pass, ...] = ()) -> VerticalExecutor:
+        self.steps.append((out, body, seed, inputs, backward, prologue, epilogue))
+        return self
+
+    def execute(self) -> DataFrame:
+        df = self.fields.where(self.domain.holds())
+        for out, body, seed, inputs, backward, prologue, epilogue in self.steps:
+            ran = column_stage(df, self.keys, self.axis, list(inputs), seed, body, self.kind, out, backward, prologue, epilogue)
+            df = df.drop(out).join(ran.drop(f"{out}_last"), [*self.keys, self.axis])
+        return df
+
+
 def merged_stencil(*parts: tuple[str, Callable[..., Column], tuple[str, ...]]) -> Callable[[DataFrame], DataFrame]:
     """Several outputs for each point, all from the old values."""
     return lambda df: df.withColumns({out: f(*map(F.col, inputs)) for out, f, inputs in parts})

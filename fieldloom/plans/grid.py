@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 DIMS = ("i", "j", "k")
@@ -40,6 +41,23 @@ class Extent:
         return [(getattr(self, d), getattr(other, d)) for d in DIMS]
 
 
+def enclosing_extents(*extents: Extent) -> Extent:
+    out = Extent()
+    for e in extents:
+        out = out.hull(e)
+    return out
+
+
+def extend_offsets(offsets: Mapping[str, int], extent: Extent) -> dict[str, int]:
+    """A box's first point in each dimension, moved to where reads begin."""
+    return {d: o + (getattr(extent, d)[0] if d in DIMS else 0) for d, o in offsets.items()}
+
+
+def extend_sizes(sizes: Mapping[str, int], extent: Extent) -> dict[str, int]:
+    """A box's sizes with all points that are read."""
+    return {d: n + (getattr(extent, d)[1] - getattr(extent, d)[0] if d in DIMS else 0) for d, n in sizes.items()}
+
+
 @dataclass(frozen=True)
 class Level:
     """A place on the axis: before (offset < 0) or after (offset > 0) a splitter; there is no offset 0."""

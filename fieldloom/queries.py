@@ -541,3 +541,11 @@ def time_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lat(spark, sf_dir).withColumn("next", F.lit(0.0))
     *_, last = stencil.steps(execute_parallel().stage(double, inp="value", out="next"), make_grid(N, N, NK), df, {"value": "next"}, 3)
     return last.select("i", "j", "k", "value")
+
+
+@query("WITH {lat}, s AS (SELECT *, sum(value) OVER (PARTITION BY i, j ORDER BY k) AS up FROM lat WHERE k BETWEEN 1 AND 5) SELECT i, j, k, value, up, sum(up) OVER (PARTITION BY i, j ORDER BY k DESC) AS down FROM s")
+def vertical_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forward scan and a backward one over its result, on a domain within the axis."""
+    domain = mesh.cartesian_domain({"i": N, "j": N, "k": 5}, {"k": 1})
+    add = lambda name: mesh.Scan(lambda a, x: a + x[name])
+    return mesh.VerticalExecutor(domain, lat(spark, sf_dir), ["i", "j"], "k").assign("up", add("value"), F.lit(0.0), "value").assign("down", add("up"), F.lit(0.0), "up", backward=True).execute()

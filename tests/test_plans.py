@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from fieldloom.plans.grid import Axis, Extent, Halo, Interval, Level, make_grid
+from fieldloom.plans.grid import Axis, Extent, Halo, Interval, Level, enclosing_extents, extend_offsets, extend_sizes, make_grid
 from fieldloom.plans.spec import Operator, Spec, SpecError, execute_forward, execute_parallel, in_, inout, multi_pass
 
 
@@ -75,3 +75,9 @@ def test_rules():
     overlapping = Operator({axis.full(): lambda a, b: {"b": a()}, axis.interval(0): lambda a, b: {"b": a()}}, a=in_(), b=inout())
     with pytest.raises(SpecError):
         multi_pass(execute_parallel().stage(overlapping, a="x", b="y")).validate(make_grid(2, 2, axis))
+
+
+def test_extent_algebra():
+    e = enclosing_extents(Extent.at(1, 0, 0), Extent.at(-2, 0, 1))
+    assert e == Extent((-2, 1), (0, 0), (0, 1))
+    assert extend_offsets({"i": 5, "k": 0}, e) == {"i": 3, "k": 0} and extend_sizes({"i": 4, "k": 2}, e) == {"i": 7, "k": 3}
