@@ -29,62 +29,84 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> _U(33)
 
 
+def _sums(flags: np.ndarray) -> np.ndarray:
+    """How many are set before each place, the end included."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 def _lone(marks: np.ndarray, reach: int) -> np.ndarray:
     """Marks without another within reach on either side."""
-    sums = np.concatenate([[0], np.cumsum(marks)])
+    sums = _sums(marks)
     at = np.arange(len(marks))
     return marks & (sums[np.minimum(at + reach + 1, len(marks))] - sums[np.maximum(at - reach, 0)] == 1)
 
 
+#: Stands between texts that are looked at together: words without marks, as many as a mark's neighbours count.
+_BETWEEN = b"\n" + b"a " * 6 + b"\n"
+
+
 class Paragraphs:
-    """Arrays of a text's paragraphs of at least SHINGLE words."""
+    """Arrays of the paragraphs of at least SHINGLE words of several texts, each as if it stood alone."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, texts: list[bytes]):
+        data = _BETWEEN.join(texts)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        opens = np.cumsum(sizes + len(_BETWEEN)) - sizes - len(_BETWEEN)
         raw = np.frombuffer(data, np.uint8)
         text = _FOLD[raw]
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (text != 32).view(np.int8), [0]])))
         first, last = edge[::2], edge[1::2]
-        self.n_all = n = len(first)
+        self.begin = np.array([], np.int64)
+        n = len(first)
         if n < SHINGLE:
-            self.first = self.start = np.array([], np.int64)
             return
-        place = np.zeros(len(text), np.int64)  # within the word, counted on through the space after it
+        place = np.zeros(len(text), np.int32)  # within the word, counted on through the space after it
         place[first] = np.diff(first, prepend=0)
-        place = np.arange(len(text)) - np.cumsum(place)
+        place = np.arange(len(text), dtype=np.int32) - np.cumsum(place, dtype=np.int32)
         weighed = np.where(text == 32, 0, text).astype(_U) * _POWERS[place % 1024]
-        self.words = words = _mixed(np.add.reduceat(weighed, first) + (last - first).astype(_U))
-        marks = np.concatenate([[0], np.cumsum((raw == 46) | (raw == 33) | (raw == 63))])
-        lines = np.concatenate([[0], np.cumsum(raw == 10)])
-        ended = marks[first[1:]] > marks[last[:-1]]
+        words = _mixed(np.add.reduceat(weighed, first) + (last - first).astype(_U))
+        doc = np.searchsorted(opens, first, side="right") - 1
+        inside = first < opens[doc] + sizes[doc]
+        joint = inside[1:] & inside[:-1] & (doc[1:] == doc[:-1])
+        marks = _sums((raw == 46) | (raw == 33) | (raw == 63))
+        lines = _sums(raw == 10)
+        ended = (marks[first[1:]] > marks[last[:-1]]) & joint
         second = np.minimum(first + 1, len(raw) - 1)
         capital = ((raw[first] >= 65) & (raw[first] <= 90) | (raw[first] == 0xC3) & (raw[second] >= 0x80) & (raw[second] <= 0x9E))[1:]
         loud = ((raw[last - 1] >= 65) & (raw[last - 1] <= 90))[1:]  # a word in capitals shows no seam
+        seam = np.where(ended, ~capital, capital & ~loud) & joint
+        ended |= (lines[first[1:]] > lines[last[:-1]]) & joint
         pair = _mixed(words[:-1] * _U(3) + words[1:])
-        seam = np.where(ended, ~capital, capital & ~loud)
-        ended |= lines[first[1:]] > lines[last[:-1]]
         ended, seam = _lone(ended, 1), _lone(seam, 3)  # where marks stand after every word they tell nothing
-        cut = seam | ended & (words[:-1] % _U(3) == 0) | (pair % _U(64) == 0)
+        cut = seam | ended & (words[:-1] % _U(3) == 0) | (pair % _U(64) == 0) | ~joint
         begin = np.concatenate([[0], np.flatnonzero(cut) + 1])
         end = np.append(begin[1:], n)
-        keep = end - begin >= SHINGLE
-        self.begin, self.end = begin[keep], end[keep]  # words
-        self.start, self.stop = first[self.begin], last[self.end - 1]  # bytes
-        self.first = self.begin
-        if not len(self.begin):
+        keep = (end - begin >= SHINGLE) & inside[begin]
+        begin_kept, end_kept = begin[keep], end[keep]
+        if not len(begin_kept):
             return
-        owner = np.repeat(np.arange(len(begin)), end - begin)
+        self.doc = doc[begin_kept]
+        base = np.searchsorted(first, opens[self.doc])  # a text's first word
+        self.begin, self.end = begin_kept - base, end_kept - base  # words of the text
+        start, stop = first[begin_kept], last[end_kept - 1]
+        chars = _sums((raw & 0xC0) != 0x80)
+        base = chars[opens[self.doc]]
+        self.start, self.stop = chars[start] - base, chars[stop] - base  # code points
+        owner = np.repeat(np.where(keep, np.arange(len(begin)), -1 - np.arange(len(begin))), end - begin)
         shingle = np.zeros(n - SHINGLE + 1, _U)
         for k in range(SHINGLE):
             shingle += words[k : n - SHINGLE + 1 + k] * _POWERS[k + 1]
-        shingle = _mixed(shingle)
-        self.shingles = shingle[owner[: n - SHINGLE + 1] == owner[SHINGLE - 1 :]]  # within a paragraph
-        sizes = self.end - self.begin - SHINGLE + 1
-        self.at = np.cumsum(sizes) - sizes
-        rank = np.arange(len(self.shingles)) - np.repeat(self.at, sizes)
-        self.hash = _mixed(np.add.reduceat(self.shingles * _POWERS[rank % 1024], self.at) + sizes.astype(_U))
+        own = owner[: n - SHINGLE + 1]
+        self.shingles = _mixed(shingle[(own == owner[SHINGLE - 1 :]) & (own >= 0)])  # within a kept paragraph
+        counts = end_kept - begin_kept - SHINGLE + 1
+        self.at = np.cumsum(counts) - counts
+        rank = np.arange(len(self.shingles)) - np.repeat(self.at, counts)
+        self.hash = _mixed(np.add.reduceat(self.shingles * _POWERS[rank % 1024], self.at) + counts.astype(_U))
 
     def __len__(self) -> int:
-        return len(self.first)
+        return len(self.begin)
 
     def band_keys(self, bands: int, rows: int) -> np.ndarray:
         """A row of keys for each paragraph."""
@@ -106,12 +128,18 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _chars(data: bytes, at: np.ndarray) -> np.ndarray:
-    """Code points before byte places."""
-    if data.isascii():
-        return at
-    raw = np.frombuffer(data, np.uint8)
-    return np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]
+def _groups(column: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts) of runs of texts with at most about `most` bytes."""
+    texts, held, low = [], 0, 0
+    for n, data in enumerate(column):
+        data = data.as_py()
+        if texts and held + len(data) > most:
+            yield low, texts
+            texts, held, low = [], 0, n
+        texts.append(data)
+        held += len(data)
+    if texts:
+        yield low, texts
 
 
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5, rows: int = 2, least_words: int = 32, gap: int = 8, filter_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,23 +162,19 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for row, doc, data in zip(*(batch.column(k) for k in range(3)), strict=True):
-                data = data.as_py()
-                p = Paragraphs(data)
+            for low, texts in _groups(batch.column(2)):
+                p = Paragraphs(texts)
                 if len(p):
-                    ends = _chars(data, np.concatenate([p.start, p.stop]))
-                    parts.append((pa.array([row.as_py()] * len(p), pa.int64()), pa.array([doc.as_py()] * len(p), pa.int64()), pa.array(p.begin.astype(np.int32)), pa.array(p.end.astype(np.int32)), pa.array(ends[: len(p)]), pa.array(ends[len(p) :]), _signed(p.hash)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], schema=unit)
+                    own = batch.select(["row", "id"]).slice(low, len(texts)).take(pa.array(p.doc))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(p.begin.astype(np.int32)), pa.array(p.end.astype(np.int32)), pa.array(p.start.astype(np.int64)), pa.array(p.stop.astype(np.int64)), _signed(p.hash)], schema=unit)
 
     key = pa.schema([("key", pa.int64()), ("h", pa.int64())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, hashes = [], []
-            for data in batch.column(0):
-                p = Paragraphs(data.as_py())
+            for _, texts in _groups(batch.column(0)):
+                p = Paragraphs(texts)
                 if len(p):
                     parts.append(p.band_keys(bands, rows))
                     hashes.append(p.hash)
@@ -178,8 +202,8 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
         bits = sent.value
         for batch in batches:
             found: dict[int, bytes] = {}
-            for data in batch.column(0):
-                p = Paragraphs(data.as_py())
+            for _, texts in _groups(batch.column(0)):
+                p = Paragraphs(texts)
                 if len(p):
                     low = p.hash & _U((1 << filter_bits) - 1)
                     for k in np.flatnonzero(bits[(low >> _U(3)).astype(np.int64)] >> (low & _U(7)).astype(np.uint8) & 1):
