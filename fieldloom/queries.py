@@ -446,7 +446,7 @@ def ico_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH {lat}, x AS (SELECT i, j, k, value - 600 AS a, (k - 3)::double AS b FROM lat)
     SELECT i, j, k, CASE WHEN b = 0 THEN CASE WHEN a = 0 THEN 'NaN'::double WHEN a > 0 THEN 'Infinity'::double ELSE '-Infinity'::double END ELSE a / b END AS quotient,
-    CASE WHEN b = 0 THEN 'NaN'::double ELSE a - b * trunc(a / b) END AS remainder, trunc(a / 7) AS cut, ceil(a / 7) AS up, floor(a / 7) AS down, greatest(a, b) AS most, least(a, b) AS least, b * (b * b) AS cube FROM x""")
+    CASE WHEN b = 0 THEN 'NaN'::double ELSE a % b END AS remainder, trunc(a / 7) AS cut, ceil(a / 7) AS up, floor(a / 7) AS down, greatest(a, b) AS most, least(a, b) AS least, b * (b * b) AS cube FROM x""")
 def ieee_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lat(spark, sf_dir).select("i", "j", "k", (F.col("value") - 600).alias("a"), (F.col("k") - 3).cast("double").alias("b"))
     a, b = F.col("a"), F.col("b")
