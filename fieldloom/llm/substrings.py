@@ -2,6 +2,9 @@
 
 Paragraphs are cut by content, so that a passage set into another text is cut alike: where a capital or a small letter
 shows a seam, after a third of the sentences and lines, and after a 64th of the words, both picked by their own hashes.
+What cuts miss is found exactly: every run of 50 words that stands in more than one row, wherever it begins.  Winnowing
+(the least hash of 16 words among every 35 in a row) picks the same places in all its copies; around picks that rows share,
+all windows of 50 words are counted.
 """
 
 from __future__ import annotations
@@ -47,28 +50,73 @@ def _lone(marks: np.ndarray, reach: int) -> np.ndarray:
 _BETWEEN = b"\n" + b"a " * 6 + b"\n"
 
 
+def _worded(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(bytes, where texts begin, where words begin and end, their hashes, their texts, whether they lie in one) of joined texts."""
+    data = _BETWEEN.join(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    opens = np.cumsum(sizes + len(_BETWEEN)) - sizes - len(_BETWEEN)
+    raw = np.frombuffer(data, np.uint8)
+    text = _FOLD[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (text != 32).view(np.int8), [0]])))
+    first, last = edge[::2], edge[1::2]
+    if not len(first):
+        return raw, opens, first, last, np.array([], _U), first, np.array([], bool)
+    place = np.zeros(len(text), np.int32)  # within the word, counted on through the space after it
+    place[first] = np.diff(first, prepend=0)
+    place = np.arange(len(text), dtype=np.int32) - np.cumsum(place, dtype=np.int32)
+    weighed = np.where(text == 32, 0, text).astype(_U) * _POWERS[place % 1024]
+    words = _mixed(np.add.reduceat(weighed, first) + (last - first).astype(_U))
+    doc = np.searchsorted(opens, first, side="right") - 1
+    return raw, opens, first, last, words, doc, first < opens[doc] + sizes[doc]
+
+
+#: Words of a window and of a pick; a window holds REACH picks' places.
+WINDOW, PICK = 50, 16
+REACH = WINDOW - PICK + 1
+
+
+def _extreme(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
+    """The least or largest of every `size` numbers in a row."""
+    have, out = 1, x
+    while have * 2 <= size:
+        out, have = best(out[:-have], out[have:]), have * 2
+    return best(out[: len(out) - (size - have)], out[size - have :]) if size > have else out
+
+
+class Windows:
+    """Every WINDOW words of several texts: hash, the pick that its words decide, text, first word and places in code points."""
+
+    def __init__(self, texts: list[bytes]):
+        raw, opens, first, last, words, doc, inside = _worded(texts)
+        n = len(first) - WINDOW + 1
+        self.hash = np.array([], _U)
+        if n < 1:
+            return
+        two = h = _mixed(words[:-1] * _U(3) + words[1:])
+        for k in (2, 4, 8):
+            h = _mixed(h[:-k] * _U(3) + h[k:])
+        own = (doc[: n + REACH - 1] == doc[PICK - 1 :]) & inside[PICK - 1 :]
+        least = _extreme(np.where(own, h, ~_U(0)), REACH, np.minimum)
+        keep = (doc[:n] == doc[WINDOW - 1 :]) & inside[WINDOW - 1 :]
+        self.pick = least[keep]
+        self.hash = _mixed(h[:n] + h[16 : n + 16] * _POWERS[1] + h[32 : n + 32] * _POWERS[2] + two[48 : n + 48] * _POWERS[3])[keep]
+        at = np.flatnonzero(keep)
+        self.doc = doc[at]
+        self.begin = at - np.searchsorted(first, opens[self.doc])
+        chars = _sums((raw & 0xC0) != 0x80)
+        base = chars[opens[self.doc]]
+        self.start, self.stop = chars[first[at]] - base, chars[last[at + WINDOW - 1]] - base
+
+
 class Paragraphs:
     """Arrays of the paragraphs of at least SHINGLE words of several texts, each as if it stood alone."""
 
     def __init__(self, texts: list[bytes]):
-        data = _BETWEEN.join(texts)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        opens = np.cumsum(sizes + len(_BETWEEN)) - sizes - len(_BETWEEN)
-        raw = np.frombuffer(data, np.uint8)
-        text = _FOLD[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (text != 32).view(np.int8), [0]])))
-        first, last = edge[::2], edge[1::2]
         self.begin = np.array([], np.int64)
+        raw, opens, first, last, words, doc, inside = _worded(texts)
         n = len(first)
         if n < SHINGLE:
             return
-        place = np.zeros(len(text), np.int32)  # within the word, counted on through the space after it
-        place[first] = np.diff(first, prepend=0)
-        place = np.arange(len(text), dtype=np.int32) - np.cumsum(place, dtype=np.int32)
-        weighed = np.where(text == 32, 0, text).astype(_U) * _POWERS[place % 1024]
-        words = _mixed(np.add.reduceat(weighed, first) + (last - first).astype(_U))
-        doc = np.searchsorted(opens, first, side="right") - 1
-        inside = first < opens[doc] + sizes[doc]
         joint = inside[1:] & inside[:-1] & (doc[1:] == doc[:-1])
         marks = _sums((raw == 46) | (raw == 33) | (raw == 63))
         lines = _sums(raw == 10)
@@ -147,8 +195,10 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
 
     A paragraph (of 5 words or more) is repeated if its component, over links with a Jaccard similarity of 5-word shingles of
     at least `similarity`, stands in more than one row of docs.  Runs of repeated paragraphs with gaps of at most `gap` words
-    are reported from least_words words on: below 50, for what the cuts at both ends of a passage of over 50 words may lose.  cluster is the component's
-    smallest paragraph hash; all its paragraphs but the first (by id, row, place) are removed.  Pairs at the threshold meet in a
+    are reported from least_words words on.  cluster is the component's smallest paragraph hash; all its paragraphs but the
+    first (by id, row, place) are removed.  Besides, every run of WINDOW (50) words or more that stands word by word in more than
+    one row of docs is reported to its exact ends, wherever it begins, also where paragraphs tell of the same words (so rows of
+    the two kinds may overlap, and what goes is the union of the removed ones); its cluster joins the runs that share windows.  Pairs at the threshold meet in a
     band with probability 1 - (1 - similarity**rows)**bands (0.994); what meets is decided on the whole shingle sets.
 
     Equal paragraphs are one class by an aggregate with partial counts, and each batch sends a class's keys once, so copies do
@@ -234,10 +284,87 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
     whole = Window.partitionBy("row", "run")
     found = found.withColumn("new", F.when(F.col("begin") - F.lag("stop_word").over(order) <= gap, 0).otherwise(1))
     found = found.withColumn("run", F.sum("new").over(order)).withColumn("run_words", F.max("stop_word").over(whole) - F.min("begin").over(whole))
-    return found.where(F.col("run_words") >= least_words).select(
-        F.col("id").alias(id_col), "start", "end", (F.col("stop_word") - F.col("begin")).cast("long").alias("n_words"), F.col("run_words").cast("long").alias("run_words"),
+    names = ["id", "start", "end", "n_words", "run_words", "cluster", "n_paragraphs", "removed"]
+    found = found.where(F.col("run_words") >= least_words).select(
+        "id", "start", "end", (F.col("stop_word") - F.col("begin")).cast("long").alias("n_words"), F.col("run_words").cast("long").alias("run_words"),
         "cluster", "n_paragraphs", (~place.eqNullSafe(F.col("first"))).alias("removed"),
     )
+    return found.union(_exact_runs(numbered, filter_bits).select(*names)).withColumnRenamed("id", id_col)
+
+
+def _exact_runs(numbered: DataFrame, filter_bits: int) -> DataFrame:
+    """(id, start, end, n_words, run_words, cluster, n_paragraphs, removed) of all runs of WINDOW words that several rows have.
+
+    A run is cut where its words begin or cease to be the first copy (by id, row, place) of some window; those stay.
+    """
+    pick = pa.schema([("h", pa.int64()), ("row", pa.int64())])
+
+    def picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, texts in _groups(batch.column(2)):
+                w = Windows(texts)
+                if len(w.hash):
+                    new = np.concatenate([[True], (w.pick[1:] != w.pick[:-1]) | (w.doc[1:] != w.doc[:-1])])
+                    yield pa.RecordBatch.from_arrays([_signed(w.pick[new]), batch.column(0).take(pa.array(w.doc[new] + low))], schema=pick)
+
+    met = numbered.mapInArrow(picks, "h long, row long").groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
+    sent = numbered.sparkSession.sparkContext.broadcast(_bit_field(met.select("h"), filter_bits))
+    window = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("begin", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("pick", pa.int64())])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            for low, texts in _groups(batch.column(2)):
+                w = Windows(texts)
+                if not len(w.hash):
+                    continue
+                at = w.pick & _U((1 << filter_bits) - 1)
+                k = np.flatnonzero(bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1)
+                if len(k):
+                    own = batch.select(["row", "id"]).take(pa.array(w.doc[k] + low))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(w.begin[k].astype(np.int32)), pa.array(w.start[k].astype(np.int64)), pa.array(w.stop[k].astype(np.int64)), _signed(w.hash[k]), _signed(w.pick[k])], schema=window)
+
+    table = written(numbered.mapInArrow(windows, "row long, id long, begin int, start long, end long, h long, pick long"), "windows")
+    place = F.struct("id", "row", "begin")
+    classes = table.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("first")).where("low < high").select("h", "first")
+    hit = table.join(classes, "h").select("row", "id", F.struct("begin", "start", "end", "pick", place.eqNullSafe(F.col("first")).alias("stays")).alias("w"))
+    piece = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("run_words", pa.int64()), ("removed", pa.bool_()), ("pick", pa.int64()), ("picks", pa.list_(pa.int64()))])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for own, ws in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                begin, start, end, picks, stays = (ws.values.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                bounds = [0, *(np.flatnonzero(np.diff(begin) >= WINDOW) + 1), len(begin)]
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    among = np.unique(picks[a:b])
+                    words = int(begin[b - 1]) + WINDOW - int(begin[a])
+                    for k, (x, y, p, q, removed) in enumerate(_cut(begin[a:b], start[a:b], end[a:b], stays[a:b])):
+                        rows.append((own, p, q, y - x, words, removed, int(among[0]), [] if k else among.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], piece.field(k).type) for k in range(8)], schema=piece)
+
+    cut = hit.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list("w")).alias("w")).select("id", "w")
+    cut = written(cut.mapInArrow(pieces, "id long, start long, end long, n_words long, run_words long, removed boolean, pick long, picks array<long>"), "pieces")
+    components = connected_components(cut.select(F.col("pick").alias("u"), F.explode("picks").alias("v")))
+    cut = cut.join(components.withColumnRenamed("node", "pick"), "pick", "left").withColumn("cluster", F.coalesce("component", "pick"))
+    return cut.join(cut.groupBy("cluster").agg(F.count("*").alias("n_paragraphs")), "cluster")
+
+
+def _cut(begin: np.ndarray, start: np.ndarray, end: np.ndarray, stays: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
+    """(first word, end word, start, end, removed) of the pieces of a run of windows."""
+    out = []
+    word, char = int(begin[0]), int(start[0])
+    kept = np.flatnonzero(stays)
+    firsts = kept[np.concatenate([[True], np.diff(begin[kept]) > WINDOW])] if len(kept) else kept
+    lasts = kept[np.concatenate([np.diff(begin[kept]) > WINDOW, [True]])] if len(kept) else kept
+    for a, b in zip(firsts, lasts, strict=True):
+        if begin[a] > word:
+            out.append((word, int(begin[a]), char, int(start[a]), True))
+        word, char = int(begin[b]) + WINDOW, int(end[b])
+        out.append((int(begin[a]), word, int(start[a]), char, False))
+    if begin[-1] + WINDOW > word:
+        out.append((word, int(begin[-1]) + WINDOW, char, int(end[-1]), True))
+    return out
 
 
 def _bit_field(hashes: DataFrame, bits: int) -> np.ndarray:

@@ -268,6 +268,35 @@ def test_passages_are_found_and_clean_texts_are_not(spark):
         assert r.n_words == len(re.findall(r"\w+", texts[r.doc_id][r.start : r.end]))
 
 
+def test_passages_are_found_wherever_they_begin(spark):
+    """51 to 60 words at sentence ends, amid a sentence and without any mark or capital; every one, to its exact ends."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    words = lambda n: [word() for _ in range(n)]
+    sentence = lambda n: [*(w := words(n))[:-1], w[-1] + "."]
+    rows, passages = [], []
+    for kind in range(3):
+        for size in range(51, 61):
+            passage = words(size) if kind else [w for n in (17, 17, size - 34) for w in sentence(n)]
+            passages.append(" ".join(passage))
+            for _ in range(2):
+                host = words(200) if kind == 2 else [w for _ in range(14) for w in sentence(14)]
+                at = rnd.randint(1, 195) if kind else 14 * rnd.randint(1, 13)
+                rows.append((len(rows), " ".join([*host[:at], *passage, *host[at:]])))
+    rows.append((len(rows), " ".join(words(300))))
+    texts = dict(rows)
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = collections.defaultdict(list)
+    for r in got:
+        spans[r.doc_id].append((r.start, r.end, r.n_words, r.removed))
+    for k, passage in enumerate(passages):
+        for i, removed in ((2 * k, False), (2 * k + 1, True)):
+            at = texts[i].index(passage)
+            end = at + len(passage.rstrip("."))
+            assert (at, end, len(passage.split()), removed) in spans[i]
+    assert len(rows) - 1 not in spans
+
+
 # --- 6
 
 
