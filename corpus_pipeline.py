@@ -21,10 +21,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return predict(docs, model, keep=columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that every scan numbers them alike."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each near-duplicate group the document with the smallest doc_id; of rows that share it, one."""
-    found = near_duplicates(docs).where(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keep of each near-duplicate group one row: that with the smallest doc_id, null ones last."""
+    rows = _numbered(docs)
+    found = near_duplicates(rows, id_col="__row").select("__row", "component").join(rows.select("__row", "doc_id"), "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    kept = found.groupBy("component").agg(first.alias("first")).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

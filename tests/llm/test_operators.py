@@ -492,6 +492,24 @@ def test_pipeline(spark, small):
     assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
 
 
+PLAIN = "doc_id long, text string, lang string, n_chars long"
+
+
+def _texts(rows):
+    return sorted(r.text for r in rows.collect())
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(6)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    df = spark.createDataFrame([(None, a, "en", 1), (None, b, "en", 1), (1, c, "en", 1), (1, d, "en", 1), (0, d, "en", 1), (None, d, "en", 1), (None, e, "en", 1), (None, e, "en", 1)], PLAIN)
+    got = pipeline.simhash_dedup(spark, df, "")
+    assert _texts(got) == sorted([a, b, c, d, e]) and [r.doc_id for r in got.collect() if r.text == d] == [0]
+
+
 def test_registered(spark):
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
