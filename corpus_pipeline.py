@@ -14,11 +14,24 @@ from fieldloom.llm.secret_scan import redact_secrets
 from fieldloom.llm.simhash import near_duplicates
 
 
+#: A text is in no learned language beyond so many times the labelled rows' 99th hundredth of bits a byte, and so many bits for its beginning.
+FAR, START_BITS = 1.5, 64
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which the classifier, learned from the labelled ones, finds no language: null or letterless texts."""
+    """Drop null and letterless texts, and those whose code under every language, learned from the labelled ones, is too long.
+
+    Where no language can be learned, every text with a letter stays.
+    """
     model = learn(docs, "text", "lang", F.col("doc_id"))
+    if not model.languages:
+        return docs.where(F.col("text").rlike("\\p{L}"))
     columns = [F.col(c) for c in docs.columns]
-    return predict(docs, model, keep=columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    found = written(predict(docs, model, keep=columns), "predicted").where(F.col("lang_pred") != UNKNOWN)
+    usual = found.where(F.col("lang").isNotNull()).agg(F.percentile_approx("bits_per_byte", 0.99)).first()[0]
+    if usual is not None:
+        found = found.where(F.col("bits_per_byte") <= FAR * usual + START_BITS / F.octet_length("text"))
+    return found.select(*docs.columns)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:

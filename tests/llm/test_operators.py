@@ -510,6 +510,19 @@ def test_stages_decide_by_row(spark, tmp_path):
     assert _texts(got) == sorted([a, b, c, d, e]) and [r.doc_id for r in got.collect() if r.text == d] == [0]
 
 
+def test_language_stage_decides_by_model(spark, docs):
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(8)
+    junk = "".join(rnd.choice("qxzvkjwQXZVKJW") for _ in range(300))
+    foreign = "Это предложение написано на языке, который не был изучен. " * 4
+    rows = [(i, t, lang, len(t)) for i, t, lang in docs] + [(-1, junk, None, 1), (-2, foreign, None, 1), (-3, "123 ...", None, 1)]
+    got = {r.doc_id for r in pipeline.language_id(spark, spark.createDataFrame(rows, PLAIN), "").collect()}
+    assert got == {i for i, _, _ in docs}
+    unlabelled = spark.createDataFrame([(i, t, None, n) for i, t, _, n in rows], PLAIN)
+    assert {r.doc_id for r in pipeline.language_id(spark, unlabelled, "").collect()} == {i for i, _, _ in docs} | {-1, -2}
+
+
 def test_registered(spark):
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
