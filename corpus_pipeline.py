@@ -49,9 +49,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of 10 words of a benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Drop the rows that hold a window of 10 words of a benchmark item, whatever their ids and the item's."""
+    rows = _numbered(docs)
+    items = table(spark, sf_dir, "benchmark").withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
+    found = contaminated(rows, items, id_col="__row").where("n_hit > 0").select("__row")
+    return rows.join(found, "__row", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -523,6 +523,17 @@ def test_language_stage_decides_by_model(spark, docs):
     assert {r.doc_id for r in pipeline.language_id(spark, unlabelled, "").collect()} == {i for i, _, _ in docs} | {-1, -2}
 
 
+def test_decontamination_decides_by_row(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(7)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    leak, other, clean = text(), text(), text()
+    spark.createDataFrame([("x", leak), (None, other)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(None, leak, "en", 1), (1, leak, "en", 1), (1, clean, "en", 1), (2, other, "en", 1)], PLAIN)
+    assert _texts(pipeline.decontamination(spark, df, str(tmp_path))) == [clean]
+
+
 def test_registered(spark):
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
