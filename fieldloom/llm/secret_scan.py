@@ -22,12 +22,13 @@ from fieldloom.llm.common import utf8
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: what a match takes; keep: what it must be in full to be reported (all matches, if None)."""
+    """pattern: what a match takes; keep: what it must be in full to be reported (all matches, if None); tail: what more it takes, or nothing."""
 
     kind: str
     pattern: str
     keep: str | None = None
     fold: bool = False
+    tail: str = ""
 
 
 _VALUE = "[A-Za-z0-9+/_.=-]"
@@ -44,6 +45,8 @@ RULES = (
     Rule("webtoken", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+"),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
+#: What is redacted: a private key to its END line or, where that is missing, over its lines of base64.
+REDACTED = (*RULES[:-1], Rule("pem", RULES[-1].pattern, tail="((([^-]|-[^-])*-----END [A-Z ]*PRIVATE KEY-----)|([\\x09\\x0A\\x0D\\x20]*[A-Za-z0-9+/=]{16,})*)"))
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
 
@@ -51,7 +54,7 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         self.starts = compile_rules([(r.pattern, r.fold) for r in rules], reverse=True)
-        self.each = [compile_rules([(r.pattern, r.fold)], anchored=True) for r in rules]
+        self.each = [compile_rules([(r.pattern + r.tail, r.fold)], anchored=True) for r in rules]
         self.keep: list[Dfa | None] = [compile_rules([(r.keep, r.fold)], anchored=True) if r.keep else None for r in rules]
 
     def marks(self, data: bytes) -> list[tuple[int, int, int]]:
@@ -130,7 +133,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     return ids.mapInArrow(scan, "id long, spans array<struct<kind:string,start:long,end:long>>").withColumnRenamed("id", id_col)
 
 
-def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """docs with every found span replaced by [kind], where spans that overlap count as one, of the first's kind.
 
     Keeps all rows, columns and their order; the column length_col, where there is one, follows the new text.  Texts

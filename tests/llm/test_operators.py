@@ -534,6 +534,16 @@ def test_decontamination_decides_by_row(spark, tmp_path):
     assert _texts(pipeline.decontamination(spark, df, str(tmp_path))) == [clean]
 
 
+def test_private_keys_are_redacted_whole(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq+/x" * 3 for _ in range(3)) + "\nab=="
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    locked = key.replace("KEY-----\nM", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\nM", 1)
+    cut = key[: key.index("\nab==")]
+    rows = [(1, f"a {key} b {key} c", 1), (2, f"a {locked} b", 1), (3, f"a {cut} then plain words", 1), (4, "-----BEGIN PRIVATE KEY----- is a line", 1)]
+    got = {r.doc_id: r.text for r in redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    assert got == {1: "a [pem] b [pem] c", 2: "a [pem] b", 3: "a [pem] then plain words", 4: "[pem] is a line"}
+
+
 def test_registered(spark):
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
