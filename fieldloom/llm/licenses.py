@@ -42,8 +42,6 @@ TEMPLATES: dict[str, list[str]] = {
 }
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _PLACES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: A passage can only reach a cosine by these: words that some template has and few texts do.
-_ANCHORS = re.compile(rb"licen[cs]e|spdx|copyright|permission is hereby|redistribution and use", re.I)
 
 
 def words(data: bytes) -> list[bytes]:
@@ -80,6 +78,27 @@ class Matcher:
             norm = math.sqrt(sum(x * x for x in v.values()))
             for term, x in v.items():
                 self.index.setdefault(term, []).append((k, x / norm))
+        self.own = own
+        self.frequencies = frequencies
+        self._anchors: dict[float, dict[bytes, set[int]]] = {}
+
+    def anchors(self, least: float) -> dict[bytes, set[int]]:
+        """The sizes of templates by word, so that a passage of that size without any of its words stays under `least`.
+
+        A cosine is at most the root of the shared terms' part of the template; a template's rarest words are taken until
+        what has none of them is too little.
+        """
+        if least not in self._anchors:
+            out: dict[bytes, set[int]] = {}
+            for k, ws in enumerate(self.own):
+                rest = {term: y * y for term, of in self.index.items() for j, y in of if j == k}
+                for w in sorted(set(ws), key=lambda w: (self.frequencies.get(w, 0), w)):
+                    if sum(rest.values()) < least * least - 1e-9:
+                        break
+                    out.setdefault(w, set()).add(self.sizes[k])
+                    rest = {term: y for term, y in rest.items() if w != term and not (isinstance(term, tuple) and w in term)}
+            self._anchors[least] = out
+        return self._anchors[least]
 
     def vector(self, ws: list[bytes]) -> dict[object, float]:
         idf = self.idf
@@ -103,19 +122,16 @@ class Matcher:
 
     def findings(self, data: bytes, least: float) -> list[tuple[int, int, str, float]]:
         """(start byte, end byte, name, cosine) of passages that do not overlap, best first where they would."""
-        places = [m.span() for m in _PLACES.finditer(data)] if _ANCHORS.search(data) else []
-        if not places:
+        anchors, ws = self.anchors(least), words(data)
+        at = [(n, w) for n, w in enumerate(ws) if w in anchors]
+        if not at:
             return []
-        starts = np.array([a for a, _ in places])
+        places = [m.span() for m in _PLACES.finditer(data)]
         found = []
-        for anchor in _ANCHORS.finditer(data):
-            at = int(np.searchsorted(starts, anchor.start(), side="right")) - 1
-            for size in sorted(set(self.sizes)):
-                for low in range(max(0, at - size + 1), min(at, len(places) - size) + 1):
-                    a, b = places[low][0], places[low + size - 1][1]
-                    score, k = self.best(words(data[a:b]))
-                    if score >= least and self.sizes[k] == size:
-                        found.append((-score, a, b, self.names[k]))
+        for low, size in {(low, size) for n, w in at for size in anchors[w] for low in range(max(0, n - size + 1), min(n, len(ws) - size) + 1)}:
+            score, k = self.best(ws[low : low + size])
+            if score >= least and self.sizes[k] == size:
+                found.append((-score, places[low][0], places[low + size - 1][1], self.names[k]))
         out: list[tuple[int, int, str, float]] = []
         for score, a, b, name in sorted(set(found)):
             if all(b <= x or y <= a for x, y, _, _ in out):
@@ -129,8 +145,7 @@ _FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.s
 def find_licenses(docs: DataFrame, keep: list[Column], templates: dict[str, list[str]] | None = None, least: float = 0.8, text_col: str = "text") -> DataFrame:
     """The kept columns with findings array<struct<start,end,license,cosine>> (UTF-8 bytes) and whole, if one fills the text.
 
-    Inverse document frequencies come from all texts.  A passage is as many words as its template, around a word that
-    licences have; it is found where its cosine is at least `least`.  Null and empty texts have no finding; an empty table gives
+    Inverse document frequencies come from all texts.  A passage is as many words as its template; it is found where its cosine is at least `least`.  Null and empty texts have no finding; an empty table gives
     no row; repeated rows stay.
     """
     templates = templates or TEMPLATES

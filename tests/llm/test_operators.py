@@ -366,6 +366,16 @@ def test_licenses_are_inherited(spark):
     assert got[5] == (["GPL-3.0"], "own", None) and got[6] == (["GPL-3.0"], "inherited", "a/b/d") and got[7] == ([], "none", None)
 
 
+def test_wrapped_and_edited_notices_are_found(spark):
+    rows = [
+        (1, "# Permission is\n# hereby granted, free of charge, to any person\n# obtaining a copy of this software and\n# associated documentation files\n x = 1"),
+        (2, " * Redistribution\n * and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n int x;"),
+        (3, "Permission hereby is granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ] + [(n, "some plain words of another text") for n in range(10, 30)]
+    got = {r.doc_id: r.licenses for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), F.concat(F.col("doc_id").cast("string"), F.lit("/f"))).collect()}
+    assert got[1] == ["MIT"] and got[2] == ["BSD-3-Clause"] and got[3] == ["MIT"] and not any(got[n] for n in range(10, 30))
+
+
 # --- 9
 
 
