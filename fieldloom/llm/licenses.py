@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import utf8, written
+from fieldloom.llm.license_texts import TEXTS
 
 #: One-line notices and the openings of licence files, by SPDX name.
 TEMPLATES: dict[str, list[str]] = {
@@ -120,6 +121,15 @@ class Matcher:
         k = min(scores, key=lambda k: (-scores[k], k))
         return scores[k] / norm, k
 
+    def file(self, data: bytes, least: float) -> list[tuple[int, int, str, float]]:
+        """The finding that the whole of a text is, if it is one."""
+        anchors, ws = self.anchors(least), words(data)
+        if anchors.keys().isdisjoint(ws):
+            return []
+        score, k = self.best(ws)
+        places = [m.span() for m in _PLACES.finditer(data)] if score >= least else []
+        return [(places[0][0], places[-1][1], self.names[k], score)] if places else []
+
     def findings(self, data: bytes, least: float) -> list[tuple[int, int, str, float]]:
         """(start byte, end byte, name, cosine) of passages that do not overlap, best first where they would."""
         anchors, ws = self.anchors(least), words(data)
@@ -145,12 +155,17 @@ _FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.s
 def find_licenses(docs: DataFrame, keep: list[Column], templates: dict[str, list[str]] | None = None, least: float = 0.8, text_col: str = "text") -> DataFrame:
     """The kept columns with findings array<struct<start,end,license,cosine>> (UTF-8 bytes) and whole, if one fills the text.
 
-    Inverse document frequencies come from all texts.  A passage is as many words as its template; it is found where its cosine is at least `least`.  Null and empty texts have no finding; an empty table gives
+    Inverse document frequencies come from all texts.  A text whose whole has that cosine
+    to a whole licence text is one finding.  Otherwise a passage is as many words as its template; it is found where its cosine is at least `least`.  Null and empty texts have no finding; an empty table gives
     no row; repeated rows stay.
     """
     templates = templates or TEMPLATES
-    vocabulary = {w for texts in templates.values() for t in texts for w in words(t.encode())}
-    matcher = Matcher(templates, document_frequencies(docs, text_col, vocabulary), docs.count())
+    vocabulary = {w for texts in (*templates.values(), TEXTS.values()) for t in texts for w in words(t.encode())}
+    frequencies, n_docs = document_frequencies(docs, text_col, vocabulary), docs.count()
+    matcher = Matcher(templates, frequencies, n_docs)
+    full = Matcher({name: [t] for name, t in TEXTS.items()}, frequencies, n_docs)
+    for m in (matcher, full):
+        m.anchors(least)  # once, before it is sent to the tasks
     held = docs.select(*keep, utf8(F.col(text_col)).alias("__data"))
     from pyspark.sql import types as T
 
@@ -162,7 +177,7 @@ def find_licenses(docs: DataFrame, keep: list[Column], templates: dict[str, list
             found, whole = [], []
             for data in batch.column(batch.num_columns - 1):
                 data = data.as_py()
-                own = matcher.findings(data, least)
+                own = full.file(data, least) or matcher.findings(data, least)
                 found.append([{"start": a, "end": b, "license": name, "cosine": c} for a, b, name, c in own])
                 whole.append(bool(own) and sum(len(words(data[a:b])) for a, b, _, _ in own) * 2 >= len(words(data)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(_FOUND)), pa.array(whole)], names=[f.name for f in schema])
@@ -170,13 +185,13 @@ def find_licenses(docs: DataFrame, keep: list[Column], templates: dict[str, list
     return held.mapInArrow(scan, schema)
 
 
-def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 16, least: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None, least: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """(id, path, licenses array<string>, n_findings, origin, from_dir) of each row.
 
     origin is `own` for rows with findings, `inherited` for those with a licence file (a text that is mostly licence) in their
     directory or else in the nearest directory above, with that directory's licences, and `none` for the rest.  Directories
     are looked up by equi-joins, one level at a time from the nearest: a row leaves with the first that has a licence, and the table of
-    directories with licences is summed first, so that its hot rows are one each.  Paths deeper than `depth` directories
+    directories with licences is summed first, so that its hot rows are one each.  Where `depth` is given, paths
     look no further up than that.  Null paths, like rows without a directory, belong to the root.
     """
     keep = [F.col(id_col).cast("long").alias("id"), F.coalesce(path, F.lit("")).alias("path")]
@@ -188,7 +203,7 @@ def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     )
     dirs = rows.where("whole").select("dir", F.explode("licenses").alias("l")).distinct().groupBy("dir").agg(F.array_sort(F.collect_list("l")).alias("dir_licenses"))
     parts = F.when(F.col("dir") == "", F.array()).otherwise(F.split("dir", "/"))
-    up = F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(depth))), lambda n: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - n), "/"))
+    up = F.transform(F.sequence(F.lit(0), F.size(parts) if depth is None else F.least(F.size(parts), F.lit(depth))), lambda n: F.array_join(F.slice(parts, F.lit(1), F.size(parts) - n), "/"))
     # every directory that rows are in, once, against those above it
     ways = rows.where("n_findings = 0").select("dir").distinct().select("dir", F.posexplode(up).alias("steps", "from_dir"))
     nearest = ways.join(dirs.withColumnRenamed("dir", "from_dir"), "from_dir").groupBy("dir").agg(F.min(F.struct("steps", "from_dir", "dir_licenses")).alias("near"))

@@ -366,6 +366,18 @@ def test_licenses_are_inherited(spark):
     assert got[5] == (["GPL-3.0"], "own", None) and got[6] == (["GPL-3.0"], "inherited", "a/b/d") and got[7] == ([], "none", None)
 
 
+def test_whole_licence_files_are_inherited(spark):
+    from fieldloom.llm.license_texts import TEXTS
+
+    deep = "/".join("abcdefghijklmnopqrst")
+    rows = []
+    for n, (name, text) in enumerate(sorted(TEXTS.items())):
+        rows += [(2 * n, f"{name}/LICENSE", f"Copyright (c) 2020 Some Holder\n\n{text}"), (2 * n + 1, f"{name}/{deep}/x.c", "int x;")]
+    got = {r.doc_id: (r.licenses, r.origin, r.from_dir) for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    for n, name in enumerate(sorted(TEXTS)):
+        assert got[2 * n] == ([name], "own", None) and got[2 * n + 1] == ([name], "inherited", name)
+
+
 def test_wrapped_and_edited_notices_are_found(spark):
     rows = [
         (1, "# Permission is\n# hereby granted, free of charge, to any person\n# obtaining a copy of this software and\n# associated documentation files\n x = 1"),
