@@ -52,6 +52,15 @@ def drop_written(df: DataFrame) -> None:
     fs.delete(place, True)
 
 
+def dealt_anew(side: DataFrame, key: str) -> DataFrame:
+    """The side of a join that has a row or few for each key, dealt by another hash first.
+
+    The adaptive skew join splits a hot key only where both sides come from an exchange of their own; the result of an
+    aggregate by the join's key would come without.
+    """
+    return side.repartition(F.xxhash64(F.lit("dealt anew"), key))
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a string column, null as empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))
@@ -62,7 +71,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates two star operations until the edges no longer change: each node's larger neighbours are hung
     under its smallest neighbour, then its smaller ones are.  Every round is two aggregations with partial sums
-    and two equi-joins whose hot keys the adaptive skew join can split; the rounds grow with the logarithm of
+    and two equi-joins, in which both sides have an exchange so that the adaptive skew join can split hot nodes; the rounds grow with the logarithm of
     the nodes.  Each round's edges are written to the shared folder.  Loops, repeated edges and nulls are ignored;
     without edges the result is empty.
     """
@@ -72,10 +81,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(dealt_anew(least, "u"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            large.join(dealt_anew(least, "u"), "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )

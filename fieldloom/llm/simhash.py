@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import connected_components, utf8, written
+from fieldloom.llm.common import connected_components, dealt_anew, utf8, written
 
 _WORDS_AT_ONCE = 1 << 14
 
@@ -190,4 +190,4 @@ def near_duplicates(docs: DataFrame, radius: int = 4, segments: int = 3, shingle
     component = linked.groupBy("component").agg(F.min("least").alias("smallest"))
     members = linked.select("node", "component").join(component, "component").select(F.col("node").alias("fp"), "smallest")
     per_fp = classes.join(members, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component"))
-    return fps.join(per_fp, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return fps.join(dealt_anew(per_fp, "fp"), "fp").select(F.col("id").alias(id_col), "fp", "component")
