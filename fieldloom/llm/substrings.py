@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import connected_components, utf8, written
+from fieldloom.llm.common import connected_components, dealt_anew, drop_written, utf8, written
 
 SHINGLE = 5
 _U = np.uint64
@@ -190,7 +190,7 @@ def _groups(column: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, list[b
         yield low, texts
 
 
-def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5, rows: int = 2, least_words: int = 32, gap: int = 8, filter_bits: int = 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5, rows: int = 2, least_words: int = 32, gap: int = 8, filter_bits: int = 26, crowd: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, n_words, run_words, cluster, n_paragraphs, removed): the paragraphs of repeated passages, places in code points.
 
     A paragraph (of 5 words or more) is repeated if its component, over links with a Jaccard similarity of 5-word shingles of
@@ -271,15 +271,15 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=edge)
 
-    pairs = met.join(texts, "h").select("key", "h", "shingles").repartition("key").sortWithinPartitions("key", "h").mapInArrow(verify, "u long, v long")
+    pairs = met.join(dealt_anew(texts, "h"), "h").select("key", "h", "shingles").repartition("key").sortWithinPartitions("key", "h").mapInArrow(verify, "u long, v long")
     components = connected_components(pairs)
     place = F.struct("id", "row", "begin")
     classes = table.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"), F.min(place).alias("first"))
     labelled = classes.join(components.withColumnRenamed("node", "h"), "h", "left").withColumn("cluster", F.coalesce("component", "h"))
     repeated = labelled.where("component is not null or low < high").select("h", "cluster", "low", "high", "n", "first")
     clusters = repeated.groupBy("cluster").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n_paragraphs"), F.min("first").alias("first")).where("low < high")
-    member = repeated.select("h", "cluster").join(clusters.select("cluster", "n_paragraphs", "first"), "cluster")
-    found = table.join(member, "h")
+    member = repeated.select("h", "cluster").join(dealt_anew(clusters.select("cluster", "n_paragraphs", "first"), "cluster"), "cluster")
+    found = table.join(dealt_anew(member, "h"), "h")
     order = Window.partitionBy("row").orderBy("begin")
     whole = Window.partitionBy("row", "run")
     found = found.withColumn("new", F.when(F.col("begin") - F.lag("stop_word").over(order) <= gap, 0).otherwise(1))
@@ -289,13 +289,46 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
         "id", "start", "end", (F.col("stop_word") - F.col("begin")).cast("long").alias("n_words"), F.col("run_words").cast("long").alias("run_words"),
         "cluster", "n_paragraphs", (~place.eqNullSafe(F.col("first"))).alias("removed"),
     )
-    return found.union(_exact_runs(numbered, filter_bits).select(*names)).withColumnRenamed("id", id_col)
+    found = written(found, "passages")
+    drop_written(table)
+    drop_written(met)
+    return found.union(_exact_runs(numbered, filter_bits, crowd).select(*names)).withColumnRenamed("id", id_col)
 
 
-def _exact_runs(numbered: DataFrame, filter_bits: int) -> DataFrame:
+def _packed(x: np.ndarray) -> bytes:
+    """The steps between numbers that do not fall, in as few bytes each as the largest needs."""
+    steps = np.diff(x)
+    most = int(steps.max()) if len(steps) else 0
+    return steps.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(first: int, steps: bytes, n: int) -> np.ndarray:
+    if n == 1:
+        return np.array([first], np.int64)
+    return first + np.concatenate([[0], np.cumsum(np.frombuffer(steps, f"<u{len(steps) // (n - 1)}"), dtype=np.int64)])
+
+
+_CONTEXT = "row long, id long, pick long, hot boolean, begin int, start long, end long, hashes binary, starts binary, ends binary"
+_MARKED = "row long, id long, pick long, begin int, start long, end long, marks binary, starts binary, ends binary"
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split(" ") for x in ddl.split(", "))])
+
+
+def _rows_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def _exact_runs(numbered: DataFrame, filter_bits: int, crowd: int) -> DataFrame:
     """(id, start, end, n_words, run_words, cluster, n_paragraphs, removed) of all runs of WINDOW words that several rows have.
 
-    A run is cut where its words begin or cease to be the first copy (by id, row, place) of some window; those stay.
+    The windows around one place of a pick (35 at most) travel as one row, a context, under the pick that they share: equal
+    windows have equal picks.  The contexts of one pick meet in a task; picks with more than `crowd` of them (a bit field
+    tells, the same way for all contexts of a pick) are counted window by window instead, by aggregates with partial
+    sums and an equi-join that the adaptive skew join can split.  A run is cut where its words begin or cease to be
+    the first copy (by id, row, place) of some window; those stay.
     """
     pick = pa.schema([("h", pa.int64()), ("row", pa.int64())])
 
@@ -307,47 +340,137 @@ def _exact_runs(numbered: DataFrame, filter_bits: int) -> DataFrame:
                     new = np.concatenate([[True], (w.pick[1:] != w.pick[:-1]) | (w.doc[1:] != w.doc[:-1])])
                     yield pa.RecordBatch.from_arrays([_signed(w.pick[new]), batch.column(0).take(pa.array(w.doc[new] + low))], schema=pick)
 
-    met = numbered.mapInArrow(picks, "h long, row long").groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
-    sent = numbered.sparkSession.sparkContext.broadcast(_bit_field(met.select("h"), filter_bits))
-    window = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("begin", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("pick", pa.int64())])
+    met = numbered.mapInArrow(picks, "h long, row long").groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n")).where("low < high")
+    met = written(met.select("h", "n"), "picks")
+    sent = numbered.sparkSession.sparkContext.broadcast((_bit_field(met.select("h"), filter_bits), _bit_field(met.where(F.col("n") > crowd).select("h"), filter_bits)))
+    drop_written(met)
+    context = _arrow(_CONTEXT)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, crowded = sent.value
         for batch in batches:
             for low, texts in _groups(batch.column(2)):
                 w = Windows(texts)
                 if not len(w.hash):
                     continue
-                at = w.pick & _U((1 << filter_bits) - 1)
-                k = np.flatnonzero(bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1)
-                if len(k):
-                    own = batch.select(["row", "id"]).take(pa.array(w.doc[k] + low))
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(w.begin[k].astype(np.int32)), pa.array(w.start[k].astype(np.int64)), pa.array(w.stop[k].astype(np.int64)), _signed(w.hash[k]), _signed(w.pick[k])], schema=window)
-
-    table = written(numbered.mapInArrow(windows, "row long, id long, begin int, start long, end long, h long, pick long"), "windows")
+                first = np.flatnonzero(np.concatenate([[True], (w.pick[1:] != w.pick[:-1]) | (w.doc[1:] != w.doc[:-1])]))
+                last = np.append(first[1:], len(w.hash))
+                at = w.pick[first] & _U((1 << filter_bits) - 1)
+                byte, bit = (at >> _U(3)).astype(np.int64), (at & _U(7)).astype(np.uint8)
+                on = np.flatnonzero(bits[byte] >> bit & 1)
+                if not len(on):
+                    continue
+                own = batch.select(["row", "id"]).take(pa.array(w.doc[first[on]] + low))
+                spans = list(zip(first[on].tolist(), last[on].tolist(), strict=True))
+                yield pa.RecordBatch.from_arrays([
+                    own.column(0), own.column(1), _signed(w.pick[first[on]]), pa.array((crowded[byte] >> bit & 1)[on].astype(bool)), pa.array(w.begin[first[on]].astype(np.int32)),
+                    pa.array(w.start[first[on]].astype(np.int64)), pa.array(w.stop[first[on]].astype(np.int64)), pa.array([w.hash[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([_packed(w.start[a:b]) for a, b in spans], pa.binary()), pa.array([_packed(w.stop[a:b]) for a, b in spans], pa.binary()),
+                ], schema=context)
+
+    table = written(numbered.mapInArrow(contexts, _CONTEXT), "contexts")
+    marked = _arrow(_MARKED)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _whole_keys(batches, 2):
+            yield from _marked(part, marked)
+
+    quiet = table.where(~F.col("hot")).drop("hot").repartition("pick").sortWithinPartitions("pick").mapInArrow(mark, _MARKED)
+    one = "row long, id long, pick long, begin int, start long, end long, h long"
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+                n = np.array([len(x.as_py()) // 8 for x in batch.column("hashes")])
+                at = np.repeat(np.arange(len(n)), n)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                own = batch.select(["row", "id", "pick"]).take(pa.array(at))
+                begin = batch.column("begin").to_numpy()[at] + nth
+                start, end = (np.concatenate([_unpacked(f, d, k) for f, d, k in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), n.tolist(), strict=True)]) for a, b in (("start", "starts"), ("end", "ends")))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(begin.astype(np.int32)), pa.array(start), pa.array(end), pa.array(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64))], schema=_arrow(one))
+
+    crowds = table.where("hot").mapInArrow(apart, one)
     place = F.struct("id", "row", "begin")
-    classes = table.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("first")).where("low < high").select("h", "first")
-    hit = table.join(classes, "h").select("row", "id", F.struct("begin", "start", "end", "pick", place.eqNullSafe(F.col("first")).alias("stays")).alias("w"))
-    piece = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("run_words", pa.int64()), ("removed", pa.bool_()), ("pick", pa.int64()), ("picks", pa.list_(pa.int64()))])
+    classes = crowds.groupBy("pick", "h").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min(place).alias("first")).where("low < high").select("pick", "h", "first")
+    kept = F.when(place.eqNullSafe(F.col("first")), F.lit(b"\x02")).otherwise(F.lit(b"\x01")).alias("marks")
+    loud = crowds.join(dealt_anew(classes, "h"), ["pick", "h"]).select("row", "id", "pick", "begin", "start", "end", kept, F.lit(b"").alias("starts"), F.lit(b"").alias("ends"))
+    hit = quiet.union(loud).select("row", "id", F.struct("begin", "pick", "start", "end", "marks", "starts", "ends").alias("w"))
+    kinds = "id long, start long, end long, n_words long, run_words long, removed boolean, pick long, picks array<long>"
+    piece = _arrow(kinds)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for own, ws in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                begin, start, end, picks, stays = (ws.values.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                begin, start, end, picks, stays = _windows_of(ws.as_py())
                 bounds = [0, *(np.flatnonzero(np.diff(begin) >= WINDOW) + 1), len(begin)]
                 for a, b in zip(bounds, bounds[1:], strict=False):
                     among = np.unique(picks[a:b])
                     words = int(begin[b - 1]) + WINDOW - int(begin[a])
                     for k, (x, y, p, q, removed) in enumerate(_cut(begin[a:b], start[a:b], end[a:b], stays[a:b])):
                         rows.append((own, p, q, y - x, words, removed, int(among[0]), [] if k else among.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], piece.field(k).type) for k in range(8)], schema=piece)
+            yield _rows_batch(rows, piece)
 
     cut = hit.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list("w")).alias("w")).select("id", "w")
-    cut = written(cut.mapInArrow(pieces, "id long, start long, end long, n_words long, run_words long, removed boolean, pick long, picks array<long>"), "pieces")
+    cut = written(cut.mapInArrow(pieces, kinds), "pieces")
+    drop_written(table)
     components = connected_components(cut.select(F.col("pick").alias("u"), F.explode("picks").alias("v")))
-    cut = cut.join(components.withColumnRenamed("node", "pick"), "pick", "left").withColumn("cluster", F.coalesce("component", "pick"))
-    return cut.join(cut.groupBy("cluster").agg(F.count("*").alias("n_paragraphs")), "cluster")
+    cut = cut.join(dealt_anew(components.withColumnRenamed("node", "pick"), "pick"), "pick", "left").withColumn("cluster", F.coalesce("component", "pick"))
+    return cut.join(dealt_anew(cut.groupBy("cluster").agg(F.count("*").alias("n_paragraphs")), "cluster"), "cluster")
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by a column in which none of its values goes on in the next."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(column).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut or (rest and rest[-1].column(column)[0].as_py() != key[0]):
+            yield pa.concat_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.concat_batches(rest)
+
+
+def _marked(part: pa.RecordBatch, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The contexts with a shared window; marks has a byte for each window: 0 its row's alone, 1 a later copy, 2 the first copy."""
+    if not part.num_rows:
+        return
+    raw = [x.as_py() for x in part.column("hashes")]
+    n = np.array([len(x) // 8 for x in raw])
+    hashes = np.frombuffer(b"".join(raw), _U)
+    row, begin = part.column("row").to_numpy(), part.column("begin").to_numpy()
+    ids, null = part.column("id").fill_null(0).to_numpy(), part.column("id").is_null().to_numpy(zero_copy_only=False)
+    order = np.empty(len(n), np.int64)
+    order[np.lexsort((begin, row, ids, ~null))] = np.arange(len(n))
+    owner = np.repeat(np.arange(len(n)), n)
+    by = np.lexsort((order[owner], hashes))  # equal windows together, the first copy first
+    starts = np.flatnonzero(np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]]))
+    rows = row[owner[by]]
+    shared = np.minimum.reduceat(rows, starts) < np.maximum.reduceat(rows, starts)
+    marks = np.zeros(len(hashes), np.uint8)
+    marks[by] = np.repeat(shared, np.diff(np.append(starts, len(hashes))))
+    marks[by[starts[shared]]] = 2
+    ends = np.cumsum(n)
+    on = np.flatnonzero(np.maximum.reduceat(marks, ends - n))
+    if len(on):
+        own = part.take(pa.array(on))
+        told = pa.array([marks[b - k : b].tobytes() for b, k in zip(ends[on].tolist(), n[on].tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([told if f.name == "marks" else own.column(f.name) for f in schema], schema=schema)
+
+
+def _windows_of(contexts: list[dict]) -> tuple[np.ndarray, ...]:
+    """(begin, start, end, pick, whether it stays) of the shared windows of a row's contexts, which come in order."""
+    out: list[tuple] = []
+    for c in contexts:
+        marks = np.frombuffer(c["marks"], np.uint8)
+        on = np.flatnonzero(marks)
+        start, end = _unpacked(c["start"], c["starts"], len(marks)), _unpacked(c["end"], c["ends"], len(marks))
+        out.append((c["begin"] + on, start[on], end[on], np.full(len(on), c["pick"], np.int64), marks[on] == 2))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _cut(begin: np.ndarray, start: np.ndarray, end: np.ndarray, stays: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
