@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 #: The pieces in which a byte-level vocabulary of this pattern is applied, for chunks of the letters below only.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_PLAIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ɏ]*")
-_MOST_CACHED = 400_000
+#: \x1c to \x1f are white space to Python's pattern but not to the tokenizer's.
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-ɏ]*")
+_MOST_CACHED = 32 << 20  # characters and id bytes that a cache holds, _EACH more for each entry
+_EACH = 40
 
 
 class Encoder:
@@ -46,6 +48,7 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.later = _Later(self)
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
@@ -66,10 +69,11 @@ class Encoder:
         for piece in _PIECES.findall(text):
             ids = self.pieces.get(piece)
             if ids is None:
-                if len(self.pieces) >= _MOST_CACHED:
-                    self.pieces.clear()
                 raw = piece.encode().decode("latin-1").translate(self.letters)
                 ids = self.pieces[piece] = np.array([t.id for t in self.model.tokenize(raw)], dtype="<u4").tobytes()
+                self.held += len(piece) + len(ids) + _EACH
+                if self.held > _MOST_CACHED:
+                    self.pieces, self.held = {}, 0
             out.append(ids)
         return b"".join(out)
 
@@ -84,12 +88,15 @@ class _Later(dict):
     """Ids of chunks that follow a space, by the chunk without it."""
 
     def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+        self.encoder, self.held = encoder, 0
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= _MOST_CACHED:
+        ids = self.encoder.chunk(" " + text)
+        self.held += len(text) + len(ids) + _EACH
+        if self.held > _MOST_CACHED:
             self.clear()
-        ids = self[text] = self.encoder.chunk(" " + text)
+            self.held = 0
+        self[text] = ids
         return ids
 
 
