@@ -1,4 +1,4 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised item windows, each text scanned once."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised items, each text scanned once."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import utf8, written
+from fieldloom.llm.common import utf8
 
 #: A-Z become lower case; what is left of ASCII besides digits and letters separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -21,103 +21,145 @@ def words(data: bytes) -> list[bytes]:
     return data.translate(_FOLD).split()
 
 
-def item_windows(data: bytes, n: int) -> set[bytes]:
-    w = words(data)
-    return {b" " + b" ".join(w[i : i + n]) + b" " for i in range(max(1, len(w) - n + 1))} if w else set()
-
-
-def _automaton(windows: dict[bytes, set[int]]) -> ahocorasick.Automaton:
-    """Of the windows as Latin-1 strings, a character for each byte; values are (words in the window, item numbers)."""
-    found = ahocorasick.Automaton()
-    for window, items in windows.items():
-        found.add_word(window.decode("latin-1"), (window.count(b" ") - 1, tuple(sorted(items))))
-    found.make_automaton()
-    return found
+class Items:
+    """The Aho-Corasick automaton of a block of items, as Latin-1 strings, a character for each byte.
 
+    A window of n words holds a whole one of the item's blocks of (n + 1) // 2 words that begin at multiples of that, so
+    those blocks are the automaton's words, about a state for each byte of text; what is met is extended in the item's own
+    words.  An item of fewer than n words is a word of the automaton itself.
+    """
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 256 << 10) -> DataFrame:
-    """One row for each row of docs: id, n_words, items array<string> (those with occurring windows), hits array<struct<start,end>>.
+    def __init__(self, items: list[tuple[str, bytes]], n: int):
+        self.n = n
+        self.names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        kept: dict[bytes, bytes] = {}
+        self.words: list[list[bytes]] = []
+        self.item: list[int] = []
+        size = (n + 1) // 2
+        places: dict[bytes, list[tuple[int, int]]] = {}
+        sizes: dict[bytes, int] = {}
+        for name, data in items:
+            w = [kept.setdefault(x, x) for x in words(data)]
+            step = size if len(w) >= n else len(w)
+            for at in range(0, len(w) - step + 1, step) if w else ():
+                key = b" " + b" ".join(w[at : at + step]) + b" "
+                sizes[key] = step
+                places.setdefault(key, []).append((len(self.words), at))
+            self.words.append(w)
+            self.item.append(number[name])
+        self.found = ahocorasick.Automaton()
+        for key, of in places.items():
+            self.found.add_word(key.decode("latin-1"), (sizes[key], tuple(of)))
+        if places:
+            self.found.make_automaton()
+        self.empty = not places
+
+    def scan(self, w: list[bytes], text: str, spaces: np.ndarray | None) -> tuple[set[tuple[int, int]], set[str]]:
+        """Ranges of the document's words that windows cover, and the items of those windows."""
+        ranges: set[tuple[int, int]] = set()
+        items: set[str] = set()
+        if self.empty:
+            return ranges, items
+        for end, (size, of) in self.found.iter(text):
+            stop = int(np.searchsorted(spaces, end))  # the spaces before a match's last one are as many as the words up to it
+            start = stop - size
+            for k, at in of:
+                own = self.words[k]
+                left = right = 0
+                if len(own) >= self.n:
+                    more = self.n - size
+                    while left < more and left < at and left < start and own[at - left - 1] == w[start - left - 1]:
+                        left += 1
+                    while right < more and at + size + right < len(own) and stop + right < len(w) and own[at + size + right] == w[stop + right]:
+                        right += 1
+                    if left + size + right < self.n:
+                        continue
+                ranges.add((start - left, stop + right))
+                items.add(self.names[self.item[k]])
+        return ranges, items
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+    """One row for each row of docs: id, n_words, n_hit, items array<string> (those with occurring windows), hits array<struct<start,end>>.
 
     hits are the merged ranges of hit words in the original text, as UTF-8 byte offsets with exclusive ends, n_hit their
-    number of words.  Items go to the executors in blocks of at most block_bytes of text (a larger item is a block of its
-    own), one scan and one partial result for each block, so that what a task holds is bounded however large the benchmark
-    is (a window's letters are states: about 10 for each byte of a block); hits of several blocks are merged.  Null and empty texts and items have no words; items with the same id count as
-    one; items with a null id are ignored; repeated rows stay apart; other columns are left aside.
+    number of words.  All items are in one automaton that each Python worker builds once (about 60 bytes for each byte of
+    item text), and a text is scanned once.  Items with more than block_bytes of text in all (a larger item apart) are several
+    automata, which a task builds one after the other for every 64 MB of its texts, so that what it holds is bounded however large
+    the benchmark is; the plan is the same one pass without a shuffle.  The items' own text is broadcast, in blocks.  Null
+    and empty texts and items have no words; items with the same id count as one; items with a null id are ignored;
+    repeated rows stay apart; other columns are left aside.
     """
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("data"))
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), utf8(F.col(item_text)).alias("data"))
-    parts, block, held = [], [], 0
+    sc = docs.sparkSession.sparkContext
+    items = benchmark.where(F.col(f"`{item_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("string").alias("item"), utf8(F.col(f"`{item_text}`")).alias("data"))
+    sent, block, held = [], [], 0
     for item in items.toLocalIterator():  # a block at a time on the driver
         if block and held + len(item.data) > block_bytes:
-            if not parts:
-                ids = written(ids, "texts")  # several scans must number the rows alike
-            parts.append(_scanned(ids, block, n))
+            sent.append(sc.broadcast(block))
             block, held = [], 0
         block.append((item.item, bytes(item.data)))
         held += len(item.data)
-    parts.append(_scanned(ids, block, n))
-    if len(parts) == 1:
-        out = parts[0]
-    else:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.union(part)
-        out = out.groupBy("row", "id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("hits")).alias("hits"))
-        out = out.mapInArrow(_merged, "row long, id long, n_words long, n_hit long, items array<string>, hits array<struct<start:long,end:long,first:long,last:long>>")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", F.transform("hits", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))).alias("hits"))
+    sent.append(sc.broadcast(block))
+    key = uuid.uuid4().hex
+
+    def automaton(k: int) -> Items:
+        if (key, k) not in _BUILT:
+            _BUILT.clear()
+            _BUILT[key, k] = Items(sent[k].value, n)
+        return _BUILT[key, k]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _some(batches, 64 << 20) if len(sent) > 1 else ([batch] for batch in batches):
+            found: list[list[tuple[set, set]]] = [[] for batch in some for _ in range(batch.num_rows)]
+            for k in range(len(sent)):
+                at = automaton(k)
+                for own, data in zip(found, (x for batch in some for x in batch.column(1)), strict=True):
+                    w = words(data.as_py())
+                    if w and not at.empty:
+                        text = b" ".join([b"", *w, b""])
+                        ranges, names = at.scan(w, text.decode("latin-1"), np.flatnonzero(np.frombuffer(text, np.uint8) == 32))
+                        if ranges:
+                            own.append((ranges, names))
+            place = 0
+            for batch in some:
+                rows = [_told(data.as_py(), own) for data, own in zip(batch.column(1), found[place : place + batch.num_rows], strict=True)]
+                place += batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], _OUT.field(k + 1).type) for k in range(4))], schema=_OUT)
+
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), utf8(F.col(f"`{text_col}`")).alias("data"))
+    return ids.mapInArrow(scan, "id long, n_words long, n_hit long, items array<string>, hits array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
 
 
 #: The last automaton that a Python worker built, by its key.
 _BUILT: dict = {}
-_HIT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-_OUT = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(_HIT))])
-
-
-def _scanned(ids: DataFrame, block: list[tuple[str, bytes]], n: int) -> DataFrame:
-    names = sorted({name for name, _ in block})
-    number = {name: k for k, name in enumerate(names)}
-    windows: dict[bytes, set[int]] = {}
-    for name, data in block:
-        for w in item_windows(data, n):
-            windows.setdefault(w, set()).add(number[name])
-    sent = ids.sparkSession.sparkContext.broadcast((names, windows))  # at most about n times block_bytes
-    key = uuid.uuid4().hex
+_OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, windows = sent.value
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = _automaton(windows) if windows else None
-        automaton = _BUILT[key]
-        for batch in batches:
-            rows = [_scan(data.as_py(), automaton, names) for data in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], _OUT.field(k + 2).type) for k in range(4))], schema=_OUT)
-
-    return ids.mapInArrow(scan, "row long, id long, n_words long, n_hit long, items array<string>, hits array<struct<start:long,end:long,first:long,last:long>>")
-
-
-def _scan(data: bytes, automaton, names: list[str]) -> tuple[int, int, list[str], list[dict]]:
-    w = words(data)
-    if not w or automaton is None:
-        return len(w), 0, [], []
-    text = b" ".join([b"", *w, b""]).decode("latin-1")
-    ranges, items = [], set()
-    for end, (size, found) in automaton.iter(text):
-        ranges.append((end, size))
-        items.update(found)
-    if not ranges:
-        return len(w), 0, [], []
-    # the spaces before a match's last one are as many as the words up to it
-    spaces = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-    ends = np.searchsorted(spaces, [e for e, _ in ranges])
-    merged = _union([(int(e) - size, int(e)) for e, (_, size) in zip(ends, ranges, strict=True)])
+
+def _some(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches of about `most` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _told(data: bytes, found: list[tuple[set, set]]) -> tuple[int, int, list[str], list[dict]]:
+    """n_words, n_hit, items and hits of a text from what the automata found."""
+    if not found:
+        return len(words(data)), 0, [], []
+    merged = _union(set().union(*(ranges for ranges, _ in found)))
     raw = np.frombuffer(data.translate(_FOLD), np.uint8) != 32
     edges = np.flatnonzero(np.diff(np.concatenate([[False], raw, [False]]).astype(np.int8)))
-    hits = [{"start": int(edges[2 * a]), "end": int(edges[2 * b - 1]), "first": a, "last": b} for a, b in merged]
-    return len(w), sum(b - a for a, b in merged), sorted(names[k] for k in items), hits
+    hits = [{"start": int(edges[2 * a]), "end": int(edges[2 * b - 1])} for a, b in merged]
+    return len(edges) // 2, sum(b - a for a, b in merged), sorted(set().union(*(names for _, names in found))), hits
 
 
-def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _union(ranges: set[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
@@ -125,14 +167,3 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union of the hit ranges that several blocks found in a text."""
-    for batch in batches:
-        hits = []
-        for found in batch.column(4).to_pylist():
-            start, end = {h["first"]: h["start"] for h in found}, {h["last"]: h["end"] for h in found}
-            hits.append([{"start": start[a], "end": end[b], "first": a, "last": b} for a, b in _union([(h["first"], h["last"]) for h in found])])
-        n_hit = pa.array([sum(h["last"] - h["first"] for h in found) for found in hits], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], n_hit, batch.column(3), pa.array(hits, pa.list_(_HIT))], schema=_OUT)
