@@ -569,3 +569,188 @@ def test_private_keys_are_redacted_whole(spark):
 def test_registered(spark):
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+# --- further cases
+
+
+def _folded(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+
+
+@pytest.mark.parametrize("crowd", [2, 1000])
+def test_exact_runs_equal_brute_force(spark, crowd):
+    """Words that lie in a window of 50 words which several rows have, and those of first copies, by tables of all windows."""
+    from fieldloom.llm.substrings import _exact_runs
+
+    rnd = random.Random(11)
+    words = lambda n: ["".join(rnd.choice("abcdé") for _ in range(rnd.randint(3, 9))) for _ in range(n)]
+    shared = [words(n) for n in (50, 51, 80, 200)]
+    texts = [None, "", "a b c"]
+    for k in range(24):
+        parts = [words(rnd.randint(0, 60)), shared[k % 4], words(rnd.randint(0, 30)), shared[rnd.randint(0, 3)][rnd.randint(0, 40) :], words(rnd.randint(0, 9))]
+        texts.append(rnd.choice([" ", ", ", "\n"]).join(w for p in parts for w in p))
+    texts += [texts[-1], texts[-1], " ".join(shared[3] * 3)]
+    ids = [None if n % 7 == 6 else n // 2 for n in range(len(texts))]
+    df = spark.createDataFrame([(n, i, (t or "").encode()) for n, (i, t) in enumerate(zip(ids, texts, strict=True))], "row long, id long, data binary").repartition(3)
+    first, rows = {}, collections.defaultdict(set)
+    for n, (i, t) in enumerate(zip(ids, texts, strict=True)):
+        w = _folded(t)
+        for at in range(len(w) - 49):
+            key = tuple(w[at : at + 50])
+            rows[key].add(n)
+            place = (i is not None, i or 0, n, at)
+            first[key] = min(first.get(key, place), place)
+    want = collections.Counter()
+    for n, t in enumerate(texts):
+        w = _folded(t)
+        of = [set() for _ in w]
+        for at in range(len(w) - 49):
+            key = tuple(w[at : at + 50])
+            if len(rows[key]) > 1:
+                for k in range(at, at + 50):
+                    of[k].add(first[key][2:] == (n, at))
+        for marks in of:
+            if marks:
+                want[ids[n], not any(marks)] += 1
+    got = collections.Counter()
+    clusters = {}
+    for r in _exact_runs(df, 26, crowd).collect():
+        got[r.id, r.removed] += r.n_words
+        clusters.setdefault(r.cluster, set()).add(r.id)
+        own = [t for i, t in zip(ids, texts, strict=True) if i == r.id and len(_folded((t or "")[r.start : r.end])) == r.n_words]
+        assert own
+    assert got == want and got and clusters
+
+
+def test_paragraph_components_equal_brute_force(spark, small):
+    """Clusters of cut paragraphs by exact Jaccard similarity of their words' shingles over all pairs."""
+    from fieldloom.llm.substrings import Paragraphs
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    sets, where = {}, collections.defaultdict(set)
+    for r in docs.collect():
+        p = Paragraphs([r.text.encode()])
+        for k in range(len(p)):
+            w = _folded(r.text[p.start[k] : p.stop[k]])
+            key = tuple(w)
+            sets[key] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+            where[key].add(r.doc_id)
+    keys = list(sets)
+    holders = collections.defaultdict(list)
+    for n, key in enumerate(keys):
+        for s in sets[key]:
+            holders[s].append(n)
+    label = list(range(len(keys)))
+
+    def root(n):
+        while label[n] != n:
+            n = label[n]
+        return n
+
+    for a, key in enumerate(keys):
+        common = collections.Counter(b for s in sets[key] for b in holders[s] if b < a)
+        for b, n in common.items():
+            if n >= 0.8 * (len(sets[key]) + len(sets[keys[b]]) - n) - 1e-9:
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    rows = collections.defaultdict(set)
+    for n, key in enumerate(keys):
+        rows[root(n)] |= where[key]
+    want = {key for n, key in enumerate(keys) if len(rows[root(n)]) > 1 and len(key) >= 32}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {tuple(_folded(texts[r.doc_id][r.start : r.end])) for r in repeated_passages(docs).collect()}
+    assert len(want - got) <= 0.01 * len(want) and want
+
+
+def test_passages_of_awkward_rows(spark, odd):
+    clash = odd.withColumnsRenamed({"lang": "h", "source": "cluster", "n_chars": "pick", "spans": "removed"})
+    got = repeated_passages(clash).collect()
+    assert {r.doc_id for r in got} <= {5, 6, 7} and not any(r.removed is None for r in got)
+
+
+def test_encoder_on_control_characters():
+    enc = Encoder(BPE)
+    rnd = random.Random(9)
+    alphabet = [*map(chr, range(128)), "\x85", "\xa0", "é", "'s", "'ll", "  ", "日"]
+    for _ in range(20_000):
+        text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 8)))
+        assert enc.encode(text) == enc.encode_whole(text), repr(text)
+
+
+def test_encoder_with_a_full_cache(monkeypatch):
+    from fieldloom.llm import packing
+
+    monkeypatch.setattr(packing, "_MOST_CACHED", 300)
+    enc = Encoder(BPE)
+    for k in range(300):
+        text = f"word{k} and{k % 7} {k}-x the end"
+        assert enc.encode(text) == enc.encode_whole(text)
+        assert enc.held <= 300 and enc.later.held <= 300
+
+
+def test_extreme_null_and_repeated_vectors(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (4, [1.0, 1.01]), (None, [5e-324, 5e-324]), (6, [-1.0, 1.0]), (7, [0.0, 0.0]), (None, None)]
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id) for r in near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == collections.Counter([(1, 5, 1), (2, 5, 1), (3, 5, 1), (4, 5, 1), (4, 5, 1), (None, 5, 1), (6, 0, 6), (7, 0, 7), (None, 0, None)])
+
+
+@pytest.mark.parametrize("pivots", [3, 40])
+def test_clustered_vectors(spark, pivots):
+    """Pivots, chunks and turns lose and repeat no link."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 6))
+    x = np.concatenate([centres[rng.integers(0, 30, 500)] + 0.15 * rng.normal(size=(500, 6)), rng.normal(size=(200, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(df, cell_rows=20, most_pivots=pivots).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
+def test_one_pass_over_a_large_benchmark(spark, small):
+    """The plan is one Python stage without a shuffle, whatever the items' size; overlapping, short and repeated items count alike."""
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(40)]
+    items = [(f"i{k % 50}" if k % 9 else None, " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 3, 9, 10, 11, 40])))) for k in range(120)]
+    texts = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(30)] + [f"x {t} y" for _, t in items[:60]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    windows = collections.defaultdict(set)
+    for name, t in items:
+        w = t.split()
+        if w and name:
+            for k in range(max(1, len(w) - 9)):
+                windows[tuple(w[k : k + 10])].add(name)
+    for block in (1 << 20, 500):
+        out = contaminated(df, bench, block_bytes=block)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Union" not in plan
+        for r in out.collect():
+            w = texts[r.doc_id].split()
+            hit, names = set(), set()
+            for size in {len(x) for x in windows}:
+                for k in range(len(w) - size + 1):
+                    if found := windows.get(tuple(w[k : k + size])):
+                        hit.update(range(k, k + size))
+                        names |= found
+            assert (r.n_words, r.n_hit, r.items) == (len(w), len(hit), sorted(names))
+
+
+def test_hot_keys_are_split(spark):
+    """The adaptive skew join splits one fingerprint that most rows have."""
+    from fieldloom.llm.common import dealt_anew
+
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 300_000, 1, 8).select(F.col("id"), F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(-1).alias("fp"))
+        per = rows.groupBy("fp").agg(F.min("id").alias("least"))
+        out = rows.join(dealt_anew(per, "fp"), "fp")
+        out.write.format("noop").mode("overwrite").save()
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
