@@ -61,6 +61,11 @@ def dealt_anew(side: DataFrame, key: str) -> DataFrame:
     return side.repartition(F.xxhash64(F.lit("dealt anew"), key))
 
 
+def columns_of(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """All columns, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a string column, null as empty."""
     return F.coalesce(text.cast("binary"), F.lit(b""))
