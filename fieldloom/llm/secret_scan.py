@@ -143,13 +143,15 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, text_col
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = scanner(rules)
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+            at = place
             texts = [None if x is None else _redacted(x, found) for x in batch.column(at).cast(pa.binary()).to_pylist()]
             columns = batch.columns
             columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    out = docs.mapInArrow(scan, docs.schema)
+    place = docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names that the way to Python and back can take
+    out = plain.mapInArrow(scan, plain.schema).toDF(*docs.columns)
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
         out = out.withColumn(length_col, F.when(F.col(text_col).isNull(), F.col(length_col)).otherwise(F.length(text_col)).cast(kind))
