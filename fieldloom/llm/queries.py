@@ -63,7 +63,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
     model = learn(docs.where(~held_out), "text", "lang", F.col("doc_id"))
     return predict(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")]).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -83,7 +83,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log10 probability of every document under a subword lattice, and under an add-one word unigram."""
+    """Log10 probability of every document under a subword lattice, under one with word arcs, and under an add-one word unigram."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     return lattice_scores(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("piece_bpe_32k.model"))
 
