@@ -4,33 +4,33 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fieldloom.llm.common import utf8, written
+from fieldloom.llm.common import dealt_anew, utf8, written
 from fieldloom.llm.license_texts import TEXTS
 
 #: One-line notices and the openings of licence files, by SPDX name.
-TEMPLATES: dict[str, list[str]] = {
+NOTICES: dict[str, list[str]] = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
         "Apache License Version 2.0, January 2004 terms and conditions for use, reproduction, and distribution",
-        "SPDX-License-Identifier: Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-        "SPDX-License-Identifier: MIT",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
-        "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0",
@@ -38,9 +38,34 @@ TEMPLATES: dict[str, list[str]] = {
     ],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
     ],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+    ],
+    "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain"],
+    "Zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
 }
+#: Names in the tags of the SPDX kind, besides those above that are the tag themselves.
+TAGS = {name: name for name in ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "MPL-2.0", "EPL-2.0", "ISC", "BSL-1.0", "Unlicense", "Zlib", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "WTFPL", "Artistic-2.0")}
+TAGS |= {f"{name}-only": name for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
+TAGS |= {f"{name}-or-later": name for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
+TEMPLATES: dict[str, list[str]] = {name: [*NOTICES.get(name, []), *(f"SPDX-License-Identifier: {tag}" for tag, of in TAGS.items() if of == name)] for name in [*NOTICES, *(n for n in TAGS.values() if n not in NOTICES)]}
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _PLACES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -72,7 +97,7 @@ class Matcher:
         own = [words(t.encode()) for texts in templates.values() for t in texts]
         self.sizes = [len(w) for w in own]
         self.idf = {w: math.log((1 + n_docs) / (1 + frequencies.get(w, 0))) + 1 for ws in own for w in ws}
-        self.unknown = math.log(1 + n_docs) + 1
+        self.n_docs = n_docs
         self.index: dict[object, list[tuple[int, float]]] = {}
         for k, ws in enumerate(own):
             v = self.vector(ws)
@@ -101,16 +126,20 @@ class Matcher:
             self._anchors[least] = out
         return self._anchors[least]
 
-    def vector(self, ws: list[bytes]) -> dict[object, float]:
-        idf = self.idf
-        weights = Counter(ws)
-        out: dict[object, float] = {w: n * idf.get(w, self.unknown) for w, n in weights.items()}
-        for a, b in zip(ws, ws[1:], strict=False):
-            out[a, b] = out.get((a, b), 0.0) + (idf.get(a, self.unknown) + idf.get(b, self.unknown)) / 2
+    def vector(self, ws: list[bytes], more: dict[bytes, float] | None = None) -> dict[object, float]:
+        """Weights of words and pairs; a word without a known frequency weighs the least that any can (1, as if in every text)."""
+        idf, more = self.idf, more or {}
+        own = [idf[w] if w in idf else more.get(w, 1.0) for w in ws]
+        out: dict[object, float] = {}
+        for w, x in zip(ws, own, strict=True):
+            out[w] = out.get(w, 0.0) + x
+        for a, b, x, y in zip(ws, ws[1:], own, own[1:], strict=False):
+            out[a, b] = out.get((a, b), 0.0) + (x + y) / 2
         return out
 
-    def best(self, ws: list[bytes]) -> tuple[float, int]:
-        v = self.vector(ws)
+    def best(self, ws: list[bytes], more: dict[bytes, float] | None = None) -> tuple[float, int]:
+        """The greatest cosine and its template; without the frequencies of other words an upper bound of it."""
+        v = self.vector(ws, more)
         norm = math.sqrt(sum(x * x for x in v.values()))
         scores: Counter = Counter()
         for term, x in v.items():
@@ -121,43 +150,40 @@ class Matcher:
         k = min(scores, key=lambda k: (-scores[k], k))
         return scores[k] / norm, k
 
-    def file(self, data: bytes, least: float) -> list[tuple[int, int, str, float]]:
-        """The finding that the whole of a text is, if it is one."""
-        anchors, ws = self.anchors(least), words(data)
-        if anchors.keys().isdisjoint(ws):
-            return []
-        score, k = self.best(ws)
-        places = [m.span() for m in _PLACES.finditer(data)] if score >= least else []
-        return [(places[0][0], places[-1][1], self.names[k], score)] if places else []
+    def candidates(self, ws: list[bytes], least: float) -> list[tuple[int, int]]:
+        """(first word, words) of the passages that can reach `least`."""
+        anchors = self.anchors(least)
+        at = [(n, w) for n, w in enumerate(ws) if w in anchors]
+        starts = {(low, size) for n, w in at for size in anchors[w] for low in range(max(0, n - size + 1), min(n, len(ws) - size) + 1)}
+        return sorted((low, size) for low, size in starts if self.best(ws[low : low + size])[0] >= least - 1e-9)
 
-    def findings(self, data: bytes, least: float) -> list[tuple[int, int, str, float]]:
+    def findings(self, ws: list[bytes], places: list[tuple[int, int]], candidates: list[tuple[int, int]], more: dict[bytes, float], least: float) -> list[tuple[int, int, str, float]]:
         """(start byte, end byte, name, cosine) of passages that do not overlap, best first where they would."""
-        anchors, ws = self.anchors(least), words(data)
-        at = [(n, w) for n, w in enumerate(ws) if w in anchors]
-        if not at:
-            return []
-        places = [m.span() for m in _PLACES.finditer(data)]
         found = []
-        for low, size in {(low, size) for n, w in at for size in anchors[w] for low in range(max(0, n - size + 1), min(n, len(ws) - size) + 1)}:
-            score, k = self.best(ws[low : low + size])
+        for low, size in candidates:
+            score, k = self.best(ws[low : low + size], more)
             if score >= least and self.sizes[k] == size:
                 found.append((-score, places[low][0], places[low + size - 1][1], self.names[k]))
         out: list[tuple[int, int, str, float]] = []
         for score, a, b, name in sorted(set(found)):
-            if all(b <= x or y <= a for x, y, _, _ in out):
-                out.append((a, b, name, -score))
-        return sorted(out)
+            at = bisect_left(out, (a,))
+            if (at == len(out) or b <= out[at][0]) and (not at or out[at - 1][1] <= a):
+                out.insert(at, (a, b, name, -score))
+        return out
 
 
 _FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("cosine", pa.float64())])
 
 
-def find_licenses(docs: DataFrame, keep: list[Column], templates: dict[str, list[str]] | None = None, least: float = 0.8, text_col: str = "text") -> DataFrame:
-    """The kept columns with findings array<struct<start,end,license,cosine>> (UTF-8 bytes) and whole, if one fills the text.
+def find_licenses(docs: DataFrame, keep: list[Column], templates: dict[str, list[str]] | None = None, least: float = 0.8, text_col: str = "text", field_bits: int = 22) -> DataFrame:
+    """The kept columns with findings array<struct<start,end,license,cosine>> (UTF-8 bytes) and whole, if they fill most of the text.
 
-    Inverse document frequencies come from all texts.  A text whose whole has that cosine
-    to a whole licence text is one finding.  Otherwise a passage is as many words as its template; it is found where its cosine is at least `least`.  Null and empty texts have no finding; an empty table gives
-    no row; repeated rows stay.
+    A text whose whole has a cosine of at least `least` to a whole licence text is one finding.  Otherwise a passage is as
+    many words as its template; it is found where its cosine is at least `least`.  Weights are inverse document frequencies
+    over all texts.  Those of the templates' words are counted first; with them, and the least weight for all other words, a
+    scan finds the passages that can reach `least`.  The other words of those are then counted in all texts (a bit field
+    of 2**field_bits passes over most that are not asked for, an equi-join decides), and the passages scored again.
+    Null and empty texts have no finding; an empty table gives no row; repeated rows stay.
     """
     templates = templates or TEMPLATES
     vocabulary = {w for texts in (*templates.values(), TEXTS.values()) for t in texts for w in words(t.encode())}
@@ -166,23 +192,83 @@ def find_licenses(docs: DataFrame, keep: list[Column], templates: dict[str, list
     full = Matcher({name: [t] for name, t in TEXTS.items()}, frequencies, n_docs)
     for m in (matcher, full):
         m.anchors(least)  # once, before it is sent to the tasks
-    held = docs.select(*keep, utf8(F.col(text_col)).alias("__data"))
-    from pyspark.sql import types as T
+    texts = docs.select(utf8(F.col(f"`{text_col}`")).alias("data"))
+    screened = T.StructType([T.StructField("text", T.BinaryType()), T.StructField("unmet", T.ArrayType(T.BinaryType()))])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts that can have a finding, and the words of theirs whose frequency it takes to tell."""
+        for batch in batches:
+            held, unmet = [], []
+            for data in batch.column(batch.num_columns - 1):
+                data = data.as_py()
+                ws = words(data)
+                file = not full.anchors(least).keys().isdisjoint(ws) and full.best(ws)[0] >= least - 1e-9
+                spans = [(0, len(ws))] if file else []
+                spans += matcher.candidates(ws, least)
+                held.append(data if spans else None)
+                unmet.append(sorted({w for low, size in spans for w in ws[low : low + size]} - full.idf.keys() - matcher.idf.keys()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held, pa.binary()), pa.array(unmet, pa.list_(pa.binary()))], names=[f.name for f in way])
 
+    held = docs.select(*keep, utf8(F.col(f"`{text_col}`")).alias("data"))
+    names, kinds = [f.name for f in held.schema.fields[:-1]], [f.dataType for f in held.schema.fields[:-1]]
+    plain = [f"c{k}" for k in range(len(names))]  # names that the way to Python and back can take
+    way = T.StructType([T.StructField(n, k) for n, k in zip(plain, kinds, strict=True)] + screened.fields)
+    rows = written(held.toDF(*plain, "data").mapInArrow(screen, way).withColumn("number", F.monotonically_increasing_id()), "screened")
+    asked = rows.select("number", F.explode("unmet").alias("word"))
+    more = asked.join(dealt_anew(_frequencies_of(texts, asked, field_bits), "word"), "word").groupBy("number").agg(F.collect_list(F.struct("word", "n")).alias("more"))
     kind = "findings array<struct<start:long,end:long,license:string,cosine:double>>, whole boolean"
-    schema = T.StructType([f for f in held.schema.fields if f.name != "__data"] + T._parse_datatype_string(kind).fields)
+    done = T.StructType(way.fields[: len(names)] + T._parse_datatype_string(kind).fields)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, whole = [], []
-            for data in batch.column(batch.num_columns - 1):
-                data = data.as_py()
-                own = full.file(data, least) or matcher.findings(data, least)
+            for data, met in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                own: list[tuple[int, int, str, float]] = []
+                if data:
+                    ws, places = words(data), [m.span() for m in _PLACES.finditer(data)]
+                    idf = {x["word"]: math.log((1 + n_docs) / (1 + x["n"])) + 1 for x in met or ()}
+                    cosine, k = full.best(ws, idf | {w: matcher.idf[w] for w in matcher.idf.keys() - full.idf.keys()})
+                    if cosine >= least:
+                        own = [(places[0][0], places[-1][1], full.names[k], cosine)]
+                    else:
+                        idf |= {w: full.idf[w] for w in full.idf.keys() - matcher.idf.keys()}
+                        own = matcher.findings(ws, places, matcher.candidates(ws, least), idf, least)
                 found.append([{"start": a, "end": b, "license": name, "cosine": c} for a, b, name, c in own])
                 whole.append(bool(own) and sum(len(words(data[a:b])) for a, b, _, _ in own) * 2 >= len(words(data)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(_FOUND)), pa.array(whole)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(found, pa.list_(_FOUND)), pa.array(whole, pa.bool_())], names=[f.name for f in done])
+
+    return rows.join(more, "number", "left").select(*plain, "text", "more").mapInArrow(score, done).toDF(*names, "findings", "whole")
+
+
+def _frequencies_of(texts: DataFrame, asked: DataFrame, field_bits: int) -> DataFrame:
+    """(word, n): in how many texts each asked word occurs."""
+    place = F.xxhash64("word").bitwiseAND((1 << field_bits) - 1)
+    set_ = asked.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(xxhash64(word) & {63} as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    field = np.zeros(1 << field_bits - 6, np.int64)
+    field[set_["at"].to_numpy(np.int64)] = set_["bit"].to_numpy(np.int64)
+    sent = texts.sparkSession.sparkContext.broadcast(field.view(np.uint8).tobytes() if field.any() else b"")  # 2**(field_bits - 3) bytes
+    out = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+    mask = (1 << field_bits) - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, total = sent.value, Counter()
+        known: dict[bytes, bool] = {}
+        for batch in batches if bits else ():
+            for data in batch.column(0):
+                some = []
+                for w in set(words(data.as_py())):
+                    on = known.get(w)
+                    if on is None:
+                        if len(known) >= 200_000:
+                            known.clear()
+                        h = xxhash.xxh64_intdigest(w, 42) & mask
+                        on = known[w] = bool(bits[h >> 3] >> (h & 7) & 1)
+                    if on:
+                        some.append(w)
+                total.update(some)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], schema=out)
 
-    return held.mapInArrow(scan, schema)
+    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", depth: int | None = None, least: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -194,7 +280,7 @@ def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     directories with licences is summed first, so that its hot rows are one each.  Where `depth` is given, paths
     look no further up than that.  Null paths, like rows without a directory, belong to the root.
     """
-    keep = [F.col(id_col).cast("long").alias("id"), F.coalesce(path, F.lit("")).alias("path")]
+    keep = [F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(path, F.lit("")).alias("path")]
     found = written(find_licenses(docs, keep, templates, least, text_col), "licenses")
     above = F.regexp_replace("path", "/?[^/]*$", "")
     rows = found.select(
@@ -207,7 +293,7 @@ def license_scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col
     # every directory that rows are in, once, against those above it
     ways = rows.where("n_findings = 0").select("dir").distinct().select("dir", F.posexplode(up).alias("steps", "from_dir"))
     nearest = ways.join(dirs.withColumnRenamed("dir", "from_dir"), "from_dir").groupBy("dir").agg(F.min(F.struct("steps", "from_dir", "dir_licenses")).alias("near"))
-    out = rows.join(nearest, "dir", "left")
+    out = rows.join(dealt_anew(nearest, "dir"), "dir", "left")
     own = F.col("n_findings") > 0
     near = F.col("near").isNotNull()
     return out.select(
