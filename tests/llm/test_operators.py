@@ -1,7 +1,9 @@
 """Each operator against a plain version on small tables, and on awkward ones."""
 
 import collections
+import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -754,3 +756,226 @@ def test_hot_keys_are_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class _Ppm:
+    """Prediction by partial matching from its definition: dictionaries of contexts, a recursion, exclusion at escapes."""
+
+    def __init__(self, texts, least):
+        self.counts = collections.defaultdict(collections.Counter)
+        for data in texts:
+            x = [0] * 3 + [b + 1 for b in data]
+            for k in range(3, len(x)):
+                for order in range(4):
+                    self.counts[tuple(x[k - order : k])][x[k]] += 1
+        self.kept = {c for c, of in self.counts.items() if len(c) < 2 or sum(of.values()) >= least}
+
+    @functools.cache  # noqa: B019
+    def p(self, context, symbol):
+        if context is None:
+            return 1 / 256
+        shorter = context[1:] if context else None
+        if context not in self.kept:
+            return self.p(shorter, symbol)
+        of = self.counts[context]
+        total, distinct = sum(of.values()), len(of)
+        if distinct == 256:
+            return of[symbol] / total
+        if symbol in of:
+            return of[symbol] / (total + distinct)
+        left = sum(self.p(shorter, b) for b in range(1, 257) if b not in of)
+        return distinct / (total + distinct) * self.p(shorter, symbol) / left
+
+    def bits(self, data):
+        x = [0] * 3 + [b + 1 for b in data]
+        return -sum(math.log2(self.p(tuple(x[k - 3 : k]), x[k])) for k in range(3, len(x)))
+
+
+def test_code_lengths_equal_an_independent_model(spark):
+    own = {"a": ["the cat sat on the mat", "a cat and a hat", ""], "b": ["der hund und die katze", "die maus"]}
+    rows = [(n, t, lang) for n, (lang, t) in enumerate((lang, t) for lang, texts in own.items() for t in texts)]
+    model = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", F.col("doc_id"))
+    tests = [b"the hat", b"die katze sat", "zé!".encode(), b"\x00\xff", b"a"]
+    got = model.code_lengths(tests)
+    # a context of order 2 or 3 is kept where either language has met it twice
+    both = [_Ppm([t.encode() for t in own[lang]], 2) for lang in ("a", "b")]
+    for ppm in both:
+        ppm.kept = both[0].kept | both[1].kept
+        ppm.kept = {c for c in ppm.kept if c in ppm.counts}
+    for k, ppm in enumerate(both):
+        for n, data in enumerate(tests):
+            assert abs(got[n, k] - ppm.bits(data)) < 1e-3 * max(1, ppm.bits(data)), (k, data)
+
+
+def test_stages_take_any_columns(spark, tmp_path):
+    """Clashing and dotted names, nulls everywhere, repeated rows, an empty table."""
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([("x", "one two three")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, bits_per_byte string, __data binary, __row int, row long, `a.b` string, component long, doc string, fp long, `x y.z` int"
+    words = "the cat sat on the mat and looked at the dog in the house"
+    other = "a bird sang to the people in the garden while a man read of the weather"
+    rows = [(1, words, "en", "s", 1), (1, words, "en", "s", 1), (None, other, "en", None, None), (2, None, None, None, None), (3, "one two three", "en", "s", 3), (4, "", "en", "s", 0), (5, "123", None, "s", 3)]
+    df = spark.createDataFrame([(*r, 0.5, "q", "z", b"d", 7, 8, "dot", 9, "doc", 3, 1) for r in rows], kinds)
+    empty = df.where("false")
+    kept = df
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == df.columns, name
+    got = kept.collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, other), (1, words)]
+    assert all(r["a.b"] == "dot" and r["__row"] == 7 and bytes(r["__data"]) == b"d" and r["x y.z"] == 1 for r in got)
+    assert pipeline.packing(spark, kept, "").count() == 2 and pipeline.packing(spark, empty, "").count() == 0
+    assert pipeline.simhash_dedup(spark, df, "").count() == 5 and pipeline.decontamination(spark, df, str(tmp_path)).count() == 6
+    predicted = predict(df, learn(df, "text", "lang", F.col("doc_id")))
+    assert predicted.columns == [c for c in df.columns if c not in ("lang_pred", "score", "bits_per_byte")] + ["lang_pred", "score", "bits_per_byte"]
+    assert predicted.count() == len(rows)
+
+
+def _segmentations(p, text, first=True):
+    """(log probability, pieces) of every segmentation, byte pieces as (byte,)."""
+    if not text:
+        yield 0.0, []
+        return
+    table = p.begin if first else p.inner
+    for k in range(1, len(text) + 1):
+        if text[:k] in table:
+            for lp, rest in _segmentations(p, text[k:], False):
+                yield table[text[:k]] + lp, [text[:k], *rest]
+    if not first:
+        for lp, rest in _segmentations(p, text[1:], False):
+            yield sum(p.bytes[b] for b in text[0].encode()) + lp, [*((b,) for b in text[0].encode()), *rest]
+
+
+def test_expected_pieces_equal_all_segmentations():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    p = Pieces(PIECES, {k: k % 7 for k in range(32_000)}, 10.0)
+    words, times = ["there", "é日x", "a", "", "Übermut"], np.array([3, 2, 1, 4, 5])
+    got = p.expected([w.encode() for w in words], times)
+    want = np.zeros(p.size)
+    for w, n in zip(words, times, strict=True):
+        every = list(_segmentations(p, "▁" + w))
+        total = math.log(sum(math.exp(lp) for lp, _ in every))
+        assert abs(p.word(w.encode()) - total - p.stop) < 1e-9
+        for lp, pieces in every:
+            for piece in pieces:
+                k = int(p.byte_ids[piece[0]]) if isinstance(piece, tuple) else model.piece_to_id(piece)
+                want[k] += n * math.exp(lp - total)
+    assert np.abs(got - want).max() < 1e-9
+    assert np.isfinite(p.words([b"x" * 100_000, b"", b"ab"])).all()
+
+
+def test_scores_equal_brute_force(spark):
+    """Lattice and word scores of whole texts by sums over every segmentation, with weights fitted by the same counts in plain Python."""
+    texts = ["the cat sat", "the dog", None, "a cat the cat zq", ""]
+    held = [False, False, False, True, False]
+    df = spark.createDataFrame([(n, t, h) for n, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, h boolean")
+    got = {r.doc_id: r for r in lattice_scores(df, F.col("h"), PIECES, hot_words=2, rounds=2).collect()}
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    train = collections.Counter(w for t, h in zip(texts, held, strict=True) if not h for w in (t or "").split())
+    n_words = sum(train.values())
+    counts = collections.Counter()
+    for w, n in train.items():
+        for k in model.encode(w):
+            counts[k] += n
+    p = Pieces(PIECES, counts, n_words)
+    for _ in range(2):
+        counts = collections.Counter()
+        for w, n in train.items():
+            every = list(_segmentations(p, "▁" + w))
+            total = sum(math.exp(lp) for lp, _ in every)
+            for lp, pieces in every:
+                for piece in pieces:
+                    counts[int(p.byte_ids[piece[0]]) if isinstance(piece, tuple) else model.piece_to_id(piece)] += n * math.exp(lp) / total
+        p = Pieces(PIECES, counts, n_words)
+    ends, distinct = 4, len(train) + 1
+    total = n_words + ends
+    end = (ends + 0.5) / (total + 1)
+    left = (0.75 * distinct + 1) / (total + 1)
+    for n, t in enumerate(texts):
+        lattice = [sum(math.exp(lp) for lp, _ in _segmentations(p, "▁" + w)) * math.exp(p.stop) * (1 - end) for w in (t or "").split()] + [end]
+        own = [max(0, train[w] - 0.75) / (total + 1) for w in (t or "").split()] + [(ends - 0.75) / (total + 1)]
+        assert abs(got[n].score - sum(map(math.log10, lattice))) < 1e-6
+        assert abs(got[n].word_score - sum(math.log10(a + left * b) for a, b in zip(own, lattice, strict=True))) < 1e-6
+
+
+def test_findings_equal_brute_force_cosines(spark):
+    """Cosines with real document frequencies of all words over every passage, and the nearest directory by walking up."""
+    from fieldloom.llm.licenses import TEMPLATES
+    from fieldloom.llm.licenses import words as fold
+
+    few = {name: TEMPLATES[name] for name in ("MIT", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0")}
+    rnd = random.Random(21)
+    plain = ["rare%d" % k for k in range(60)] + ["common"] * 30 + ["the", "of", "license", "version"]
+    notices = [t for texts in few.values() for t in texts]
+    rows = []
+    for n in range(120):
+        ws = rnd.choice(notices).split()
+        for _ in range(rnd.randint(0, 6)):  # near the threshold from both sides
+            ws[rnd.randrange(len(ws))] = rnd.choice(plain)
+        text = " ".join([*rnd.choices(plain, k=rnd.randint(0, 5)), *ws, *rnd.choices(plain, k=rnd.randint(0, 5))])
+        path = "/".join(rnd.choice("ab") for _ in range(rnd.randint(0, 6))) + f"/f{n}"
+        rows.append((n, path, text if n % 3 else " ".join(rnd.choices(plain, k=9))))
+    n_docs = len(rows)
+    df_of = collections.Counter(w for _, _, t in rows for w in set(fold(t.encode())))
+    idf = lambda w: math.log((1 + n_docs) / (1 + df_of[w])) + 1
+
+    def vector(ws):
+        out = collections.Counter()
+        for w in ws:
+            out[w] += idf(w)
+        for a, b in itertools.pairwise(ws):
+            out[a, b] += (idf(a) + idf(b)) / 2
+        return out
+
+    own = [(name, fold(t.encode())) for name, texts in few.items() for t in texts]
+    vectors = [(name, len(ws), vector(ws)) for name, ws in own]
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    from fieldloom.llm.licenses import find_licenses
+
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in find_licenses(df, [F.col("doc_id")], few).collect()}
+    some = clear = 0
+    whole = {}
+    for n, path, text in rows:
+        ws = fold(text.encode())
+        found = []
+        for low in range(len(ws)):
+            for size in {s for _, s, _ in vectors}:
+                if low + size <= len(ws):
+                    v = vector(ws[low : low + size])
+                    scores = [sum(x * t.get(k, 0) for k, x in v.items()) / length(v) / length(t) for _, _, t in vectors]
+                    best = max(range(len(scores)), key=lambda k: (scores[k], -k))
+                    if scores[best] >= 0.8 and vectors[best][1] == size:
+                        found.append((-scores[best], low, low + size, vectors[best][0]))
+        kept = []
+        for score, a, b, name in sorted(found):
+            if all(b <= x or y <= a for x, y, _, _ in kept):
+                kept.append((a, b, name, -score))
+        kept.sort()
+        assert [(f.license, round(f.cosine, 9)) for f in got[n].findings] == [(name, round(s, 9)) for _, _, name, s in kept], text
+        some += bool(kept)
+        clear += not kept
+        if kept and 2 * sum(b - a for a, b, _, _ in kept) >= len(ws):
+            whole.setdefault(path.rpartition("/")[0], set()).update(name for _, _, name, _ in kept)
+    assert some > 20 and clear > 20
+    for r in license_scan(df, F.col("path"), templates=few).collect():
+        if not got[r.doc_id].findings:
+            at = r.path.rpartition("/")[0]
+            while at not in whole and at:
+                at = at.rpartition("/")[0]
+            want = (sorted(whole[at]), "inherited", at) if at in whole else ([], "none", None)
+            assert (r.licenses, r.origin, r.from_dir) == want
+
+
+def test_licences_of_many_families(spark):
+    from fieldloom.llm.licenses import TEMPLATES, find_licenses
+
+    rows = [(n, name, f"// some code\n# {t}\n int x = {n};") for n, (name, t) in enumerate((name, t) for name, texts in TEMPLATES.items() for t in texts)]
+    got = {r.doc_id: [f.license for f in r.findings] for r in find_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string"), [F.col("doc_id")]).collect()}
+    assert len(TEMPLATES) >= 20 and all(got[n] == [name] for n, name, _ in rows)
