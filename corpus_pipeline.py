@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import table, written
+from fieldloom.llm.common import columns_of, table, written
 from fieldloom.llm.decontamination import contaminated
 from fieldloom.llm.language import UNKNOWN, learn, predict
 from fieldloom.llm.packing import pack_documents
@@ -26,43 +26,52 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs, "text", "lang", F.col("doc_id"))
     if not model.languages:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    columns = [F.col(c) for c in docs.columns]
-    found = written(predict(docs, model, keep=columns), "predicted").where(F.col("lang_pred") != UNKNOWN)
-    usual = found.where(F.col("lang").isNotNull()).agg(F.percentile_approx("bits_per_byte", 0.99)).first()[0]
+    whole = F.struct(*columns_of(docs)).alias("doc")  # in one column, no name clashes with the model's
+    found = written(predict(docs, model, keep=[whole]), "predicted").where(F.col("lang_pred") != UNKNOWN)
+    usual = found.where(F.col("doc.lang").isNotNull()).agg(F.percentile_approx("bits_per_byte", 0.99)).first()[0]
     if usual is not None:
-        found = found.where(F.col("bits_per_byte") <= FAR * usual + START_BITS / F.octet_length("text"))
-    return found.select(*docs.columns)
+        found = found.where(F.col("bits_per_byte") <= FAR * usual + START_BITS / F.octet_length("doc.text"))
+    return found.select("doc.*")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written so that every scan numbers them alike."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, in a column that they lack, written so that every scan numbers them alike."""
+    row = "row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each near-duplicate group one row: that with the smallest doc_id, null ones last."""
-    rows = _numbered(docs)
-    found = near_duplicates(rows, id_col="__row").select("__row", "component").join(rows.select("__row", "doc_id"), "__row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
-    kept = found.groupBy("component").agg(first.alias("first")).select("first.__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    """Keep of each near-duplicate group one row: that with the smallest doc_id, null ones last, and of ties the first row.
+
+    Null and empty texts are one group; repeated rows and rows that share an id are told apart; an empty table stays empty.
+    """
+    rows, row = _numbered(docs)
+    found = near_duplicates(rows, id_col=row).select(row, "component").join(rows.select(row, "doc_id"), row)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))
+    kept = found.groupBy("component").agg(first.alias("first")).select(F.col(f"first.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*columns_of(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows that hold a window of 10 words of a benchmark item, whatever their ids and the item's."""
-    rows = _numbered(docs)
+    """Drop the rows that hold a window of 10 words of a benchmark item, whatever their ids and the item's.
+
+    Null and empty texts hold none and stay, as do repeated rows without a window; an empty table stays empty.
+    """
+    rows, row = _numbered(docs)
     items = table(spark, sf_dir, "benchmark").withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
-    found = contaminated(rows, items, id_col="__row").where("n_hit > 0").select("__row")
-    return rows.join(found, "__row", "left_anti").select(*docs.columns)
+    found = contaminated(rows, items, id_col=row).where("n_hit > 0").select(row)
+    return rows.join(found, row, "left_anti").select(*columns_of(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mark in the place of every secret; keeps all documents."""
+    """Put a mark in the place of every secret; keeps all rows, null and empty texts as they are."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 tokens."""
+    """Pieces of the documents in sequences of at most 1024 tokens; a null or empty text is its end token alone."""
     pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
