@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,14 +38,16 @@ class Reducible:
         name, neutral = self.column, self.neutral
 
         def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = neutral
+            both, out, some = np.frompyfunc(how, 2, 1), neutral, False
             for pdf in frames:
-                for x in pdf.iloc[:, 0]:
-                    out = how(out, x)
-            yield pd.DataFrame({"value": [out]})
+                if len(pdf):
+                    out, some = both.reduce(pdf.iloc[:, 0].to_numpy(object), initial=out), True
+            if some:
+                yield pd.DataFrame({"value": [out]})
 
         partial = self.field.select(name).mapInPandas(fold, f"value {kind}")
-        return partial.repartition(1).mapInPandas(fold, f"value {kind}")
+        last = partial.repartition(1).mapInPandas(fold, f"value {kind}")
+        return last.agg(F.coalesce(F.first("value"), F.lit(neutral).cast(kind)).alias("value"))
 
 
 def make_reducible(field: DataFrame, column: str, neutral: object) -> Reducible:

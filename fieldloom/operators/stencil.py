@@ -28,7 +28,7 @@ def run(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, strategy: str =
     """fields with the written columns updated on the grid's box; temporaries are not returned.
 
     fields is dense: a row for each point of a box that holds the grid's and the read extents (check_bounds makes sure of
-    the latter by one aggregate).  Fields outside the box keep their values, also those that inner stages compute beyond
+    that, and of a table without holes and repeated points, by one aggregate).  Fields outside the box keep their values, also those that inner stages compute beyond
     it.  strategy: windows, blocks or auto (windows if all multistages are parallel).  tile: cells of a tile in i and j.
     """
     spec = spec if isinstance(spec, Spec) else Spec((spec,))
@@ -50,7 +50,10 @@ def run(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, strategy: str =
     halo = Extent()
     for e in spec.arg_extents().values():
         halo = halo.hull(e)
-    tiled = deal(fields, grid, halo, tile, by_level=strategy == "windows" and not vertical_reads(spec))
+    if strategy == "windows" and halo.i == halo.j == (0, 0) and not vertical_reads(spec):
+        tiled = fields.withColumn("own", F.lit(True))  # every point for itself: a projection, without an exchange
+    else:
+        tiled = deal(fields, grid, halo, tile, by_level=strategy == "windows" and not vertical_reads(spec))
     out = _windows(spec, grid, tiled) if strategy == "windows" else _blocks(spec, grid, tiled)
     return out.where("own").select(*fields.columns)
 
@@ -64,7 +67,9 @@ def vertical_reads(spec: Spec) -> bool:
 
 
 def _check(spec: Spec, grid: Grid, fields: DataFrame) -> None:
-    low_i, high_i, low_j, high_j = fields.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()
+    low_i, high_i, low_j, high_j, low_k, high_k, rows = fields.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j"), F.min("k"), F.max("k"), F.count("*")).first()
+    if not rows or rows != (high_i - low_i + 1) * (high_j - low_j + 1) * (high_k - low_k + 1):
+        raise SpecError("the fields' table has holes or repeats points")
     for name, e in spec.arg_extents().items():
         if name not in spec.temps and (grid.i0 + e.i[0] < low_i or grid.i0 + grid.ni - 1 + e.i[1] > high_i or grid.j0 + e.j[0] < low_j or grid.j0 + grid.nj - 1 + e.j[1] > high_j):
             raise SpecError(f"{name} is read beyond its bounds")

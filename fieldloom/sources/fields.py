@@ -79,13 +79,23 @@ def dense(spark: SparkSession, dims: Mapping[str, int], offsets: Mapping[str, in
 
 
 def zip_fields(first: DataFrame, *others: DataFrame, dims: tuple[str, ...] = ("i", "j", "k")) -> DataFrame:
-    """One table of fields on the same points; a field without some of the dimensions is repeated along them."""
+    """One table of fields on the same points; a field without some of the dimensions is repeated along them.
+
+    A field that shares no dimension must have exactly one row; the query fails if it has not.
+    """
     for other in others:
         on = [d for d in dims if d in other.columns and d in first.columns]
-        first = first.join(other, on) if on else first.join(F.broadcast(other.limit(1)))
+        first = first.join(other, on) if on else first.join(F.broadcast(_single(other)))
     return first
 
 
+def _single(field: DataFrame) -> DataFrame:
+    """The one row of a field."""
+    row = field.agg(F.count("*").alias("__rows"), *(F.first(c).alias(c) for c in field.columns))
+    alone = F.when(F.col("__rows") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a field that shares no dimension must have one row")).cast("boolean"))
+    return row.where(alone).drop("__rows")
+
+
 def lattice(rows: DataFrame, i: Column, j: Column, k: Column, value: Column, dims: tuple[int, int, int]) -> DataFrame:
     """Dense (i, j, k, value): the sum of value over the rows at each point of the box, 0 where there are none."""
     sums = rows.select(i.cast("int").alias("i"), j.cast("int").alias("j"), k.cast("int").alias("k"), value.alias("v")).groupBy("i", "j", "k").agg(F.sum("v").cast("double").alias("value"))

@@ -186,3 +186,27 @@ def test_domains_and_folds(spark):
     assert [r.value for r in scanned.orderBy("k").collect()] == [42 + (k + 1) * (k + 2) / 2 for k in range(5)]
     ends = mesh.column_stage(df, ["i"], "k", ["v"], F.lit(42.0), mesh.Fold(lambda a, x: a + x["v"]), "double", prologue=(mesh.Fold(lambda a, x: a + 2 * x["v"]),), epilogue=(mesh.Fold(lambda a, x: a + 3 * x["v"]),))
     assert ends.first().value_last == 68 and ends.first().value is None
+
+
+def test_zero_extents_take_no_exchange(spark):
+    """A pointwise stage is a projection of the table."""
+    fields = src.dense(spark, {"i": 4, "j": 4, "k": 2}).withColumns({"value": F.col("i") * 1.0, "out": F.lit(0.0)})
+    out = stencil.run_single_stage(kernels.copy, make_grid(4, 4, 2), fields, inp="value", out="out")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert all(r.out == r.value for r in out.collect())
+
+
+def test_single_rows_and_holes(spark):
+    points = src.dense(spark, {"i": 3, "j": 3, "k": 2}).withColumns({"value": F.col("i") * 1.0, "out": F.lit(0.0)})
+    scalar = spark.createDataFrame([(2.5,)], "scale double")
+    assert {r.scale for r in src.zip_fields(points, scalar).collect()} == {2.5}
+    with pytest.raises(Exception, match="one row"):
+        src.zip_fields(points, scalar.union(scalar)).collect()
+    with pytest.raises(SpecError, match="holes"):
+        stencil.run(execute_parallel().stage(kernels.copy, inp="value", out="out"), make_grid(3, 3, 2), points.where("i <> 1"), check_bounds=True)
+
+
+def test_reductions_by_a_function_of_empty_and_full_fields(spark):
+    points = spark.range(100).select(F.col("id").cast("double").alias("value"))
+    assert reduction.make_reducible(points, "value", 0.0).reduce(lambda a, b: max(a, b)).first().value == 99.0
+    assert reduction.make_reducible(points.where("false"), "value", -1.0).reduce(lambda a, b: max(a, b)).first().value == -1.0
