@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.plans.grid import Extent
+
 COLORS = {"cells": 2, "edges": 3, "vertices": 1}
 
 #: From location and colour to location, neighbours (di, dj, colour) in the order that results depend on.
@@ -80,3 +83,82 @@ def laplacian(edges: DataFrame, div: DataFrame, curls: DataFrame, inverse_dual:
     out = fold_neighbors(edges, "edges", "cells", div, ["div"], F.lit(0.0), lambda a, x: along(a, x, "div"), "__d")
     out = fold_neighbors(out, "edges", "vertices", curls, ["curl"], F.lit(0.0), lambda a, x: along(a, x, "curl"), "__c")
     return out.withColumn(name, F.col("__d") * F.col(inverse_dual) - F.col("__c") * F.col(inverse_length)).drop("__d", "__c")
+
+
+# --- stages
+
+
+class Near:
+    """What a stage's body sees of its point: own columns, the colour, and folds over neighbours of a location, in order."""
+
+    def __init__(self, reads: Mapping[str, tuple[str, ...]]):
+        self.reads = reads
+        self.color = F.col("c")
+
+    def __call__(self, name: str) -> Column:
+        return F.col(name)
+
+    def fold(self, target: str, step: Callable[[Column, Column], Column], init: Column) -> Column:
+        """step(acc, neighbour) with the neighbour's place n and the values that the stage reads there."""
+        if target not in self.reads:
+            raise ValueError(f"the stage reads nothing on {target}")
+        return F.aggregate(F.coalesce(f"__near_{target}", F.array()), init, step)
+
+
+@dataclass(frozen=True)
+class Stage:
+    """On all colours of a location: body(near) gives {column: new value}.  reads: for other points' locations, the values read there."""
+
+    location: str
+    body: Callable[[Near], Mapping[str, Column]]
+    writes: tuple[str, ...]
+    reads: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class IcosahedralSpec:
+    """Stages in order; temps: {name: (location, type)} of fields that only live within a run."""
+
+    stages: tuple[Stage, ...]
+    temps: Mapping[str, tuple[str, str]] = field(default_factory=dict)
+
+    def compute_extents(self) -> list[Extent]:
+        """How far beyond the box each stage computes, so that later reads through neighbours find what it writes."""
+        needed: dict[tuple[str, str], Extent] = {}
+        out = []
+        for s in reversed(self.stages):
+            own = Extent()
+            for name in s.writes:
+                own = own.hull(needed.get((s.location, name), Extent()))
+            out.append(own)
+            for target, names in s.reads.items():
+                reach = own.plus(Extent(*neighbors_extent(s.location, target)))
+                for name in names:
+                    needed[target, name] = needed.get((target, name), Extent()).hull(reach)
+        return out[::-1]
+
+
+def run(spec: IcosahedralSpec, box: tuple[tuple[int, int], tuple[int, int]], fields: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The locations' tables after all stages, without the temporaries.
+
+    box: (first, last) of i and j.  Cells outside a stage's box (widened by its extent) keep what they had; neighbours beyond a table are left
+    out.  Each stage has one exchange for each location that it reads (see for_neighbors).
+    """
+    tables = dict(fields)
+    for name, (location, kind) in spec.temps.items():
+        if not any(name in s.writes and s.location == location for s in spec.stages):
+            raise ValueError(f"temporary {name} is never written")
+        tables[location] = tables[location].withColumn(name, F.lit(None).cast(kind))
+    for s, extent in zip(spec.stages, spec.compute_extents(), strict=True):
+        own = tables[s.location]
+        df = own
+        for target, names in s.reads.items():
+            df = for_neighbors(df, s.location, target, tables[target], list(names)).withColumnRenamed("neighbors", f"__near_{target}")
+        (i0, i1), (j0, j1) = box
+        inside = F.col("i").between(i0 + extent.i[0], i1 + extent.i[1]) & F.col("j").between(j0 + extent.j[0], j1 + extent.j[1])
+        found = s.body(Near(s.reads))
+        if set(found) != set(s.writes) or not set(found) <= set(own.columns):
+            raise ValueError(f"the stage writes {sorted(found)}, not {sorted(s.writes)} of its location's columns")
+        df = df.withColumns({n: F.when(inside, v.cast(own.schema[n].dataType)).otherwise(F.col(n)) for n, v in found.items()})
+        tables[s.location] = df.select(*own.columns)
+    return {location: df.drop(*(t for t, (at, _) in spec.temps.items() if at == location)) for location, df in tables.items()}

@@ -41,6 +41,30 @@ def horizontal_diffusion(inp: str = "value", coeff: str = "coeff", out: str = "o
     return multi_pass(stages.stage(diffuse, inp=inp, coeff=coeff, flx="flx", fly="fly", out=out), temps=("lap", "flx", "fly"))
 
 
+@operator(inp=in_(**NEAR), north=in_(), south=in_(), out=inout())
+def weighed_laplacian(inp, north, south, out):
+    """Differences along j have weights, which may vary along j."""
+    return {"out": inp(i=1) + inp(i=-1) - 2.0 * inp() + north() * (inp(j=1) - inp()) + south() * (inp(j=-1) - inp())}
+
+
+@operator(inp=in_(), lap=in_(**NEAR), north=in_(), coeff=in_(), out=inout())
+def flux_divergence(inp, lap, north, coeff, out):
+    along_i = (lap() - lap(i=-1)) - (lap(i=1) - lap())
+    along_j = north() * (lap() - lap(j=-1)) - north() * (lap(j=1) - lap())
+    return {"out": inp() + (along_i + along_j) * coeff()}
+
+
+def simple_diffusion(inp: str = "value", north: str = "north", south: str = "south", coeff: str = "coeff", out: str = "out") -> Spec:
+    """Unlimited fourth-order diffusion with weights along j: two stages, halo 2."""
+    stages = execute_parallel().stage(weighed_laplacian, inp=inp, north=north, south=south, out="lap")
+    return multi_pass(stages.stage(flux_divergence, inp=inp, lap="lap", north=north, coeff=coeff, out=out), temps=("lap",))
+
+
+@operator(inp=in_(), density=in_(), out=inout())
+def prepare_tracer(inp, density, out):
+    return {"out": density() * inp()}
+
+
 def tridiagonal(grid, inf: str = "inf", diag: str = "diag", sup: str = "sup", rhs: str = "rhs", out: str = "out") -> Spec:
     """Thomas: a forward sweep, then a backward one."""
     from fieldloom.plans.spec import Operator

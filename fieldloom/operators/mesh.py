@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 MISSING = -1
 
@@ -47,25 +48,23 @@ def can_deref(at: str) -> Column:
     return F.col(at) != MISSING
 
 
-def reduce_neighbors(field: DataFrame, value: str, table: DataFrame, index: str, target: str, fold: Callable[[Column, Column, Column], Column], init: Column, more: tuple[str, ...] = (), name: str = "value") -> DataFrame:
-    """(target, more, name): fold(acc, neighbour's value, place) over the neighbours that exist, in their order.
+def reduce_neighbors(field: DataFrame, value: str, table: DataFrame, index: str, target: str, fold: Callable[[Column, Column, Column], Column], init: Column, levels: Mapping[str, int] | None = None, name: str = "value") -> DataFrame:
+    """(target, *levels, name): fold(acc, neighbour's value, place) over the neighbours that exist, in their order.
 
-    Values are gathered by one equi-join on the neighbour, and folded in an array no longer than a point's neighbours.  Points
-    without neighbours give init for each value of `more` that the field has.
+    levels: sizes of the dimensions that the field has besides (as k), in which it is dense.  Values are gathered by one equi-join on
+    the neighbour, and folded in an array no longer than a point's neighbours.  Points without neighbours give init at every
+    level; they are found from the table alone and join nothing, so that they make no hot key.
     """
-    own = table.where(F.col("neighbor") != MISSING)
-    gathered = own.join(field.select(F.col(index).alias("neighbor"), *more, F.col(value).alias("__value")), "neighbor")
-    lists = gathered.groupBy("index", *more).agg(F.array_sort(F.collect_list(F.struct("n", "__value"))).alias("__list"))
-    points = table.select("index").distinct()
-    if more:
-        points = points.join(F.broadcast(field.select(*more).distinct()) if _few(field, more) else field.select(*more).distinct())
-    out = points.join(lists, ["index", *more], "left")
-    folded = F.aggregate(F.coalesce("__list", F.expr("array()").cast(lists.schema["__list"].dataType)), init, lambda acc, x: fold(acc, x["__value"], x["n"]))
-    return out.select(F.col("index").alias(target), *more, folded.alias(name))
-
-
-def _few(field: DataFrame, more: tuple[str, ...], most: int = 100_000) -> bool:
-    return field.select(*more).distinct().limit(most + 1).count() <= most
+    more = list(levels or {})
+    there = table.where(F.col("neighbor") != MISSING).join(field.select(F.col(index).alias("neighbor"), *more, F.col(value).alias("__value")), "neighbor")
+    there = there.select("index", *more, F.struct("n", "__value").alias("__x"))
+    alone = table.groupBy("index").agg(F.max("neighbor").alias("__most")).where(F.col("__most") == MISSING).drop("__most")
+    for d, n in (levels or {}).items():
+        alone = alone.withColumn(d, F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast(ArrayType(field.schema[d].dataType))))
+    alone = alone.withColumn("__x", F.lit(None).cast(there.schema["__x"].dataType))
+    lists = there.unionByName(alone).groupBy("index", *more).agg(F.array_sort(F.collect_list("__x")).alias("__list"))
+    folded = F.aggregate("__list", init, lambda acc, x: fold(acc, x["__value"], x["n"]))
+    return lists.select(F.col("index").alias(target), *more, folded.alias(name))
 
 
 def indirect(field: DataFrame, value: str, axis: str, offset: Column, keys: list[str], name: str = "value") -> DataFrame:
@@ -95,39 +94,95 @@ class Fold:
 Pass = Scan | Fold
 
 
-def column_stage(df: DataFrame, keys: list[str], axis: str, inputs: list[str], seed: Column, body: Pass, kind: str, out: str = "value", backward: bool = False, prologue: tuple[Pass, ...] = (), epilogue: tuple[Pass, ...] = (), acc_kind: str | None = None) -> DataFrame:
-    """df with `out` written by a pass over each column in order; levels that a fold covers keep null (or the old column).
+@dataclass(frozen=True)
+class ColumnStage:
+    """A pass over each column, in order or backward; out: the field that its scans write, if any.
+
+    seed None takes the accumulator that the stage before ended with.  prologue and epilogue take the first and last levels met.
+    """
 
-    The column of a point is one array: ordered, folded by a JVM aggregate that carries the accumulator and the levels
-    written so far.  prologue and epilogue take the first and last levels met; a column must be as long as both.
+    body: Pass
+    out: str | None = None
+    seed: Column | None = None
+    kind: str = "double"
+    acc_kind: str | None = None
+    backward: bool = False
+    prologue: tuple[Pass, ...] = ()
+    epilogue: tuple[Pass, ...] = ()
+
+
+#: Levels whose results are gathered at a time: an array that grows level by level is copied each time.
+CHUNK = 64
+
+
+def merged_columns(df: DataFrame, keys: list[str], axis: str, inputs: list[str], stages: list[ColumnStage], last: str | None = None) -> DataFrame:
+    """(keys, axis, inputs and what the stages write, last): stages run one after the other on each column.
+
+    A stage reads the inputs and what stages before it wrote.  Levels that a fold covers keep the old value, or null where `out` is
+    no input.  last: a column for the accumulator at the end.  One exchange serves all stages: a point's column is one array,
+    ordered and folded by JVM aggregates; it must be as long as a stage's prologue and epilogue.
     """
-    n_pro, n_epi = len(prologue), len(epilogue)
-    acc_kind = acc_kind or kind
     level = F.struct(F.col(axis).alias("__k"), *inputs)
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(level)).alias("__l"))
-    levels = F.reverse("__l") if backward else F.col("__l")
-    start = F.struct(seed.cast(acc_kind).alias("acc"), F.expr("array()").cast(f"array<{kind}>").alias("out"), F.lit(0).alias("n"))
+    known = list(inputs)
+    for n, s in enumerate(stages):
+        if s.seed is None and n == 0:
+            raise ValueError("the first stage needs a seed")
+        packed = packed.withColumn(f"__s{n}", _pass(s, s.seed if s.seed is not None else F.col(f"__s{n - 1}.acc"), s.out in known))
+        if s.out:
+            written = F.col(f"__s{n}.out")
+            written = F.flatten(F.reverse(F.transform(written, F.reverse)) if s.backward else written)
+            packed = packed.withColumn("__l", F.zip_with("__l", written, _put(s.out)))
+            known += [s.out] * (s.out not in known)
+    flat = packed.select(*keys, F.explode("__l").alias("__x"), F.col(f"__s{len(stages) - 1}.acc").alias("__acc"))
+    return flat.select(*keys, F.col("__x.__k").alias(axis), *(F.col(f"__x.`{c}`").alias(c) for c in known), *([F.col("__acc").alias(last)] if last else []))
+
+
+def _put(name: str) -> Callable[[Column, Column], Column]:
+    return lambda x, v: x.withField(f"`{name}`", v)
+
+
+def _pass(s: ColumnStage, seed: Column, old: bool) -> Column:
+    """struct<acc, out, n> of a stage over __l: its accumulator at the end, and what it wrote in chunks in the order met."""
+    n_pro, n_epi = len(s.prologue), len(s.epilogue)
+    acc_kind = s.acc_kind or s.kind
     size = F.size("__l")
+    levels = F.reverse("__l") if s.backward else F.col("__l")
+    if n_pro + n_epi:
+        levels = F.when(size >= n_pro + n_epi, levels).otherwise(F.raise_error(F.lit("a column is shorter than prologue and epilogue")))
+    nothing = F.expr("array()").cast(f"array<{s.kind}>")
 
     def step(state: Column, x: Column) -> Column:
         acc = state["acc"]
 
         def done(p: Pass) -> tuple[Column, Column]:
             new = p.step(acc, x).cast(acc_kind)
-            return new, (p.project(new).cast(kind) if isinstance(p, Scan) else F.lit(None).cast(kind))
+            return new, (p.project(new) if isinstance(p, Scan) else x[s.out] if old else F.lit(None)).cast(s.kind)
 
-        new, written = done(body)
-        for at, p in [*((n, p) for n, p in enumerate(prologue)), *((size - n_epi + n, p) for n, p in enumerate(epilogue))]:
+        new, written = done(s.body)
+        for at, p in [*((n, p) for n, p in enumerate(s.prologue)), *((size - n_epi + n, p) for n, p in enumerate(s.epilogue))]:
             a, w = done(p)
             here = state["n"] == at
             new, written = F.when(here, a).otherwise(new), F.when(here, w).otherwise(written)
-        return F.struct(new.alias("acc"), F.concat(state["out"], F.array(written)).alias("out"), (state["n"] + 1).alias("n"))
+        out = F.concat(state["out"], F.array(written)) if s.out else state["out"]
+        return F.struct(new.alias("acc"), out.alias("out"), (state["n"] + 1).alias("n"))
 
-    if n_pro + n_epi:
-        levels = F.when(size >= n_pro + n_epi, levels).otherwise(F.raise_error(F.lit("a column is shorter than prologue and epilogue")))
-    ran = packed.select(*keys, levels.alias("__l"), F.aggregate(levels, start, step).alias("__s"))
-    flat = ran.select(*keys, F.explode(F.arrays_zip(F.col("__l.__k").alias("k"), F.col("__s.out").alias("v"))).alias("__x"), F.col("__s.acc").alias("__acc"))
-    return flat.select(*keys, F.col("__x.k").alias(axis), F.col("__x.v").alias(out), F.col("__acc").alias(f"{out}_last"))
+    def chunk(state: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(state["acc"].alias("acc"), nothing.alias("out"), state["n"].alias("n")), step)
+        joined = lambda x, d: F.struct(d["acc"].alias("acc"), F.concat(x["out"], F.array(d["out"])).alias("out"), d["n"].alias("n"))
+        return F.aggregate(F.array(done), state, joined)  # names the chunk's result, which is used three times
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / CHUNK).cast("int")), lambda c: F.slice(levels, c * CHUNK + 1, F.lit(CHUNK)))
+    start = F.struct(seed.cast(acc_kind).alias("acc"), F.expr("array()").cast(f"array<array<{s.kind}>>").alias("out"), F.lit(0).alias("n"))
+    return F.aggregate(chunks, start, chunk)
+
+
+def column_stage(df: DataFrame, keys: list[str], axis: str, inputs: list[str], seed: Column, body: Pass, kind: str, out: str = "value", backward: bool = False, prologue: tuple[Pass, ...] = (), epilogue: tuple[Pass, ...] = (), acc_kind: str | None = None) -> DataFrame:
+    """(keys, axis, out, out_last): one pass over each column in order; levels that a fold covers have null."""
+    ran = merged_columns(df, keys, axis, [c for c in inputs if c != out], [ColumnStage(body, out, seed, kind, acc_kind, backward, prologue, epilogue)], f"{out}_last") if out not in inputs else None
+    if ran is None:  # what it reads has the name of what it writes
+        ran = merged_columns(df, keys, axis, inputs, [ColumnStage(body, "__out", seed, kind, acc_kind, backward, prologue, epilogue)], f"{out}_last").drop(out).withColumnRenamed("__out", out)
+    return ran.select(*keys, axis, out, f"{out}_last")
 
 
 def fold_columns(df: DataFrame, keys: list[str], axis: str, inputs: list[str], seed: Column, step: Callable[[Column, Column], Column], kind: str, backward: bool = False, out: str = "value") -> DataFrame:
@@ -173,7 +228,10 @@ def unstructured_domain(sizes: Mapping[str, int], offsets: Mapping[str, int] | N
 
 
 class StencilExecutor:
-    """Assignments that run in order on one table: .assign(out, stencil, *inputs) with stencils from Columns to a Column."""
+    """Pointwise assignments that run in order on one table: .assign(out, stencil, *inputs), stencils from Columns to a Column.
+
+    Stencils that read other points are in fieldloom.operators.fn.
+    """
 
     def __init__(self, domain: Domain, fields: DataFrame):
         self.domain, self.fields = domain, fields
@@ -194,23 +252,21 @@ class StencilExecutor:
 class VerticalExecutor:
     """Column passes that run in order on one table: .assign(out, pass, seed, *inputs), each from the columns before it.
 
-    fields is dense along the axis within the domain; rows outside the domain are left aside.
+    fields is dense along the axis within the domain; rows outside the domain are left aside.  One exchange serves all passes.
     """
 
     def __init__(self, domain: Domain, fields: DataFrame, keys: list[str], axis: str, kind: str = "double"):
         self.domain, self.fields, self.keys, self.axis, self.kind = domain, fields, keys, axis, kind
-        self.steps: list[tuple[str, Pass, Column, tuple[str, ...], bool, tuple, tuple]] = []
+        self.steps: list[ColumnStage] = []
 
-    def assign(self, out: str, body: Pass, seed: Column, *inputs: str, backward: bool = False, prologue: tuple[Pass, ...] = (), epilogue: tuple[Pass, ...] = ()) -> VerticalExecutor:
-        self.steps.append((out, body, seed, inputs, backward, prologue, epilogue))
+    def assign(self, out: str, body: Pass, seed: Column, *inputs: str, backward: bool = False, prologue: tuple[Pass, ...] = (), epilogue: tuple[Pass, ...] = (), kind: str | None = None, acc_kind: str | None = None) -> VerticalExecutor:
+        self.steps.append(ColumnStage(body, out, seed, kind or self.kind, acc_kind, backward, prologue, epilogue))
         return self
 
     def execute(self) -> DataFrame:
         df = self.fields.where(self.domain.holds())
-        for out, body, seed, inputs, backward, prologue, epilogue in self.steps:
-            ran = column_stage(df, self.keys, self.axis, list(inputs), seed, body, self.kind, out, backward, prologue, epilogue)
-            df = df.drop(out).join(ran.drop(f"{out}_last"), [*self.keys, self.axis])
-        return df
+        others = [c for c in df.columns if c not in self.keys and c != self.axis]
+        return merged_columns(df, self.keys, self.axis, others, self.steps)
 
 
 def merged_stencil(*parts: tuple[str, Callable[..., Column], tuple[str, ...]]) -> Callable[[DataFrame], DataFrame]:

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names: aggregates of a column.  min and max are `x < y ? x : y` and `x > y ? x : y`; a NaN is passed over where Spark's order would take it for the greatest.
+#: Names: aggregates of a column.  min and max are `x < y ? x : y` and `x > y ? x : y`; NaNs are passed over (Spark orders them last), all of them if there is nothing else.
 REDUCTIONS: dict[str, Callable[[Column], Column]] = {
     "plus": F.sum,
     "mul": F.product,
-    "min": lambda c: F.min(c),
+    "min": lambda c: F.min(F.when(~F.isnan(c.cast("double")), c)),
     "max": lambda c: F.max(F.when(~F.isnan(c.cast("double")), c)),
     "bitwise_and": F.bit_and,
     "bitwise_or": F.bit_or,
@@ -54,7 +54,15 @@ def make_reducible(field: DataFrame, column: str, neutral: object) -> Reducible:
     return Reducible(field, column, neutral)
 
 
-def scatter(updates: DataFrame, keys: list[str], column: str, how: str) -> DataFrame:
-    """What atomic add, sub, min and max on shared cells come to: one aggregate by cell."""
-    value = {"add": F.sum, "sub": lambda c: -F.sum(c), "min": F.min, "max": F.max}[how](F.col(column))
+def scatter(updates: DataFrame, keys: list[str], column: str, how: str, order: str | None = None) -> DataFrame:
+    """What atomic add, sub, min, max and exch on shared cells come to: one aggregate by cell.
+
+    exch leaves the last update by the column `order`; of several last ones the greatest.
+    """
+    if how == "exch":
+        if order is None:
+            raise ValueError("exch needs an order")
+        value = F.max(F.struct(F.col(order).alias("__order"), F.col(column).alias("__value")))["__value"]
+    else:
+        value = {"add": F.sum, "sub": lambda c: -F.sum(c), "min": F.min, "max": F.max}[how](F.col(column))
     return updates.groupBy(*keys).agg(value.alias(column))

@@ -22,6 +22,8 @@ from fieldloom.plans.grid import Extent, Grid
 from fieldloom.plans.spec import MultiStage, Operator, Spec, SpecError, execute_parallel
 
 TILE = (64, 64)
+#: Types of temporaries in blocks.
+_NUMPY_KINDS = {"double": np.dtype("f8"), "float": np.dtype("f4"), "bigint": np.dtype("i8"), "long": np.dtype("i8"), "int": np.dtype("i4"), "boolean": np.dtype("?")}
 
 
 def run(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, strategy: str = "auto", tile: tuple[int, int] = TILE, check_bounds: bool = False) -> DataFrame:
@@ -45,6 +47,8 @@ def run(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, strategy: str =
         strategy = "windows" if parallel else "blocks"
     if strategy == "blocks" and any(native_only(e) for s in spec.stages() for _, b in s.bodies() for e in b.values()):
         raise SpecError("tuple values have no block form")
+    if strategy == "blocks" and any(spec.kinds.get(t, "double") not in _NUMPY_KINDS for t in spec.temps):
+        raise SpecError("temporaries of this type have no block form")
     if strategy == "windows" and not parallel:
         raise SpecError("windows serve parallel multistages only")
     halo = Extent()
@@ -106,7 +110,8 @@ def _windows(spec: Spec, grid: Grid, tiled: DataFrame) -> DataFrame:
     out = tiled
     temps = spec.temps
     for name in temps & spec.fields():
-        out = out.withColumn(name, F.lit(None).cast("double"))
+        out = out.withColumn(name, F.lit(None).cast(spec.kinds.get(name, "double")))
+    singles = frozenset(f.name for f in out.schema if isinstance(f.dataType, T.FloatType))
     for s, extent in zip(spec.stages(), spec.compute_extents(), strict=True):
         bodies = s.bodies()
         wanted = sorted({r for _, b in bodies for e in b.values() for r in reads(e) if any(r[1])})
@@ -129,7 +134,7 @@ def _windows(spec: Spec, grid: Grid, tiled: DataFrame) -> DataFrame:
             levels = grid.levels(interval) if interval else range(grid.nk)
             here = inside & F.col("k").between(levels.start, levels.stop - 1)
             for name, e in body.items():
-                value = to_column(e, lambda f, o, held=held: F.col(held[f, o] if any(o) else f))
+                value = to_column(e, lambda f, o, held=held: F.col(held[f, o] if any(o) else f), singles)
                 kind = out.schema[name].dataType
                 value = value if isinstance(kind, (T.StructType, T.ArrayType)) else value.cast(kind)
                 updates[name] = updates[name].when(here, value) if name in updates else F.when(here, value)
@@ -159,7 +164,8 @@ def _blocks(spec: Spec, grid: Grid, tiled: DataFrame) -> DataFrame:
             data[name] = np.full(shape, np.nan if column.dtype.kind == "f" else 0, column.dtype)
             data[name][at] = column
         for name in temps:
-            data[name] = np.full(shape, np.nan)
+            kind = _NUMPY_KINDS[spec.kinds.get(name, "double")]
+            data[name] = np.full(shape, np.nan if kind.kind == "f" else 0, kind)
         for order, stages in plan:
             _multistage(order, stages, data, grid, lows, shape)
         for name in written:
@@ -189,7 +195,7 @@ def _multistage(order: str, stages: list, data: dict, grid: Grid, lows: tuple, s
             low, high = levels.start + o[2], levels.stop + o[2]
             a = data[name][here[0].start + o[0] : here[0].stop + o[0], here[1].start + o[1] : here[1].stop + o[1], max(low, 0) : max(min(high, shape[2]), 0)]
             if low < 0 or high > shape[2]:  # beyond the column there is nothing
-                a = np.pad(a.astype(np.float64), ((0, 0), (0, 0), (min(max(-low, 0), high - low), min(max(high - shape[2], 0), high - low))), constant_values=np.nan)
+                a = np.pad(a if a.dtype.kind == "f" else a.astype(np.float64), ((0, 0), (0, 0), (min(max(-low, 0), high - low), min(max(high - shape[2], 0), high - low))), constant_values=np.nan)
             return a
 
         def index(dim: str) -> np.ndarray:
@@ -229,7 +235,7 @@ def expandable_run(spec_of, factor: int, grid: Grid, fields: DataFrame, vectors:
         raise SpecError("the factor is at least 1")
     specs = [spec_of({name: v[n] for name, v in vectors.items()}) for n in range(len(next(iter(vectors.values()))))]
     specs = [s if isinstance(s, Spec) else Spec((s,)) for s in specs]
-    renamed = Spec(tuple(m for s in specs for m in s.multistages), frozenset().union(*(s.temps for s in specs)))
+    renamed = Spec(tuple(m for s in specs for m in s.multistages), frozenset().union(*(s.temps for s in specs)), {t: k for s in specs for t, k in s.kinds.items()})
     return run(renamed, grid, fields, **options)
 
 

@@ -160,17 +160,33 @@ def native_only(expr: Expr) -> bool:
     return isinstance(expr, Op) and (_OPS[expr.kind][1] is None or any(map(native_only, expr.args)))
 
 
-def to_column(expr: Expr, read: Callable[[str, tuple[int, int, int]], Column]) -> Column:
+#: Kinds whose results are truth values or tuples, not numbers.
+_NO_NUMBER = {"<", "<=", ">", ">=", "==", "and", "or", "array", "struct"}
+
+
+def in_single(expr: Expr, singles: frozenset[str]) -> bool:
+    """Whether all that it reads are fields of floats, and so all its steps stay floats."""
+    if isinstance(expr, Op):
+        return any(reads(a) for a in expr.args) and all(isinstance(a, Const) or in_single(a, singles) for a in expr.args)
+    return isinstance(expr, Read) and expr.field in singles
+
+
+def to_column(expr: Expr, read: Callable[[str, tuple[int, int, int]], Column], singles: frozenset[str] = frozenset()) -> Column:
+    """singles: the fields of floats.  Steps on these alone are rounded to single precision one by one, as numpy's are."""
     if isinstance(expr, Const):
         return F.lit(expr.value)
+    if singles and isinstance(expr, Op) and in_single(expr, singles):
+        args = [F.lit(a.value).cast("float") if isinstance(a, Const) and type(a.value) is not bool else to_column(a, read, singles) for a in expr.args]
+        out = _OPS[expr.kind][0](*args)
+        return out if expr.kind in _NO_NUMBER else ieee.single(out)
     if isinstance(expr, Read):
         return read(expr.field, expr.offset)
     if isinstance(expr, Index):
         return F.col(expr.dim)
     if isinstance(expr, Item):
-        of = to_column(expr.of, read)
+        of = to_column(expr.of, read, singles)
         return F.get(of, F.lit(expr.at)) if isinstance(expr.at, int) else of.getField(expr.at)
-    return _OPS[expr.kind][0](*(to_column(a, read) for a in expr.args))
+    return _OPS[expr.kind][0](*(to_column(a, read, singles) for a in expr.args))
 
 
 def to_numpy(expr: Expr, read: Callable[[str, tuple[int, int, int]], np.ndarray], index: Callable[[str], np.ndarray]):

@@ -154,10 +154,11 @@ def execute_backward() -> MultiStage:
 
 @dataclass(frozen=True)
 class Spec:
-    """Multistages one after the other; temps: the fields that only live within a run."""
+    """Multistages one after the other; temps: the fields that only live within a run; kinds: types of temps other than double."""
 
     multistages: tuple[MultiStage, ...]
     temps: frozenset[str] = frozenset()
+    kinds: Mapping[str, str] = field(default_factory=dict)
 
     def stages(self) -> list[Stage]:
         return [s for m in self.multistages for s in m.stages]
@@ -254,5 +255,6 @@ def _told(e: Expr) -> object:
     return {"op": e.kind, "args": [_told(a) for a in e.args]} if hasattr(e, "kind") else {"item": e.at, "of": _told(e.of)}
 
 
-def multi_pass(*multistages: MultiStage, temps: tuple[str, ...] = ()) -> Spec:
-    return Spec(multistages, frozenset(temps))
+def multi_pass(*multistages: MultiStage, temps: tuple[str, ...] | Mapping[str, str] = ()) -> Spec:
+    """temps: names, or types by name (of doubles and other numbers in blocks, of any type in windows)."""
+    return Spec(multistages, frozenset(temps), dict(temps) if isinstance(temps, Mapping) else {})

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import ieee
-from fieldloom.operators import boundary, halo, icosahedral, kernels, mesh, reduction, stencil
+from fieldloom.operators import boundary, fn, halo, icosahedral, kernels, mesh, reduction, stencil
+from fieldloom.operators.fn import can_deref, deref, shift
+from fieldloom.plans import expr
 from fieldloom.plans.expr import Index, array, maximum, where
-from fieldloom.plans.grid import Axis, Extent, Grid, Halo, make_grid
+from fieldloom.plans.grid import Axis, Extent, Grid, Halo, Interval, Level, make_grid
 from fieldloom.plans.spec import Global, Operator, execute_backward, execute_forward, execute_parallel, in_, inout, multi_pass
 from fieldloom.sources import fields as src
 
@@ -356,9 +358,9 @@ def neighbor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unstructured_nabla(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge values from both ends, then signed sums of them around each vertex, in neighbour order."""
     field = lat(spark, sf_dir).select((F.col("i") + F.col("j") * N).alias("vertex"), "k", "value")
-    add = mesh.reduce_neighbors(field, "value", edges_to_vertices(spark), "vertex", "edge", lambda a, v, n: a + v, F.lit(0.0), ("k",), "flux")
+    add = mesh.reduce_neighbors(field, "value", edges_to_vertices(spark), "vertex", "edge", lambda a, v, n: a + v, F.lit(0.0), {"k": NK}, "flux")
     signed = lambda a, v, n: a + F.when(n % 2 == 0, v).otherwise(-v)
-    return mesh.reduce_neighbors(add, "flux", vertices_to_edges(spark), "edge", "vertex", signed, F.lit(0.0), ("k",), "out")
+    return mesh.reduce_neighbors(add, "flux", vertices_to_edges(spark), "edge", "vertex", signed, F.lit(0.0), {"k": NK}, "out")
 
 
 @query(f"""WITH {{lat}}, {_E2V}, {_V2E}, f AS (SELECT (i + j * 10)::int AS vertex, value FROM lat WHERE k = 0), p AS (SELECT vertex FROM f),
@@ -549,3 +551,330 @@ def vertical_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = mesh.cartesian_domain({"i": N, "j": N, "k": 5}, {"k": 1})
     add = lambda name: mesh.Scan(lambda a, x: a + x[name])
     return mesh.VerticalExecutor(domain, lat(spark, sf_dir), ["i", "j"], "k").assign("up", add("value"), F.lit(0.0), "value").assign("down", add("up"), F.lit(0.0), "up", backward=True).execute()
+
+
+# --- the functional frontend: stencils on iterators
+
+
+def _fn_lap(inp):
+    return 4.0 * deref(inp) - (deref(shift(inp, "i", 1)) + deref(shift(inp, "j", 1)) + deref(shift(inp, "i", -1)) + deref(shift(inp, "j", -1)))
+
+
+def _fn_flux(dim: str, lap):
+    """lap: a stencil; the flux is one of the input alone."""
+    def flux(inp):
+        ahead = shift(inp, dim, 1)
+        step = lap(ahead) - lap(inp)
+        return where(step * (deref(ahead) - deref(inp)) > 0, 0.0, step)
+
+    return flux
+
+
+def _fn_diffused(inp, coeff, flx, fly):
+    """flx, fly: functions of a shift (dimension, steps)."""
+    return deref(inp) - deref(coeff) * (flx() - flx("i", -1) + fly() - fly("j", -1))
+
+
+@query(_DIFFUSION_SQL.replace("{coeff}", "0.025e0"))
+def fn_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four assignments, each on a domain of its own; they share one exchange."""
+    def box(low: tuple[int, int], n: tuple[int, int]) -> mesh.Domain:
+        return mesh.cartesian_domain({"i": n[0], "j": n[1], "k": NK}, {"i": low[0], "j": low[1]})
+
+    def flux(dim: str):
+        def own(inp, lap):
+            step = deref(shift(lap, dim, 1)) - deref(lap)
+            return where(step * (deref(shift(inp, dim, 1)) - deref(inp)) > 0, 0.0, step)
+
+        return own
+
+    read = lambda it: lambda *moves: deref(shift(it, *moves))
+    ex = fn.CartesianExecutor(box((2, 2), (6, 6)), lat(spark, sf_dir).withColumn("coeff", F.lit(0.025)))
+    ex.assign("lap", _fn_lap, "value", domain=box((1, 1), (8, 8)))
+    ex.assign("flx", flux("i"), "value", "lap", domain=box((1, 2), (7, 6))).assign("fly", flux("j"), "value", "lap", domain=box((2, 1), (6, 7)))
+    ex.assign("out", lambda inp, coeff, flx, fly: _fn_diffused(inp, coeff, read(flx), read(fly)), "value", "coeff", "flx", "fly")
+    return _inner(ex.execute(), 2).select("i", "j", "k", "out")
+
+
+@query(_DIFFUSION_SQL.replace("{coeff}", "0.025e0"))
+def fn_diffusion_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as one stencil that calls the others on shifted iterators."""
+    def fused(inp, coeff):
+        flx, fly = (lambda *moves, d=d: _fn_flux(d, _fn_lap)(shift(inp, *moves)) for d in "ij")
+        return _fn_diffused(inp, coeff, flx, fly)
+
+    domain = mesh.cartesian_domain({"i": 6, "j": 6, "k": NK}, {"i": 2, "j": 2})
+    ex = fn.CartesianExecutor(domain, lat(spark, sf_dir).withColumn("coeff", F.lit(0.025))).assign("out", fused, "value", "coeff")
+    return _inner(ex.execute(), 2).select("i", "j", "k", "out")
+
+
+#: Rows of the implicit system, in the order of the kernel's arithmetic; then its solution from below and back.
+_ADVECTION_SQL = """WITH RECURSIVE {lat}, w AS (SELECT i, j, k, value AS u, value / 1000e0 AS w, value / 50e0 AS pos FROM lat),
+    n AS (SELECT a.*, e.w AS we, b.u AS ub, t.u AS ut, t.w AS wt, te.w AS wte FROM w a JOIN w e ON e.i = a.i + 1 AND e.j = a.j AND e.k = a.k
+        LEFT JOIN w b ON b.i = a.i AND b.j = a.j AND b.k = a.k - 1 LEFT JOIN w t ON t.i = a.i AND t.j = a.j AND t.k = a.k + 1
+        LEFT JOIN w te ON te.i = a.i + 1 AND te.j = a.j AND te.k = a.k + 1),
+    p AS (SELECT *, CASE WHEN k = 0 THEN 0e0 ELSE -0.25e0 * (we + w) END AS down, CASE WHEN k = 6 THEN 0e0 ELSE 0.25e0 * (wte + wt) END AS up, 0.15e0 * pos + 0.5e0 + 0.25e0 AS known FROM n),
+    q AS (SELECT *, CASE WHEN k = 0 THEN known ELSE known - down * 0.5e0 * (ub - u) END AS known1 FROM p),
+    s AS MATERIALIZED (SELECT i, j, k, pos, down * 0.5e0 AS inf, 0.15e0 - down * 0.5e0 - up * 0.5e0 AS diag, up * 0.5e0 AS sup, CASE WHEN k = 6 THEN known1 ELSE known1 - up * 0.5e0 * (ut - u) END AS rhs FROM q),
+    f(i, j, k, pos, c, d) AS (SELECT i, j, k, pos, sup / diag, rhs / diag FROM s WHERE k = 0
+        UNION ALL SELECT a.i, a.j, a.k, a.pos, a.sup / (a.diag - f.c * a.inf), (a.rhs - a.inf * f.d) / (a.diag - f.c * a.inf) FROM f JOIN s a ON a.i = f.i AND a.j = f.j AND a.k = f.k + 1),
+    b(i, j, k, pos, x) AS (SELECT i, j, k, pos, d FROM f WHERE k = 6 UNION ALL SELECT f.i, f.j, f.k, f.pos, f.d - f.c * b.x FROM b JOIN f ON f.i = b.i AND f.j = b.j AND f.k = b.k - 1)
+    SELECT i, j, k, 0.15e0 * (x - pos) AS utens_out FROM b"""
+ORACLE_SQL["vertical_advection"] = _ADVECTION_SQL.replace("{lat}", _lat_sql())
+
+
+@query(_ADVECTION_SQL)
+def fn_advection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a forward scan of pairs that reads at i + 1 and k + 1, and a backward scan over its result."""
+    dtr = 3.0 / 20.0
+
+    def row(below: bool, above: bool):
+        def step(acc, u, w, pos):
+            down = -0.25 * (deref(shift(w, "i", 1)) + deref(w)) if below else expr.Const(0.0)
+            up = 0.25 * (deref(shift(w, "i", 1, "k", 1)) + deref(shift(w, "k", 1))) if above else expr.Const(0.0)
+            rhs = dtr * deref(pos) + 0.5 + 0.25
+            if below:
+                rhs = rhs - down * 0.5 * (deref(shift(u, "k", -1)) - deref(u))
+            if above:
+                rhs = rhs - up * 0.5 * (deref(shift(u, "k", 1)) - deref(u))
+            diag = dtr - down * 0.5 - up * 0.5
+            if not below:
+                return up * 0.5 / diag, rhs / diag
+            left = diag - acc[0] * (down * 0.5)
+            return up * 0.5 / left, (rhs - down * 0.5 * acc[1]) / left
+
+        return step
+
+    domain = mesh.cartesian_domain({"i": N - 1, "j": N, "k": NK})
+    df = lat(spark, sf_dir).withColumns({"wcon": F.col("value") / 1000, "u_pos": F.col("value") / 50})
+    seed = F.struct(F.lit(0.0).alias("_0"), F.lit(0.0).alias("_1"))
+    passes = [fn.ScanPass(row(*sides)) for sides in ((True, True), (False, True), (True, False))]
+    df = fn.column_executor(df, domain, seed, ("value", "wcon", "u_pos"), passes[0], "cd", prologue=(passes[1],), epilogue=(passes[2],), width=2)
+    back = fn.ScanPass(lambda x, cd: deref(cd)["_1"] - deref(cd)["_0"] * x)
+    out = fn.column_executor(df, domain, F.lit(0.0), ("cd",), back, "x", backward=True, prologue=(fn.ScanPass(lambda x, cd: deref(cd)["_1"]),))
+    return out.select("i", "j", "k", (F.lit(dtr) * (F.col("x") - F.col("u_pos"))).alias("utens_out"))
+
+
+_NABLA_SQL = f"""WITH {{lat}}, {_E2V}, {_V2E}, f AS (SELECT (i + j * 10)::int AS vertex, k, value FROM lat),
+    z AS (SELECT edge, a.k, (a.value + b.value) / 2e0 * ((edge + a.k) % 17) AS x, (a.value + b.value) / 2e0 * ((edge + a.k) % 7) AS y FROM e2v JOIN f a ON a.vertex = v[1] JOIN f b ON b.vertex = v[2] AND b.k = a.k),
+    s AS (SELECT *, [0, 1, vertex % 2, 1, (vertex + 1) % 2, 0][n + 1]::double AS s FROM v2e)
+    SELECT vertex, k, sum(s * x) / (vertex % 13 + 1) AS x, sum(s * y) / (vertex % 13 + 1) AS y FROM s JOIN z USING (edge) GROUP BY vertex, k"""
+
+
+def _nabla(spark: SparkSession, sf_dir: str) -> tuple[mesh.Domain, dict[str, DataFrame]]:
+    vertices = lat(spark, sf_dir).select((F.col("i") + F.col("j") * N).alias("vertex"), "k", F.col("value").alias("pp"))
+    v = F.col("vertex")
+    sign = F.array(*(x.cast("double") for x in (F.lit(0), F.lit(1), v % 2, F.lit(1), (v + 1) % 2, F.lit(0))))
+    vertices = vertices.withColumns({"sign": sign, "vol": (v % 13 + 1).cast("double")})
+    edges = edges_to_vertices(spark).select(F.col("index").alias("edge")).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(NK - 1))))
+    turned = F.struct(((F.col("edge") + F.col("k")) % 17).cast("double").alias("x"), ((F.col("edge") + F.col("k")) % 7).cast("double").alias("y"))
+    domain = mesh.unstructured_domain({"vertex": N * N, "k": NK}, v2e=vertices_to_edges(spark), e2v=edges_to_vertices(spark))
+    return domain, {"vertex": vertices, "edge": edges.withColumn("s", turned)}
+
+
+def _around(vol, sign, at) -> tuple:
+    """Sums over the six places around a vertex of at(place), a pair, with signs; missing edges count nothing."""
+    pairs = [at(n) for n in range(6)]
+    return tuple(sum((deref(sign)[n] * p[d] for n, p in enumerate(pairs)), expr.Const(0.0)) / deref(vol) for d in (0, 1))
+
+
+@query(_NABLA_SQL)
+def fn_nabla_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages on edges as a field of pairs, then signed sums of them around each vertex."""
+    domain, fields = _nabla(spark, sf_dir)
+    on_edges = mesh.unstructured_domain({"edge": 3 * N * N, "k": NK}, **domain.connectivities)
+
+    def average(pp, s):
+        half = (deref(shift(pp, "e2v", 0)) + deref(shift(pp, "e2v", 1))) / 2.0
+        return expr.struct(half * deref(s)["x"], half * deref(s)["y"])
+
+    fields["edge"] = fn.MeshExecutor(on_edges, "edge", fields).assign("zavg", average, "pp", "s").execute()
+
+    def nabla(zavg, sign, vol):
+        def pair(n):
+            z = shift(zavg, "v2e", n)
+            return tuple(where(can_deref(z), deref(z)[f"_{d}"], 0.0) for d in (0, 1))
+
+        return _around(vol, sign, pair)
+
+    return fn.MeshExecutor(domain, "vertex", fields).assign(("x", "y"), nabla, "zavg", "sign", "vol").execute().select("vertex", "k", "x", "y")
+
+
+@query(_NABLA_SQL)
+def fn_nabla_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as one stencil with two hops."""
+    domain, fields = _nabla(spark, sf_dir)
+
+    def nabla(sign, vol, pp, s):
+        def pair(n):
+            edge = shift(s, "v2e", n)
+            half = (deref(shift(pp, "v2e", n, "e2v", 0)) + deref(shift(pp, "v2e", n, "e2v", 1))) / 2.0
+            return tuple(where(can_deref(edge), half * deref(edge)[d], 0.0) for d in ("x", "y"))
+
+        return _around(vol, sign, pair)
+
+    return fn.MeshExecutor(domain, "vertex", fields).assign(("x", "y"), nabla, "sign", "vol", "pp", "s").execute().select("vertex", "k", "x", "y")
+
+
+@query("WITH {lat}, m AS (SELECT i, j, max(value) AS seed FROM lat GROUP BY i, j) SELECT i, j, k, value, seed + sum(value) OVER (PARTITION BY i, j ORDER BY k DESC) AS down, seed + sum(value) OVER (PARTITION BY i, j) AS last FROM lat JOIN m USING (i, j)")
+def merged_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold, then a backward scan that begins with its accumulator, in one exchange."""
+    most = mesh.ColumnStage(mesh.Fold(lambda a, x: F.greatest(a, x["value"])), seed=F.lit(0.0))
+    down = mesh.ColumnStage(mesh.Scan(lambda a, x: a + x["value"]), "down", backward=True)
+    return mesh.merged_columns(lat(spark, sf_dir), ["i", "j"], "k", ["value"], [most, down], "last")
+
+
+@query(f"WITH {_E2V}, {_V2E}, p AS (SELECT v.vertex::int AS vertex, n.n::int AS n FROM range(100) v(vertex), range(6) n(n)) SELECT vertex, n AS place, coalesce(edge, -1)::int AS edge, edge IS NOT NULL AS there FROM p LEFT JOIN v2e USING (vertex, n) WHERE vertex < 20")
+def neighbor_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of any names taken as a connectivity, and which of its places can be read."""
+    named = vertices_to_edges(spark).toDF("vertex", "place", "edge")
+    table = mesh.as_neighbor_table(named, "vertex", "place", "edge")
+    points = named.select("vertex").distinct().where("vertex < 20")
+    return mesh.hop(points, "vertex", table, to="edge", order="place").select("vertex", "place", "edge", mesh.can_deref("edge").alias("there"))
+
+
+# --- icosahedral stages, and the pairs of locations without a query so far
+
+
+@query(f"WITH {{lat}}, {_CELLS}, {_VERTICES} SELECT i, j, k, c, coalesce(s, 0) AS s FROM cells LEFT JOIN {_ico_sql('cells', 'vertices', 'x.u * (x.i + 1)', 's')} USING (i, j, k, c)")
+def ico_vertices_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices = _located(spark, sf_dir, "vertices").withColumn("u", F.col("u") * (F.col("i") + 1))
+    return icosahedral.fold_neighbors(_located(spark, sf_dir, "cells").select("i", "j", "k", "c"), "cells", "vertices", vertices, ["u"], F.lit(0.0), lambda a, x: a + x["u"], "s")
+
+
+@query(f"WITH {{lat}}, {_CELLS}, {_VERTICES} SELECT i, j, k, c, s FROM {_ico_sql('vertices', 'cells', '(n + 1) * x.u', 's')}")
+def ico_cells_of_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighed by their places, so that their order counts."""
+    return icosahedral.fold_neighbors(_located(spark, sf_dir, "vertices").select("i", "j", "k", "c"), "vertices", "cells", _located(spark, sf_dir, "cells"), ["u"], F.lit(0.0), lambda a, x: a + (x["n"] + 1) * x["u"], "s")
+
+
+@query(f"WITH {{lat}}, {_VERTICES} SELECT i, j, k, c, s FROM {_ico_sql('vertices', 'vertices', '(n + 1) * x.u', 's')}")
+def ico_neighbors_of_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices = _located(spark, sf_dir, "vertices")
+    return icosahedral.fold_neighbors(vertices.select("i", "j", "k", "c"), "vertices", "vertices", vertices, ["u"], F.lit(0.0), lambda a, x: a + (x["n"] + 1) * x["u"], "s")
+
+
+@query(f"""WITH {{lat}}, {_CELLS}, {_EDGES}, t AS (SELECT * FROM {_ico_sql('edges', 'cells', '(n + 1) * x.u', 't')}), e AS (SELECT t.*, edges.r FROM t JOIN edges USING (i, j, k, c)),
+    o AS (SELECT * FROM {_ico_sql('cells', 'edges', 'x.t', 'o', table='e')})
+    SELECT i, j, k, c, CASE WHEN i BETWEEN 2 AND 7 AND j BETWEEN 2 AND 7 THEN o + c ELSE -1e0 END AS out FROM cells LEFT JOIN o USING (i, j, k, c)""")
+def ico_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages with a temporary on edges, which the first computes as far beyond the box as the second reads."""
+    cells = _located(spark, sf_dir, "cells").withColumn("out", F.lit(-1.0))
+    first = icosahedral.Stage("edges", lambda at: {"t": at.fold("cells", lambda a, x: a + (x["n"] + 1) * x["u"], F.lit(0.0))}, ("t",), {"cells": ("u",)})
+    second = icosahedral.Stage("cells", lambda at: {"out": at.fold("edges", lambda a, x: a + x["t"], F.lit(0.0)) + at.color}, ("out",), {"edges": ("t",)})
+    spec = icosahedral.IcosahedralSpec((first, second), {"t": ("edges", "double")})
+    return icosahedral.run(spec, ((2, 7), (2, 7)), {"cells": cells, "edges": _located(spark, sf_dir, "edges")})["cells"].select("i", "j", "k", "c", "out")
+
+
+# --- types, functions and the rest of the model
+
+
+@query("WITH {lat}, x AS (SELECT i, j, k, value / 1000 AS a FROM lat) SELECT i, j, k, abs(a - 1) AS away, sqrt(a) AS root, round(exp(a), 9) AS e, CASE WHEN a > 0 THEN round(ln(a), 9) ELSE '-inf'::double END AS l, round(pow(a, 1.5e0), 9) AS p, round(sin(a), 9) AS s, round(cos(a), 9) AS c FROM x")
+def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a stencil's expressions; those that libraries round differently to nine digits."""
+    df = lat(spark, sf_dir).withColumn("a", F.col("value") / 1000)
+    forms = {"away": lambda a: expr.fabs(a - 1), "root": expr.sqrt, "e": expr.exp, "l": expr.log, "p": lambda a: expr.power(a, 1.5), "s": expr.sin, "c": expr.cos}
+    own = Operator(lambda a: {n: f(a()) for n, f in forms.items()}, a=in_(), **{n: inout() for n in forms})
+    ran = stencil.run_single_stage(own, make_grid(N, N, NK), df.withColumns({n: F.lit(0.0) for n in forms}), a="a", **{n: n for n in forms})
+    exact = {"away", "root"}
+    return ran.select("i", "j", "k", *(F.col(n) if n in exact else F.when(F.abs(n) == float("inf"), F.col(n)).otherwise(F.round(n, 9)).alias(n) for n in forms))
+
+
+@query("WITH {lat} SELECT min(value) FILTER (k > 0) AS least, max(value) FILTER (k > 0) AS most, 7e0 AS none FROM lat")
+def nan_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaNs are passed over; a field of NaNs alone gives the neutral element."""
+    df = lat(spark, sf_dir).withColumns({"v": F.when(F.col("k") > 0, F.col("value")).otherwise(F.lit(float("nan"))), "none": F.lit(float("nan"))})
+    parts = [reduction.make_reducible(df, c, 7.0).reduce(how).withColumnRenamed("value", name) for c, how, name in (("v", "min", "least"), ("v", "max", "most"), ("none", "max", "none"))]
+    return src.zip_fields(*parts)
+
+
+@query(f"""WITH {{lat}}, {_BLOCKS_SQL} SELECT bi, bj, bk, b.i, b.j, b.k, v.value AS wide, CASE WHEN b.i BETWEEN 0 AND 5 AND b.j BETWEEN 1 AND 6 THEN v.value END AS narrow
+    FROM blocks b LEFT JOIN lat v ON v.i = (gi + 8) % 8 AND v.j = gj AND v.k = b.k""", 8)
+def halos_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields with halos of different widths in one exchange."""
+    narrow = (Halo(1, 1, 1, 4, 7), Halo(1, 1, 2, 5, 7), _BLOCK[2])
+    df = _blocks(spark, sf_dir).withColumn("narrow", F.col("value")).withColumnRenamed("value", "wide")
+    return halo.exchange(df, ["wide", "narrow"], {"wide": _BLOCK, "narrow": narrow}, (2, 2, 1), (True, False, False))
+
+
+@query(f"""WITH {{lat}}, {_BLOCKS_SQL}
+    SELECT bi, bj, bk, b.i, b.j, b.k, coalesce(v.value, (b.i + b.j + b.k)::double) AS value, (b.i + b.j + b.k)::double AS given FROM blocks b LEFT JOIN lat v ON v.i = (gi + 8) % 8 AND v.j = gj AND v.k = b.k""", 8)
+def associated_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition that copies an associated field, which is not exchanged itself."""
+    df = _blocks(spark, sf_dir).withColumn("given", (F.col("i") + F.col("j") + F.col("k")).cast("double"))
+    bounds = boundary.DistributedBoundaries(_BLOCK, (2, 2, 1), (True, False, False), 3)
+    return bounds.exchange(df, boundary.bind_bc(boundary.copy_boundary("given", "value"), "value").associate("given"))
+
+
+@query("SELECT (l_suppkey % 10)::int AS i, arg_max(l_quantity::bigint, l_orderkey::bigint * 10 + l_linenumber) AS q FROM lineitem GROUP BY 1")
+def atomic_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last update of each cell stays."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = rows.select((F.col("l_suppkey") % 10).cast("int").alias("i"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")).alias("at"))
+    return reduction.scatter(rows, ["i"], "q", "exch", "at")
+
+
+@query("WITH {lat} SELECT i, j, k, CASE WHEN k BETWEEN 1 AND 5 THEN value WHEN k = 6 THEN 2 * value ELSE 0e0 END AS out, 1::int AS first, 5::int AS size, 5::int AS back FROM lat")
+def interval_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals made by concat, enclosing and shift; first level and size of one in both directions."""
+    axis = Axis(2, 3, 2)
+    grid = make_grid(N, N, axis)
+    lower = axis.interval(0).last_level().concat(axis.interval(1)).enclosing(Interval(Level(2, 1), Level(2, 1)))
+    top = Interval(Level(2, 1), Level(2, 1)).shift(1)
+    own = Operator({lower: lambda inp, out: {"out": inp()}, top: lambda inp, out: {"out": 2 * inp()}}, inp=in_(), out=inout())
+    df = stencil.run(execute_parallel().stage(own, inp="value", out="out"), grid, lat(spark, sf_dir).withColumn("out", F.lit(0.0)))
+    return df.select("i", "j", "k", "out", F.lit(grid.k_start(lower)).alias("first"), F.lit(grid.k_size(lower)).alias("size"), F.lit(grid.k_start(lower, backward=True)).alias("back"))
+
+
+@query("SELECT * FROM (VALUES (0, 'lap', -1, 1, -1, 1), (1, 'flx', -1, 0, 0, 0), (2, 'fly', 0, 0, -1, 0), (3, 'out', 0, 0, 0, 0)) t(stage, writes, i_low, i_high, j_low, j_high)")
+def plan_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of horizontal diffusion and how far each computes beyond the box, from the plan's JSON."""
+    kinds = "struct<multistages: array<struct<stages: array<struct<extent: struct<i: array<int>, j: array<int>>, fields: map<string, string>>>>>>"
+    plan = spark.createDataFrame([(kernels.horizontal_diffusion().explain_json(_box(2)),)], "plan string").select(F.from_json("plan", kinds).alias("p"))
+    stages = plan.select(F.posexplode(F.flatten("p.multistages.stages")).alias("stage", "s"))
+    return stages.select("stage", F.col("s.fields")["out"].alias("writes"), *(F.get(f"s.extent.{d}", F.lit(n)).alias(f"{d}_{side}") for d in "ij" for n, side in enumerate(("low", "high"))))
+
+
+@query("WITH {lat} SELECT i, j, k, (value::float / 7::float + 0.1::float) * value::float AS windows, (value::float / 7::float + 0.1::float) * value::float AS blocks, (i::bigint << 56) + j AS wide FROM lat")
+def typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Floats stay floats in both strategies, temporaries too; a temporary of whole numbers keeps all their bits."""
+    df = lat(spark, sf_dir).withColumns({"v": F.col("value").cast("float"), "windows": F.lit(0.0).cast("float"), "blocks": F.lit(0.0).cast("float"), "n": F.shiftleft(F.col("i").cast("long"), 56) + F.col("j"), "wide": F.lit(0).cast("long")})
+    first = Operator(lambda v, n, t, w: {"t": v() / 7.0 + 0.1, "w": n()}, v=in_(), n=in_(), t=inout(), w=inout())
+    second = Operator(lambda v, t, w, out, wide: {"out": t() * v(), "wide": w()}, v=in_(), t=in_(), w=in_(), out=inout(), wide=inout())
+    for strategy in ("windows", "blocks"):
+        spec = multi_pass(execute_parallel().stage(first, v="v", n="n", t="t", w="w").stage(second, v="v", t="t", w="w", out=strategy, wide="wide"), temps={"t": "float", "w": "bigint"})
+        df = stencil.run(spec, make_grid(N, N, NK), df, strategy=strategy)
+    return df.select("i", "j", "k", "windows", "blocks", "wide")
+
+
+@query("SELECT (n // 12)::int AS i, (n // 4 % 3)::int AS j, (n % 4)::int AS k, n::double AS c_order, ((n % 4) * 6 + (n // 4 % 3) * 2 + n // 12)::double AS f_order FROM range(24) r(n)")
+def buffer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of both orders as fields, by way of a field and back."""
+    import numpy as np
+
+    a = np.arange(24, dtype="f8")
+    back = src.to_numpy(src.from_numpy(spark, a.reshape(2, 3, 4), name="c_order"), name="c_order")
+    return src.zip_fields(src.from_numpy(spark, back, name="c_order"), src.from_numpy(spark, a.reshape(4, 3, 2), name="f_order", order="F"))
+
+
+_WLAP = "e.value + w.value - 2e0 * a.value + north * (n.value - a.value) + 0.25e0 * (s.value - a.value)"
+
+
+@query(f"""WITH {{lat}}, g AS (SELECT *, 0.5e0 + j / 8e0 AS north FROM lat),
+    lap AS (SELECT a.i, a.j, a.k, a.value, a.north, {_WLAP.replace('north', 'a.north')} AS lap FROM g a JOIN g e ON e.i = a.i + 1 AND e.j = a.j AND e.k = a.k JOIN g n ON n.i = a.i AND n.j = a.j + 1 AND n.k = a.k
+        JOIN g w ON w.i = a.i - 1 AND w.j = a.j AND w.k = a.k JOIN g s ON s.i = a.i AND s.j = a.j - 1 AND s.k = a.k)
+    SELECT a.i, a.j, a.k, a.value + (((a.lap - w.lap) - (e.lap - a.lap)) + (a.north * (a.lap - s.lap) - a.north * (n.lap - a.lap))) * 0.125e0 AS out FROM lap a
+        JOIN lap e ON e.i = a.i + 1 AND e.j = a.j AND e.k = a.k JOIN lap n ON n.i = a.i AND n.j = a.j + 1 AND n.k = a.k JOIN lap w ON w.i = a.i - 1 AND w.j = a.j AND w.k = a.k JOIN lap s ON s.i = a.i AND s.j = a.j - 1 AND s.k = a.k""")
+def simple_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights that vary along j."""
+    df = lat(spark, sf_dir).withColumns({"north": 0.5 + F.col("j") / 8.0, "south": F.lit(0.25), "coeff": F.lit(0.125), "out": F.lit(0.0)})
+    return _inner(stencil.run(kernels.simple_diffusion(), _box(2), df), 2).select("i", "j", "k", "out")
+
+
+@query(f"WITH {{lat}} SELECT i, j, k, {', '.join(f'(i + 1) * (value + {n}) AS o{n}' for n in range(11))} FROM lat")
+def prepare_tracers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven tracers times a density that all share."""
+    df = lat(spark, sf_dir).withColumns({f"t{n}": F.col("value") + n for n in range(11)} | {f"o{n}": F.lit(0.0) for n in range(11)} | {"density": (F.col("i") + 1).cast("double")})
+    spec = lambda f: execute_parallel().stage(kernels.prepare_tracer, inp=f["inp"], density="density", out=f["out"])
+    ran = stencil.expandable_run(spec, 2, make_grid(N, N, NK), df, {"inp": [f"t{n}" for n in range(11)], "out": [f"o{n}" for n in range(11)]})
+    return ran.select("i", "j", "k", *(f"o{n}" for n in range(11)))
