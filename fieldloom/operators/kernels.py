@@ -35,10 +35,10 @@ def diffuse(inp, coeff, flx, fly, out):
     return {"out": inp() - coeff() * (flx() - flx(i=-1) + fly() - fly(j=-1))}
 
 
-def horizontal_diffusion(inp: str = "value", coeff: str = "coeff", out: str = "out") -> Spec:
-    """Laplacian, limited fluxes and their divergence: four stages, halo 2."""
+def horizontal_diffusion(inp: str = "value", coeff: str = "coeff", out: str = "out", kind: str = "double") -> Spec:
+    """Laplacian, limited fluxes and their divergence: four stages, halo 2.  kind: double or float, of the temporaries."""
     stages = execute_parallel().stage(laplacian, inp=inp, out="lap").stage(flux_i, lap="lap", inp=inp, out="flx").stage(flux_j, lap="lap", inp=inp, out="fly")
-    return multi_pass(stages.stage(diffuse, inp=inp, coeff=coeff, flx="flx", fly="fly", out=out), temps=("lap", "flx", "fly"))
+    return multi_pass(stages.stage(diffuse, inp=inp, coeff=coeff, flx="flx", fly="fly", out=out), temps=dict.fromkeys(("lap", "flx", "fly"), kind))
 
 
 @operator(inp=in_(**NEAR), north=in_(), south=in_(), out=inout())
