@@ -134,7 +134,8 @@ def merged_columns(df: DataFrame, keys: list[str], axis: str, inputs: list[str],
             written = F.flatten(F.reverse(F.transform(written, F.reverse)) if s.backward else written)
             packed = packed.withColumn("__l", F.zip_with("__l", written, _put(s.out)))
             known += [s.out] * (s.out not in known)
-    flat = packed.select(*keys, F.explode("__l").alias("__x"), F.col(f"__s{len(stages) - 1}.acc").alias("__acc"))
+    # no column is empty; an inner explode would have its array computed once more, by a filter on its size
+    flat = packed.select(*keys, F.explode_outer("__l").alias("__x"), F.col(f"__s{len(stages) - 1}.acc").alias("__acc"))
     return flat.select(*keys, F.col("__x.__k").alias(axis), *(F.col(f"__x.`{c}`").alias(c) for c in known), *([F.col("__acc").alias(last)] if last else []))
 
 
