@@ -61,6 +61,21 @@ def dealt_anew(side: DataFrame, key: str) -> DataFrame:
     return side.repartition(F.xxhash64(F.lit("dealt anew"), key))
 
 
+def in_blocks(rows: DataFrame, sizes: DataFrame, member: str, most: int) -> DataFrame:
+    """rows with a column key (long), where that of a bucket of more than `most` rows, by sizes (key, n), is parted.
+
+    Such a bucket's members fall into blocks by their hash, and each goes to the keys of all pairs of blocks with its own: any
+    two members still meet under some key, which holds about `most` rows.  The sizes of large buckets are a written table, so
+    that Spark broadcasts it only if it is small.  Two keys that happen to be equal only make a bucket of two.
+    """
+    hot = written(sizes.where(F.col("n") > most).select("key", F.ceil(F.col("n") * 2 / most).cast("long").alias("blocks")), "hot")
+    own = F.pmod(F.xxhash64(member), F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != own)
+    keys = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(F.transform(others, lambda b: F.xxhash64("key", F.least(own, b), F.greatest(own, b))))
+    rest = [c for c in rows.columns if c != "key"]
+    return rows.join(hot, "key", "left").select(F.explode(keys).alias("key"), *rest)
+
+
 def columns_of(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
     """All columns, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import connected_components, dealt_anew, utf8, written
+from fieldloom.llm.common import connected_components, dealt_anew, in_blocks, utf8, written
 
 _WORDS_AT_ONCE = 1 << 14
 
@@ -68,16 +68,20 @@ def _probes(fps: np.ndarray, plan: list[tuple[int, int, int]]) -> tuple[np.ndarr
         keys.append(value | mark)
         owners.append(fps)
         kinds.append(np.zeros(len(fps), np.int8))
-        for mask in _balls(bits, ball):
-            keys.append((value ^ np.uint64(mask)) | mark)
-            owners.append(fps)
-            kinds.append(np.ones(len(fps), np.int8))
-            if mask.bit_count() == 1:  # one side's probe is enough
-                keep = value & np.uint64(mask) == 0
-                keys[-1], owners[-1], kinds[-1] = keys[-1][keep], fps[keep], kinds[-1][keep]
+        for at, values in _targets(value, bits, ball):
+            keys.append(values | mark)
+            owners.append(fps[at])
+            kinds.append(np.ones(len(values), np.int8))
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds)
 
 
+def _targets(value: np.ndarray, bits: int, ball: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which values probe, what they probe) for each set of bits that a ball changes; of two values a bit apart one probe is enough."""
+    for mask in _balls(bits, ball):
+        at = np.flatnonzero(value & np.uint64(mask) == 0) if mask.bit_count() == 1 else np.arange(len(value))
+        yield at, value[at] ^ np.uint64(mask)
+
+
 def _balls(bits: int, ball: int) -> list[int]:
     from itertools import combinations
 
@@ -109,8 +113,35 @@ def links_in_bucket(entries: np.ndarray, probes: np.ndarray, radius: int) -> lis
     return edges
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) with the components of all pairs within the radius."""
+def _bucket_sizes(distinct: DataFrame, plan: list[tuple[int, int, int]], most: int) -> DataFrame:
+    """(key, n): a bound from above of the entries and probes of each bucket that may hold more than `most`.
+
+    Counts of entries by segment value (never more than a segment has values) tell the probes too, as all entries of a value
+    probe alike.  Counts too low to matter even if all that reach a bucket were such are left aside and allowed for.
+    """
+    values = [F.shiftrightunsigned("fp", first).bitwiseAND((1 << bits) - 1 if bits < 64 else -1).bitwiseOR(k << 56) for k, (first, bits, _) in enumerate(plan)]
+    per = distinct.select(F.explode(F.array(*values)).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    widest = 1 + max(len(_balls(bits, ball)) for _, bits, ball in plan)
+    out = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.cast(out)
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k, (_, bits, ball) in enumerate(plan):
+                own = np.flatnonzero(key >> 56 == k)
+                for at, values in _targets(key[own].view(np.uint64) & np.uint64((1 << 56) - 1), bits, ball):
+                    yield pa.RecordBatch.from_arrays([pa.array((values | np.uint64(k << 56)).view(np.int64)), pa.array(n[own][at])], schema=out)
+
+    large = per.where(F.col("n") > most // (2 * widest)).mapInArrow(reached, "key long, n long")
+    return large.groupBy("key").agg((F.sum("n") + (most + 1) // 2).alias("n"))
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = 4, segments: int = 3, bucket_rows: int = 1 << 20) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (column fp) with the components of all pairs within the radius.
+
+    A bucket of more than about `bucket_rows` entries and probes is compared as pairs of its blocks, each in a task's bounds.
+    """
     plan = segment_plan(radius, segments)
     out = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("probe", pa.int8())])
 
@@ -142,7 +173,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, segments: int = 3) -
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy().view(np.int64)), pa.array(found[:, 1].copy().view(np.int64))], schema=edge)
 
     entered = distinct.select("fp").mapInArrow(enter, "key long, fp long, probe byte")
-    sorted_ = entered.repartition("key").sortWithinPartitions("key", "probe")
+    sorted_ = in_blocks(entered, _bucket_sizes(distinct, plan, bucket_rows), "fp", bucket_rows).repartition("key").sortWithinPartitions("key", "probe")
     return sorted_.mapInArrow(compare, "u long, v long").distinct()
 
 
