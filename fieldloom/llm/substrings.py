@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import connected_components, dealt_anew, drop_written, utf8, written
+from fieldloom.llm.common import connected_components, dealt_anew, drop_written, in_blocks, utf8, written
 
 SHINGLE = 5
 _U = np.uint64
@@ -190,7 +190,7 @@ def _groups(column: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, list[b
         yield low, texts
 
 
-def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5, rows: int = 2, least_words: int = 32, gap: int = 8, filter_bits: int = 26, crowd: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5, rows: int = 2, least_words: int = 32, gap: int = 8, filter_bits: int = 26, crowd: int = 1000, band_sets: int = 1 << 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, n_words, run_words, cluster, n_paragraphs, removed): the paragraphs of repeated passages, places in code points.
 
     A paragraph (of 5 words or more) is repeated if its component, over links with a Jaccard similarity of 5-word shingles of
@@ -203,7 +203,8 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
 
     Equal paragraphs are one class by an aggregate with partial counts, and each batch sends a class's keys once, so copies do
     not gather.  The shingle sets of the few classes that share a key are computed again in a last pass: a bit field
-    of 2**filter_bits (8 MB) passes over most others, and an equi-join decides.  Null and empty texts have none; a
+    of 2**filter_bits (8 MB) passes over most others, and an equi-join decides.  A key that more than band_sets classes share
+    is compared as pairs of blocks of them, each in a task's bounds.  Null and empty texts have none; a
     null id is carried along; other columns are left aside; an empty table gives no row.
     """
     held = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("data"))
@@ -233,13 +234,20 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(parts)[at].ravel()), _signed(np.repeat(h, bands))], schema=key)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, h in _runs(batches):
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+        k, h, told = np.array([], np.int64), np.array([], np.int64), False
+        for batch in batches:
+            k, h = np.concatenate([k[-1:], batch.column(0).to_numpy()]), np.concatenate([h[-1:], batch.column(1).to_numpy()])
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]) if len(k) else np.array([], bool)
             k, h = k[new], h[new]
-            many = np.concatenate([[False], k[1:] == k[:-1]])
-            many |= np.concatenate([many[1:], [False]])
-            if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(k[many]), pa.array(h[many])], schema=key)
+            many = np.zeros(len(k), bool)
+            many[1:] = k[1:] == k[:-1]
+            many[:-1] |= many[1:]
+            tell = many.copy()
+            if told:  # the last one of the batch before
+                tell[0], many[0] = False, True
+            told = bool(len(k)) and bool(many[-1])
+            if tell.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[tell]), pa.array(h[tell])], schema=key)
 
     table = written(numbered.mapInArrow(units, "row long, id long, begin int, stop_word int, start long, end long, h long"), "paragraphs")
     met = held.select("data").mapInArrow(keys, "key long, h long").repartition("key").sortWithinPartitions("key", "h")
@@ -271,7 +279,8 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=edge)
 
-    pairs = met.join(dealt_anew(texts, "h"), "h").select("key", "h", "shingles").repartition("key").sortWithinPartitions("key", "h").mapInArrow(verify, "u long, v long")
+    parted = in_blocks(met, met.groupBy("key").agg(F.count("*").alias("n")), "h", band_sets)
+    pairs = parted.join(dealt_anew(texts, "h"), "h").select("key", "h", "shingles").repartition("key").sortWithinPartitions("key", "h").mapInArrow(verify, "u long, v long")
     components = connected_components(pairs)
     place = F.struct("id", "row", "begin")
     classes = table.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"), F.min(place).alias("first"))
@@ -499,19 +508,6 @@ def _bit_field(hashes: DataFrame, bits: int) -> np.ndarray:
     return field.view(np.uint8)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
-    """(key, h) arrays, sorted, in which no key goes on in the next."""
-    key, h = np.array([], np.int64), np.array([], np.int64)
-    for batch in batches:
-        key, h = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([h, batch.column(1).to_numpy()])
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if cut:
-            yield key[:cut], h[:cut]
-            key, h = key[cut:], h[cut:]
-    if len(key):
-        yield key, h
-
-
 def _buckets(batches: Iterator[pa.RecordBatch]):
     """(hashes, shingle sets) of each key of sorted rows."""
     now, h, own = None, [], []
