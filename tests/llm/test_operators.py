@@ -979,3 +979,46 @@ def test_licences_of_many_families(spark):
     rows = [(n, name, f"// some code\n# {t}\n int x = {n};") for n, (name, t) in enumerate((name, t) for name, texts in TEMPLATES.items() for t in texts)]
     got = {r.doc_id: [f.license for f in r.findings] for r in find_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string"), [F.col("doc_id")]).collect()}
     assert len(TEMPLATES) >= 20 and all(got[n] == [name] for n, name, _ in rows)
+
+
+def test_large_buckets_meet_in_blocks(spark):
+    """Any two members of a large bucket share a key, keys hold about the most rows, and small buckets stay as they are."""
+    from fieldloom.llm.common import in_blocks
+
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, 7).otherwise(F.col("id")).alias("key"), F.col("id").alias("m"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    members = collections.defaultdict(set)
+    for r in in_blocks(rows, sizes, "m", 300).collect():
+        members[r.key].add(r.m)
+    large = [x for k, x in members.items() if k < 900 or k >= 1000]
+    assert {k for k in members if 900 <= k < 1000} == set(range(900, 1000)) and len(large) > 1
+    assert max(map(len, large)) < 1.5 * 300 and len(set().union(*large)) == 900
+    met = {(a, b) for x in large for a in x for b in x if a < b}
+    assert len(met) == 900 * 899 // 2
+
+
+@pytest.mark.parametrize("radius", [4, 6])
+def test_links_of_parted_buckets(spark, radius):
+    from fieldloom.llm.simhash import fingerprint_links
+
+    rnd = random.Random(9)
+    values = {rnd.getrandbits(21) for _ in range(200)} | {rnd.getrandbits(64) for _ in range(50)}  # most in one bucket of two segments
+    values |= {v ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(1, radius))) for v in list(values)[:80]}
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    whole, parted = (
+        {(r.node, r.component) for r in connected_components(fingerprint_links(df, radius, bucket_rows=n)).collect()} for n in (1 << 20, 24)
+    )
+    assert whole == parted and len({c for _, c in whole}) > 1
+
+
+def test_paragraphs_of_parted_bands(spark):
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        words[59 - rnd.randrange(2)] = f"x{rnd.randrange(1000)}"
+        texts.append("\n".join([" ".join(rnd.choices(base, k=30)).capitalize() + ".", " ".join(words).capitalize() + "."]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    one, more = (sorted(map(str, repeated_passages(docs, band_sets=n).collect())) for n in (1 << 13, 6))
+    assert one == more and len(one) >= 40
