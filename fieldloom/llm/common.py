@@ -34,8 +34,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, place = _file_system(spark, path)
-    fs.deleteOnExit(place)
+    delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -46,6 +45,13 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one when the driver ends; it is made if it is not there yet."""
+    fs, place = _file_system(spark, path)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written(), once nothing reads it any more."""
     fs, place = _file_system(df.sparkSession, df._written_at)

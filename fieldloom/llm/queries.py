@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import table
 from fieldloom.llm.decontamination import contaminated
 from fieldloom.llm.embeddings import near_duplicate_vectors
+from fieldloom.llm.filter_audit import audit_documents
 from fieldloom.llm.language import learn, predict
 from fieldloom.llm.lattice_lm import lattice_scores
 from fieldloom.llm.licenses import license_scan
@@ -17,6 +18,7 @@ from fieldloom.llm.secret_scan import BASE_RULES, find_secrets
 from fieldloom.llm.sharding import hilbert_indices, shard_documents
 from fieldloom.llm.simhash import near_duplicates
 from fieldloom.llm.substrings import repeated_passages
+from fieldloom.llm.vector_codes import compress_vectors
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +90,17 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents"), held_out, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as four codes of a byte, with codebooks of 256 entries fitted to all vectors in four rounds."""
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", F.col("group_error").alias("label_error"), F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five text filters remove by source, in each of their 120 orders and at each step."""
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -99,6 +112,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_lattice_lm": op10_lattice_lm,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 
@@ -173,9 +188,52 @@ _EMBEDDING_SQL = """
     SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, vec_id <= coalesce(c.b, vec_id) AS kept
     FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id"""
 
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds one after the other; a quotient is rounded down by taking off its remainder first."""
+    assigned = "SELECT q.row, q.part, min({{'d': list_sum(list_transform(list_zip(q.x, b.x), lambda z: (z[1] - z[2])::hugeint * (z[1] - z[2]))), 'e': b.e}}) AS m FROM q JOIN b{n} b USING (part) GROUP BY q.row, q.part"
+    steps = []
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({assigned.format(n=n)})")
+        steps.append(f"""s{n} AS (SELECT part, e, i, sum(v) AS s, count(*) AS n FROM (SELECT q.part, m.e AS e, unnest(q.x) AS v, generate_subscripts(q.x, 1) AS i FROM q JOIN a{n} USING (row, part)) GROUP BY part, e, i)""")
+        steps.append(f"t{n} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY i)::bigint[] AS x FROM s{n} GROUP BY part, e)")
+        steps.append(f"b{n + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(t.x, b.x) AS x FROM b{n} b LEFT JOIN t{n} t USING (part, e))")
+    return f"""
+    WITH k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+    q AS MATERIALIZED (SELECT row, vec_id, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM k, range({parts}) r(part)),
+    b0 AS MATERIALIZED (SELECT part, e, x FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x FROM q) WHERE e < {entries}),
+    {", ".join(steps)},
+    f AS (SELECT row, string_agg(printf('%02x', (m.e)::int), '' ORDER BY part) AS code, sum(m.d)::bigint AS error FROM ({assigned.format(n=rounds)}) GROUP BY row),
+    g AS (SELECT label, sum(error)::bigint AS label_error FROM k JOIN f USING (row) GROUP BY label),
+    h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS digest FROM b{rounds})
+    SELECT vec_id, code, error, label_error, digest AS codebooks_sha256 FROM k JOIN f USING (row) JOIN g ON k.label IS NOT DISTINCT FROM g.label, h"""
+
+
+_AUDIT_SQL = """
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    e AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+    l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    t AS (SELECT part, (len(w) < 50)::int + 2 * (100 * list_unique(w) < 65 * len(w))::int + 4 * (100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::int
+             + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * (doc_id IS DISTINCT FROM first)::int AS bits, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+          FROM d JOIN e USING (text) LEFT JOIN l USING (doc_id)),
+    k AS (SELECT part, bits, good, toxic, count(*) AS n FROM t GROUP BY ALL),
+    o(name, used, step) AS (SELECT '', 0, 0 UNION ALL SELECT name || substr('ABCDE', b + 1, 1), used | (1 << b), step + 1 FROM o, range(5) r(b) WHERE used & (1 << b) = 0),
+    s AS (SELECT o.name AS filter_order, s.step, s.used & (1 << (instr('ABCDE', substr(o.name, s.step, 1)) - 1)) AS bit, s.used AS done
+          FROM o JOIN o s ON s.step > 0 AND starts_with(o.name, s.name) WHERE o.step = 5),
+    c AS (SELECT k.part, s.filter_order, s.step, s.bit,
+             coalesce(sum(n) FILTER (bits & done = 0), 0) AS kept, coalesce(sum(n) FILTER (bits & done = bit), 0) AS removed, coalesce(sum(n) FILTER (bits & bit > 0 AND bits & (done - bit) > 0), 0) AS redundant,
+             coalesce(sum(n) FILTER (bits = bit), 0) AS unique_fails, coalesce(sum(n) FILTER (bits & done = bit AND good), 0) AS good_lost, coalesce(sum(n) FILTER (bits & done = bit AND toxic), 0) AS toxic_lost
+          FROM k, s GROUP BY ALL)
+    SELECT part, filter_order, step::int AS step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails,
+           good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::bigint AS shapley FROM c"""
+
 ORACLE_SQL = {
     "op1_secret_scan": _secrets_sql(),
     "op3_sharding": _sharding_sql(),
     "op4_embedding_dedup": _EMBEDDING_SQL,
     "op6_decontamination": _DECONTAMINATION_SQL,
+    "op11_vector_codes": _codes_sql(),
+    "op12_filter_audit": _AUDIT_SQL,
 }
