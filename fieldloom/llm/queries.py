@@ -18,6 +18,7 @@ from fieldloom.llm.secret_scan import BASE_RULES, find_secrets
 from fieldloom.llm.sharding import hilbert_indices, shard_documents
 from fieldloom.llm.simhash import near_duplicates
 from fieldloom.llm.substrings import repeated_passages
+from fieldloom.llm.toxicity import learn_toxicity, score_toxicity
 from fieldloom.llm.vector_codes import compress_vectors
 
 
@@ -101,6 +102,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    model = learn_toxicity(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    found = score_toxicity(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")])
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -114,6 +124,7 @@ QUERIES = {
     "op10_lattice_lm": op10_lattice_lm,
     "op11_vector_codes": op11_vector_codes,
     "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 
 
