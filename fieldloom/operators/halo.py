@@ -25,8 +25,8 @@ def exchange(df: DataFrame, fields: list[str], halos: tuple[Halo, Halo, Halo] |
     """df with the fields' halo cells filled from the neighbours' boxes; halo cells without a neighbour keep their values.
 
     halos: for all fields, or for each.  Each box cell near a face, edge or corner is copied to the up to 7 neighbours that need
-    it (only those rows are); an outer join of the halo cells on block and place brings the copies in.  Which rows are
-    copied depends on the halo widths alone, so both sides shuffle on well spread keys.
+    it (only those rows are), and one aggregate by block and place brings the copies in.  Which rows are
+    copied depends on the halo widths alone, so the keys are well spread.  Points must not repeat.  For many steps, see blocks: there only strips move.
     """
     groups: dict[tuple, list[str]] = {}
     for f in fields:
@@ -37,25 +37,26 @@ def exchange(df: DataFrame, fields: list[str], halos: tuple[Halo, Halo, Halo] |
 
 
 def _exchanged(df: DataFrame, fields: list[str], halos: tuple, blocks: tuple, periodic: tuple) -> DataFrame:
+    """Each row goes to its own place, and box cells to the places that need them too: the table is read once, so that plans of many exchanges grow by one each."""
     box = reduce(lambda a, b: a & b, (F.col(d).between(h.begin, h.end) for d, h in zip("ijk", halos, strict=True)))
-    sent = df.where(box).select(*_KEYS, *fields)
-    # all three dimensions at once: a cell goes to each combination of its sides but (0, 0, 0)
-    sent = sent.withColumns({
-        f"s{d}": F.array_compact(F.array(F.lit(0), *(F.when(F.col(d).between(r.start, r.stop - 1), F.lit(s)) for s in (-1, 1) if len(r := h.send(s)))))
+    # all three dimensions at once: a cell goes to each combination of its sides; (0, 0, 0) is its own place
+    sides = {
+        d: F.when(box, F.array_compact(F.array(F.lit(0), *(F.when(F.col(d).between(r.start, r.stop - 1), F.lit(s)) for s in (-1, 1) if len(r := h.send(s)))))).otherwise(F.array(F.lit(0)))
         for d, h in zip("ijk", halos, strict=True)
-    })
-    sent = sent.where("size(si) + size(sj) + size(sk) > 3")
+    }
+    sent = df.select(*_KEYS, F.struct(*df.columns).alias("__own"), *(s.alias(f"s{d}") for d, s in sides.items()))
     for d in "ijk":
         sent = sent.withColumn(f"s{d}", F.explode(f"s{d}"))
-    sent = sent.where("si <> 0 or sj <> 0 or sk <> 0")
+    own = (F.col("si") == 0) & (F.col("sj") == 0) & (F.col("sk") == 0)
     target = {}
     for d, h, n, p in zip("ijk", halos, blocks, periodic, strict=True):
-        size = h.end + 1 - h.begin
-        target[f"b{d}"] = neighbour(F.col(f"b{d}"), F.col(f"s{d}"), n, p)
-        target[d] = (F.col(d) - F.col(f"s{d}") * size)
-    got = sent.select(*(x.cast(df.schema[n].dataType).alias(n) for n, x in target.items()), F.struct(*fields).alias("__got")).where("bi >= 0 and bj >= 0 and bk >= 0")
-    joined = df.join(got, _KEYS, "left")
-    return joined.select(*(F.when(F.col("__got").isNotNull(), F.col(f"__got.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns))
+        step, size = F.col(f"s{d}"), h.end + 1 - h.begin
+        target[f"b{d}"] = F.when(step == 0, F.col(f"b{d}")).otherwise(neighbour(F.col(f"b{d}"), step, n, p))
+        target[d] = F.col(d) - step * size
+    sent = sent.select(*(x.cast(df.schema[n].dataType).alias(n) for n, x in target.items()), F.when(own, F.col("__own")).alias("__own"), F.when(~own, F.struct(*(F.col(f"__own.`{f}`").alias(f) for f in fields))).alias("__got"))
+    sent = sent.where("__own is not null or (bi >= 0 and bj >= 0 and bk >= 0)")
+    cells = sent.groupBy(*_KEYS).agg(F.first("__own", ignorenulls=True).alias("__own"), F.first("__got", ignorenulls=True).alias("__got")).where("__own is not null")
+    return cells.select(*(F.when(F.col("__got").isNotNull(), F.col(f"__got.`{c}`")).otherwise(F.col(f"__own.`{c}`")).alias(c) if c in fields else F.col(c) if c in _KEYS else F.col(f"__own.`{c}`").alias(c) for c in df.columns))
 
 
 def decompose(df: DataFrame, sizes: tuple[int, int, int], halos: tuple[tuple[int, int], ...], blocks: tuple[int, int, int]) -> DataFrame:

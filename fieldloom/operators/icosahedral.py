@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.gather import sent_within
 from fieldloom.plans.grid import Extent
 
 COLORS = {"cells": 2, "edges": 3, "vertices": 1}
@@ -89,20 +90,26 @@ def laplacian(edges: DataFrame, div: DataFrame, curls: DataFrame, inverse_dual:
 
 
 class Near:
-    """What a stage's body sees of its point: own columns, the colour, and folds over neighbours of a location, in order."""
+    """What a stage's body sees of a point of one colour: own columns, the colour, and folds over neighbours of a location, in order."""
 
-    def __init__(self, reads: Mapping[str, tuple[str, ...]]):
-        self.reads = reads
-        self.color = F.col("c")
+    def __init__(self, location: str, color: int, near: Mapping[str, Column]):
+        self.location, self.near = location, near
+        self.color = F.lit(color)
+        self._color = color
 
     def __call__(self, name: str) -> Column:
-        return F.col(name)
+        return F.col(_wide(self.location, self._color, name))
 
     def fold(self, target: str, step: Callable[[Column, Column], Column], init: Column) -> Column:
         """step(acc, neighbour) with the neighbour's place n and the values that the stage reads there."""
-        if target not in self.reads:
+        if target not in self.near:
             raise ValueError(f"the stage reads nothing on {target}")
-        return F.aggregate(F.coalesce(f"__near_{target}", F.array()), init, step)
+        return F.aggregate(self.near[target], init, step)
+
+
+def _wide(location: str, color: int, name: str) -> str:
+    """The column of a location's field on one colour, in rows that hold all colours of a place."""
+    return f"{location}__{color}__{name}"
 
 
 @dataclass(frozen=True)
@@ -138,27 +145,93 @@ class IcosahedralSpec:
         return out[::-1]
 
 
-def run(spec: IcosahedralSpec, box: tuple[tuple[int, int], tuple[int, int]], fields: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def run(spec: IcosahedralSpec, box: tuple[tuple[int, int], tuple[int, int]], fields: Mapping[str, DataFrame], tile: tuple[int, int] = (64, 64)) -> dict[str, DataFrame]:
     """The locations' tables after all stages, without the temporaries.
 
-    box: (first, last) of i and j.  Cells outside a stage's box (widened by its extent) keep what they had; neighbours beyond a table are left
-    out.  Each stage has one exchange for each location that it reads (see for_neighbors).
+    box: (first, last) of i and j.  Points outside a stage's box (widened by its extent) keep what they had; neighbours beyond a table are left
+    out; the tables may have any holes, but no repeated points.
+
+    All locations and colours of a place (i, j, k) become one row, dealt to tiles with the halo that the stages reach: one exchange by tile and level serves the
+    packing and every stage, whose reads are aggregates within the tile (see gather.sent_within).
     """
     tables = dict(fields)
     for name, (location, kind) in spec.temps.items():
         if not any(name in s.writes and s.location == location for s in spec.stages):
             raise ValueError(f"temporary {name} is never written")
         tables[location] = tables[location].withColumn(name, F.lit(None).cast(kind))
-    for s, extent in zip(spec.stages, spec.compute_extents(), strict=True):
-        own = tables[s.location]
-        df = own
-        for target, names in s.reads.items():
-            df = for_neighbors(df, s.location, target, tables[target], list(names)).withColumnRenamed("neighbors", f"__near_{target}")
-        (i0, i1), (j0, j1) = box
-        inside = F.col("i").between(i0 + extent.i[0], i1 + extent.i[1]) & F.col("j").between(j0 + extent.j[0], j1 + extent.j[1])
-        found = s.body(Near(s.reads))
-        if set(found) != set(s.writes) or not set(found) <= set(own.columns):
+    names = {location: [c for c in df.columns if c not in ("i", "j", "k", "c")] for location, df in tables.items()}
+    extents = spec.compute_extents()
+    reach = Extent()
+    for s, extent in zip(spec.stages, extents, strict=True):
+        for target, read in s.reads.items():
+            if target not in names or not set(read) <= set(names[target]):
+                raise ValueError(f"the stage reads {sorted(read)} on {target}, which has {names.get(target)}")
+            reach = reach.hull(extent.plus(Extent(*neighbors_extent(s.location, target))))
+    df = _packed(tables, names, reach, tile)
+    kinds = {_wide(at, c, n): tables[at].schema[n].dataType for at in tables for c in range(COLORS[at]) for n in names[at]}
+    for s, extent in zip(spec.stages, extents, strict=True):
+        df = _stage(df, s, extent, box, names, kinds)
+    df = df.where("own")
+    out = {}
+    for at, table in tables.items():
+        left = [n for n in names[at] if spec.temps.get(n, ("",))[0] != at]
+        colours = F.array(*(F.struct(F.lit(c).alias("c"), F.col(_wide(at, c, "")).alias("there"), *(F.col(_wide(at, c, n)).alias(n) for n in left)) for c in range(COLORS[at])))
+        rows = df.select("i", "j", "k", F.explode(colours).alias("x")).where("x.there")
+        places = {d: F.col(d).cast(table.schema[d].dataType).alias(d) for d in "ijk"} | {"c": F.col("x.c").cast(table.schema["c"].dataType).alias("c")}
+        out[at] = rows.select(*(places[c] if c in places else F.col(f"x.`{c}`").alias(c) for c in table.columns if c in places or c in left))
+    return out
+
+
+def _packed(tables: Mapping[str, DataFrame], names: Mapping[str, list[str]], reach: Extent, tile: tuple[int, int]) -> DataFrame:
+    """One row for each place of each tile that needs it: a column for each location's field and colour, and one that tells if the point is there."""
+    union = None
+    for at, table in tables.items():
+        rows = table.select(*(F.col(d).cast("int").alias(d) for d in "ijk"), F.lit(at).alias("__at"), F.col("c").cast("int").alias("__c"), *(F.col(f"`{n}`").alias(f"{at}__{n}") for n in names[at]))
+        union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
+    tiles = lambda d, n, ends: F.sequence(F.floor((F.col(d) - ends[1]) / n).cast("int"), F.floor((F.col(d) - ends[0]) / n).cast("int"))
+    dealt = union.withColumn("ti", F.explode(tiles("i", tile[0], reach.i))).withColumn("tj", F.explode(tiles("j", tile[1], reach.j))).repartition("ti", "tj", "k")
+    cells = []
+    for at in tables:
+        for c in range(COLORS[at]):
+            here = (F.col("__at") == at) & (F.col("__c") == c)
+            cells.append(F.coalesce(F.bool_or(here), F.lit(False)).alias(_wide(at, c, "")))
+            cells += [F.first(F.when(here, F.col(f"{at}__{n}")), ignorenulls=True).alias(_wide(at, c, n)) for n in names[at]]
+    own = (F.col("ti") == F.floor(F.col("i") / tile[0])) & (F.col("tj") == F.floor(F.col("j") / tile[1]))
+    return dealt.groupBy("ti", "tj", "k", "i", "j").agg(*cells).withColumn("own", own)
+
+
+def _stage(df: DataFrame, s: Stage, extent: Extent, box: tuple, names: Mapping[str, list[str]], kinds: Mapping[str, object]) -> DataFrame:
+    seen = {(c, target): NEIGHBORS[s.location, c, target] for c in range(COLORS[s.location]) for target in s.reads}
+    wanted: dict[tuple[int, int, int], set[str]] = {}
+    for (_, target), offsets in seen.items():
+        for di, dj, c in offsets:
+            if di or dj:
+                wanted.setdefault((di, dj, 0), set()).update(_wide(target, c, n) for n in ("", *s.reads[target]))
+    plain = df.columns
+    held: dict[tuple, str] = {}
+    if wanted:
+        df, held = sent_within(df, ["ti", "tj"], {o: sorted(cols) for o, cols in sorted(wanted.items())})
+    at = lambda di, dj, name: F.col(held[name, (di, dj, 0)] if di or dj else name)
+    (i0, i1), (j0, j1) = box
+    inside = F.col("i").between(i0 + extent.i[0], i1 + extent.i[1]) & F.col("j").between(j0 + extent.j[0], j1 + extent.j[1])
+    updates = {}
+    for c in range(COLORS[s.location]):
+        near = {}
+        for target, read in s.reads.items():
+            points = [F.when(at(di, dj, _wide(target, to, "")), F.struct(F.lit(n).alias("n"), *(at(di, dj, _wide(target, to, v)).alias(v) for v in read))) for n, (di, dj, to) in enumerate(seen[c, target])]
+            near[target] = F.array_compact(F.array(*points))
+        found = s.body(Near(s.location, c, near))
+        if set(found) != set(s.writes) or not set(found) <= set(names[s.location]):
             raise ValueError(f"the stage writes {sorted(found)}, not {sorted(s.writes)} of its location's columns")
-        df = df.withColumns({n: F.when(inside, v.cast(own.schema[n].dataType)).otherwise(F.col(n)) for n, v in found.items()})
-        tables[s.location] = df.select(*own.columns)
-    return {location: df.drop(*(t for t, (at, _) in spec.temps.items() if at == location)) for location, df in tables.items()}
+        for n, v in found.items():
+            name = _wide(s.location, c, n)
+            updates[name] = F.when(inside & F.col(_wide(s.location, c, "")), v.cast(kinds[name])).otherwise(F.col(name))
+    return df.withColumns(updates).select(*plain)
+
+
+def expandable_run(spec_of: Callable[[Mapping[str, str]], IcosahedralSpec], box: tuple[tuple[int, int], tuple[int, int]], fields: Mapping[str, DataFrame], vectors: Mapping[str, list[str]], **options) -> dict[str, DataFrame]:
+    """The same stages over lists of equally many fields or temporaries; spec_of gets {name: field} of each place in turn.  One exchange serves all."""
+    if len({len(v) for v in vectors.values()}) != 1:
+        raise ValueError("the lists of fields must be equally long")
+    specs = [spec_of({name: v[n] for name, v in vectors.items()}) for n in range(len(next(iter(vectors.values()))))]
+    return run(IcosahedralSpec(tuple(s for spec in specs for s in spec.stages), {t: kind for spec in specs for t, kind in spec.temps.items()}), box, fields, **options)

@@ -1,37 +1,46 @@
 """Running a spec on a DataFrame of dimension columns i, j, k and value columns.
 
-Two strategies.  Windows, for parallel multistages: rows are dealt to horizontal tiles together with the halo that the
+Strategies for dense tables.  Windows, for parallel multistages: rows are dealt to horizontal tiles together with the halo that the
 extents ask for, so that one exchange by tile and level serves all windows of all stages, and each tile's own cells
 are kept in the end.  Blocks, for ordered multistages or on request: the same tiles, all levels of one in a task, as
-numpy arrays.  Both treat writes as updates: cells and levels that no stage covers keep their old values.
+numpy arrays.  Columns, for ordered multistages without Python: see ordered.  All treat writes as updates: cells and levels that no stage covers keep
+their old values.  Sparse tables are served by gathers within tiles: every row goes to the places that read it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
+from fieldloom.operators.gather import sent_within
+from fieldloom.operators.ordered import has_column_form, run_columns
 from fieldloom.plans.expr import native_only, reads, to_column, to_numpy
 from fieldloom.plans.grid import Extent, Grid
-from fieldloom.plans.spec import MultiStage, Operator, Spec, SpecError, execute_parallel
+from fieldloom.plans.spec import MultiStage, Operator, Spec, SpecError, Stage, execute_parallel
 
 TILE = (64, 64)
 #: Types of temporaries in blocks.
 _NUMPY_KINDS = {"double": np.dtype("f8"), "float": np.dtype("f4"), "bigint": np.dtype("i8"), "long": np.dtype("i8"), "int": np.dtype("i4"), "boolean": np.dtype("?")}
 
 
-def run(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, strategy: str = "auto", tile: tuple[int, int] = TILE, check_bounds: bool = False) -> DataFrame:
+def run(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, strategy: str = "auto", tile: tuple[int, int] = TILE, check_bounds: bool = False, sparse: bool = False) -> DataFrame:
     """fields with the written columns updated on the grid's box; temporaries are not returned.
 
     fields is dense: a row for each point of a box that holds the grid's and the read extents (check_bounds makes sure of
     that, and of a table without holes and repeated points, by one aggregate).  Fields outside the box keep their values, also those that inner stages compute beyond
-    it.  strategy: windows, blocks or auto (windows if all multistages are parallel).  tile: cells of a tile in i and j.
+    it.  strategy: windows (for parallel multistages), columns (JVM folds for ordered ones, windows for the others), blocks (numpy over tiles) or
+    auto (windows if all multistages are parallel, else blocks).  tile: cells of a tile in i and j.  A hole or a repeated point that a task meets raises an
+    error.
+
+    sparse: the table may lack points.  A missing point is read as null, so that what is computed from it is null too (a choice whose condition is
+    null as well); only points that the table holds are written.
     """
     spec = spec if isinstance(spec, Spec) else Spec((spec,))
     spec.validate(grid)
@@ -40,11 +49,17 @@ def run(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, strategy: str =
         raise SpecError(f"no such fields: {sorted(missing)}")
     if min(grid.ni, grid.nj, grid.nk) <= 0:
         return fields
-    if check_bounds:
+    if check_bounds and not sparse:
         _check(spec, grid, fields)
     parallel = all(m.order == "parallel" for m in spec.multistages)
+    if sparse:
+        if not parallel or strategy not in ("auto", "windows"):
+            raise SpecError("sparse tables serve parallel multistages only")
+        strategy = "windows"
     if strategy == "auto":
-        strategy = "windows" if parallel else "blocks"
+        strategy = "windows" if parallel else "blocks"  # numpy over tiles outruns the lambdas of columns, which Spark interprets
+    if strategy == "columns" and not has_column_form(spec):
+        raise SpecError("an ordered multistage reads what it writes at a horizontal offset, which has no column form")
     if strategy == "blocks" and any(native_only(e) for s in spec.stages() for _, b in s.bodies() for e in b.values()):
         raise SpecError("tuple values have no block form")
     if strategy == "blocks" and any(spec.kinds.get(t, "double") not in _NUMPY_KINDS for t in spec.temps):
@@ -58,7 +73,12 @@ def run(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, strategy: str =
         tiled = fields.withColumn("own", F.lit(True))  # every point for itself: a projection, without an exchange
     else:
         tiled = deal(fields, grid, halo, tile, by_level=strategy == "windows" and not vertical_reads(spec))
-    out = _windows(spec, grid, tiled) if strategy == "windows" else _blocks(spec, grid, tiled)
+    if sparse:
+        out = _gathers(spec, grid, tiled)
+    elif strategy == "columns":
+        out = run_columns(spec, grid, _with_temps(spec, tiled), _window_stage, _shifted)
+    else:
+        out = _windows(spec, grid, tiled) if strategy == "windows" else _blocks(spec, grid, tiled)
     return out.where("own").select(*fields.columns)
 
 
@@ -99,49 +119,96 @@ def deal(fields: DataFrame, grid: Grid, halo: Extent, tile: tuple[int, int], by_
     return out.repartition("ti", "tj", "k") if by_level else out.repartition("ti", "tj")
 
 
+_KEYS = ["ti", "tj"]
+
+
+def _line(axis: int) -> WindowSpec:
+    dim = "ijk"[axis]
+    return Window.partitionBy(*_KEYS, *(d for d in "kij" if d != dim)).orderBy(dim)
+
+
+def _with_temps(spec: Spec, tiled: DataFrame) -> DataFrame:
+    new = {name: F.lit(None).cast(spec.kinds.get(name, "double")) for name in sorted(spec.temps & spec.fields())}
+    return tiled.withColumns(new) if new else tiled
+
+
 def _windows(spec: Spec, grid: Grid, tiled: DataFrame) -> DataFrame:
     """One layer of lag/lead columns for each stage; Spark keeps the exchange of deal() for all of them."""
-    keys = ["ti", "tj"]
-    line = {
-        0: Window.partitionBy(*keys, "k", "j").orderBy("i"),
-        1: Window.partitionBy(*keys, "k", "i").orderBy("j"),
-        2: Window.partitionBy(*keys, "i", "j").orderBy("k"),
-    }
-    out = tiled
-    temps = spec.temps
-    for name in temps & spec.fields():
-        out = out.withColumn(name, F.lit(None).cast(spec.kinds.get(name, "double")))
+    out = _with_temps(spec, tiled)
+    singles = frozenset(f.name for f in out.schema if isinstance(f.dataType, T.FloatType))
+    checked: set[str] = set()
+    for s, extent in zip(spec.stages(), spec.compute_extents(), strict=True):
+        out = _window_stage(out, s, extent, grid, singles, checked)
+    return out
+
+
+def _shifted(out: DataFrame, wanted: list[tuple[str, tuple[int, int, int]]], checked: set[str]) -> tuple[DataFrame, dict[tuple, str]]:
+    """out with a column for each field at an offset, and their names; null beyond the table.
+
+    A corner is a shift of a shift.  The first time that a dimension is read along, which `checked` remembers, each row's coordinate is held to that of
+    the row next to it: a hole or a repeated point raises an error.
+    """
+    held: dict[tuple, str] = {}
+    for axis in range(3):
+        dim, line, layer = "ijk"[axis], _line(axis), {}
+        for name, offset in wanted:
+            part = offset[: axis + 1] + (0,) * (2 - axis)
+            if offset[axis] and (name, part) not in held and (name, part) not in layer:
+                before = part[:axis] + (0,) * (3 - axis)
+                layer[name, part] = (held[name, before] if any(before) else name, offset[axis])
+        if not layer:
+            continue
+        names = {key: f"__{axis}_{n}" for n, key in enumerate(layer)}
+        found = {names[key]: F.lead(c, by).over(line) if by > 0 else F.lag(c, -by).over(line) for key, (c, by) in layer.items()}
+        if dim in checked:
+            out = out.withColumns(found)
+        else:
+            checked.add(dim)
+            first = next(iter(names.values()))  # one of the layer's columns carries the check
+            out = out.withColumns(found | {"__before": F.lag(dim, 1).over(line)})
+            hole = F.raise_error(F.lit(f"the table has a hole or a repeated point along {dim}; run with sparse=True")).cast(out.schema[first].dataType)
+            out = out.withColumn(first, F.when(F.coalesce(F.col("__before") != F.col(dim) - 1, F.lit(False)), hole).otherwise(F.col(first))).drop("__before")
+        held |= names
+    return out, held
+
+
+def _window_stage(out: DataFrame, s: Stage, extent: Extent, grid: Grid, singles: frozenset[str], checked: set[str]) -> DataFrame:
+    bodies = s.bodies()
+    out, held = _shifted(out, sorted({r for _, b in bodies for e in b.values() for r in reads(e) if any(r[1])}), checked)
+    return _written(out, bodies, extent, grid, singles, held)
+
+
+def _gathers(spec: Spec, grid: Grid, tiled: DataFrame) -> DataFrame:
+    """A stage at a time: reads at offsets come by sent_within, whose aggregate needs no exchange beside that of deal()."""
+    out = _with_temps(spec, tiled)
     singles = frozenset(f.name for f in out.schema if isinstance(f.dataType, T.FloatType))
     for s, extent in zip(spec.stages(), spec.compute_extents(), strict=True):
         bodies = s.bodies()
-        wanted = sorted({r for _, b in bodies for e in b.values() for r in reads(e) if any(r[1])})
-        held: dict[tuple, str] = {}
-        for axis in range(3):
-            layer = {}
-            for name, offset in wanted:
-                part = offset[: axis + 1] + (0,) * (2 - axis)
-                if offset[axis] and (name, part) not in held and (name, part) not in layer:
-                    before = part[:axis] + (0,) * (3 - axis)
-                    source = held[name, before] if any(before) else name
-                    layer[name, part] = F.lead(source, offset[axis]).over(line[axis]) if offset[axis] > 0 else F.lag(source, -offset[axis]).over(line[axis])
-            for n, (key, column) in enumerate(layer.items()):
-                held[key] = f"__{axis}_{n}"
-            if layer:
-                out = out.withColumns({held[key]: column for key, column in layer.items()})
-        inside = F.col("i").between(grid.i0 + extent.i[0], grid.i0 + grid.ni - 1 + extent.i[1]) & F.col("j").between(grid.j0 + extent.j[0], grid.j0 + grid.nj - 1 + extent.j[1])
-        updates: dict[str, Column] = {}
-        for interval, body in bodies:
-            levels = grid.levels(interval) if interval else range(grid.nk)
-            here = inside & F.col("k").between(levels.start, levels.stop - 1)
-            for name, e in body.items():
-                value = to_column(e, lambda f, o, held=held: F.col(held[f, o] if any(o) else f), singles)
-                kind = out.schema[name].dataType
-                value = value if isinstance(kind, (T.StructType, T.ArrayType)) else value.cast(kind)
-                updates[name] = updates[name].when(here, value) if name in updates else F.when(here, value)
-        out = out.withColumns({name: u.otherwise(F.col(name)) for name, u in updates.items()}).drop(*held.values())
+        wanted: dict[tuple[int, int, int], set[str]] = {}
+        for name, offset in {r for _, b in bodies for e in b.values() for r in reads(e) if any(r[1])}:
+            wanted.setdefault(offset, set()).add(name)
+        held = {}
+        if wanted:
+            out, held = sent_within(out, _KEYS, {o: sorted(names) for o, names in sorted(wanted.items())})
+        out = _written(out, bodies, extent, grid, singles, held, missing=True)
     return out
 
 
+def _written(out: DataFrame, bodies: list, extent: Extent, grid: Grid, singles: frozenset[str], held: dict[tuple, str], missing: bool = False) -> DataFrame:
+    """out with a stage's writes, reads at offsets being the columns of held, which go."""
+    inside = F.col("i").between(grid.i0 + extent.i[0], grid.i0 + grid.ni - 1 + extent.i[1]) & F.col("j").between(grid.j0 + extent.j[0], grid.j0 + grid.nj - 1 + extent.j[1])
+    updates: dict[str, Column] = {}
+    for interval, body in bodies:
+        levels = grid.levels(interval) if interval else range(grid.nk)
+        here = inside & F.col("k").between(levels.start, levels.stop - 1)
+        for name, e in body.items():
+            value = to_column(e, lambda f, o: F.col(held[f, o] if any(o) else f), singles, missing=missing)
+            kind = out.schema[name].dataType
+            value = value if isinstance(kind, (T.StructType, T.ArrayType)) else value.cast(kind)
+            updates[name] = updates[name].when(here, value) if name in updates else F.when(here, value)
+    return out.withColumns({name: u.otherwise(F.col(name)) for name, u in updates.items()}).drop(*held.values())
+
+
 def _blocks(spec: Spec, grid: Grid, tiled: DataFrame) -> DataFrame:
     """Numpy over whole tiles: every stage on its compute box, level by level where the order says so."""
     plan = []
@@ -158,6 +225,8 @@ def _blocks(spec: Spec, grid: Grid, tiled: DataFrame) -> DataFrame:
         lows, highs = (i.min(), j.min(), k.min()), (i.max(), j.max(), k.max())
         shape = tuple(int(b - a + 1) for a, b in zip(lows, highs, strict=True))
         at = (i - lows[0], j - lows[1], k - lows[2])
+        if len(i) != shape[0] * shape[1] * shape[2] or len(np.unique(np.ravel_multi_index(at, shape))) != len(i):
+            raise ValueError("the table has a hole or a repeated point")
         data = {}
         for name in used:
             column = table[name].to_numpy()

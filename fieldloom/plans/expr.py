@@ -171,22 +171,28 @@ def in_single(expr: Expr, singles: frozenset[str]) -> bool:
     return isinstance(expr, Read) and expr.field in singles
 
 
-def to_column(expr: Expr, read: Callable[[str, tuple[int, int, int]], Column], singles: frozenset[str] = frozenset()) -> Column:
-    """singles: the fields of floats.  Steps on these alone are rounded to single precision one by one, as numpy's are."""
+def to_column(expr: Expr, read: Callable[[str, tuple[int, int, int]], Column], singles: frozenset[str] = frozenset(), index: Callable[[str], Column] = F.col, missing: bool = False) -> Column:
+    """singles: the fields of floats.  Steps on these alone are rounded to single precision one by one, as numpy's are.  index: a coordinate of the point.
+
+    missing: reads may be null; then a choice whose condition is unknown is null too.
+    """
     if isinstance(expr, Const):
         return F.lit(expr.value)
     if singles and isinstance(expr, Op) and in_single(expr, singles):
-        args = [F.lit(a.value).cast("float") if isinstance(a, Const) and type(a.value) is not bool else to_column(a, read, singles) for a in expr.args]
+        args = [F.lit(a.value).cast("float") if isinstance(a, Const) and type(a.value) is not bool else to_column(a, read, singles, index, missing) for a in expr.args]
         out = _OPS[expr.kind][0](*args)
         return out if expr.kind in _NO_NUMBER else ieee.single(out)
     if isinstance(expr, Read):
         return read(expr.field, expr.offset)
     if isinstance(expr, Index):
-        return F.col(expr.dim)
+        return index(expr.dim)
     if isinstance(expr, Item):
-        of = to_column(expr.of, read, singles)
+        of = to_column(expr.of, read, singles, index, missing)
         return F.get(of, F.lit(expr.at)) if isinstance(expr.at, int) else of.getField(expr.at)
-    return _OPS[expr.kind][0](*(to_column(a, read, singles) for a in expr.args))
+    if missing and expr.kind == "where":
+        condition, yes, no = (to_column(a, read, singles, index, missing) for a in expr.args)
+        return F.when(condition, yes).when(~condition, no)
+    return _OPS[expr.kind][0](*(to_column(a, read, singles, index, missing) for a in expr.args))
 
 
 def to_numpy(expr: Expr, read: Callable[[str, tuple[int, int, int]], np.ndarray], index: Callable[[str], np.ndarray]):
