@@ -24,6 +24,7 @@ from fieldloom.operators.ordered import has_column_form, run_columns
 from fieldloom.plans.expr import native_only, reads, to_column, to_numpy
 from fieldloom.plans.grid import Extent, Grid
 from fieldloom.plans.spec import MultiStage, Operator, Spec, SpecError, Stage, execute_parallel
+from fieldloom.sources.tables import written
 
 TILE = (64, 64)
 #: Types of temporaries in blocks.
@@ -209,15 +210,26 @@ def _written(out: DataFrame, bodies: list, extent: Extent, grid: Grid, singles:
     return out.withColumns({name: u.otherwise(F.col(name)) for name, u in updates.items()}).drop(*held.values())
 
 
+def numpy_plan(spec: Spec, grid: Grid) -> list:
+    """For each multistage its order and its stages: compute extent, and levels and expressions of each interval."""
+    extents = iter(spec.compute_extents())
+    return [(m.order, [(next(extents), [(grid.levels(i) if i else range(grid.nk), b) for i, b in s.bodies()]) for s in m.stages]) for m in spec.multistages]
+
+
+def run_plan(plan: list, spec: Spec, data: dict[str, np.ndarray], grid: Grid, lows: tuple, shape: tuple) -> None:
+    """All multistages on the arrays of a tile whose first cell is at lows; temporaries are added to data."""
+    for name in sorted(spec.temps & spec.fields()):
+        kind = _NUMPY_KINDS[spec.kinds.get(name, "double")]
+        data[name] = np.full(shape, np.nan if kind.kind == "f" else 0, kind)
+    for order, stages in plan:
+        _multistage(order, stages, data, grid, lows, shape)
+
+
 def _blocks(spec: Spec, grid: Grid, tiled: DataFrame) -> DataFrame:
     """Numpy over whole tiles: every stage on its compute box, level by level where the order says so."""
-    plan = []
-    extents = iter(spec.compute_extents())
-    for m in spec.multistages:
-        plan.append((m.order, [(next(extents), [(grid.levels(i) if i else range(grid.nk), b) for i, b in s.bodies()]) for s in m.stages]))
+    plan = numpy_plan(spec, grid)
     used = sorted(spec.fields() - spec.temps)
     written = sorted({f for s in spec.stages() for f in s.written()} - spec.temps)
-    temps = sorted(spec.temps & spec.fields())
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in tiled.schema])
 
     def compute(table: pa.Table) -> pa.Table:
@@ -232,11 +244,7 @@ def _blocks(spec: Spec, grid: Grid, tiled: DataFrame) -> DataFrame:
             column = table[name].to_numpy()
             data[name] = np.full(shape, np.nan if column.dtype.kind == "f" else 0, column.dtype)
             data[name][at] = column
-        for name in temps:
-            kind = _NUMPY_KINDS[spec.kinds.get(name, "double")]
-            data[name] = np.full(shape, np.nan if kind.kind == "f" else 0, kind)
-        for order, stages in plan:
-            _multistage(order, stages, data, grid, lows, shape)
+        run_plan(plan, spec, data, grid, lows, shape)
         for name in written:
             n = table.schema.get_field_index(name)
             table = table.set_column(n, table.schema.field(n), pa.chunked_array([pa.array(data[name][at]).cast(table.schema.field(n).type)]))
@@ -311,12 +319,13 @@ def expandable_run(spec_of, factor: int, grid: Grid, fields: DataFrame, vectors:
 def steps(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, swaps: dict[str, str], count: int, every: int = 10, **options) -> Iterator[DataFrame]:
     """State after each of count runs; after a run the columns named in swaps change places.
 
-    Every `every` steps the state goes to checkpoint(), which cuts the plan and needs spark.checkpoint.dir.
+    Every `every` steps the state is written to the shared folder and read back, which cuts the plan.  For many steps of a large table see blocks: there
+    only strips move between steps.
     """
     for n in range(1, count + 1):
         fields = run(spec, grid, fields, **options)
         names = {**swaps, **{b: a for a, b in swaps.items()}}
         fields = fields.select(*(F.col(names.get(c, c)).alias(c) for c in fields.columns))
         if n % every == 0:
-            fields = fields.checkpoint()
+            fields = written(fields)
         yield fields
