@@ -63,10 +63,14 @@ def run_columns(spec: Spec, grid: Grid, tiled: DataFrame, parallel_stage: Callab
             packed = _packed(flat)
         packed = _folded(packed, m, stages, grid, held, singles)
         if held:
-            packed = packed.withColumn("__l", F.transform("__l", lambda x, gone=tuple(held.values()): x.dropFields(*gone)))
+            packed = packed.withColumn("__l", F.transform("__l", _without(list(held.values()))))
     return _unpacked(packed) if packed is not None else flat
 
 
+def _without(names: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.dropFields(*names)
+
+
 def _packed(flat: DataFrame) -> DataFrame:
     """One row for each column: its levels in order.  Tiles hold whole columns, so that this needs no exchange."""
     levels = F.struct("k", *(F.col(c) for c in flat.columns if c not in KEYS and c != "k"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import ieee
-from fieldloom.operators import boundary, fn, halo, icosahedral, kernels, mesh, reduction, stencil
+from fieldloom.operators import blocks, boundary, fn, halo, icosahedral, kernels, mesh, reduction, stencil
 from fieldloom.operators.fn import can_deref, deref, shift
 from fieldloom.plans import expr
 from fieldloom.plans.expr import Index, array, maximum, where
@@ -191,11 +191,13 @@ def tuple_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ran.select("i", "j", "k", F.get("out", F.lit(0)).alias("a"), F.get("out", F.lit(1)).alias("b"))
 
 
-@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::double * 0e0 + 1e0)) AS n, embedding[5]::double AS fifth FROM embeddings")
+@query("SELECT vec_id, embedding[5]::double AS fifth, embedding[1]::double * 2e0 + embedding[64]::double AS ends FROM embeddings")
 def extra_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The components of a vector as an extra data dimension."""
-    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return emb.select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * 0 + 1).alias("n"), F.get("embedding", F.lit(4)).cast("double").alias("fifth"))
+    """The components of a vector as an extra data dimension, read by place within a stencil."""
+    emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("vec_id").cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("k"), F.col("embedding").cast("array<double>").alias("v"))
+    own = Operator(lambda v, fifth, ends: {"fifth": v()[4], "ends": v()[0] * 2.0 + v()[63]}, v=in_(), fifth=inout(), ends=inout())
+    df = emb.withColumns({"fifth": F.lit(0.0), "ends": F.lit(0.0)})
+    return stencil.run_single_stage(own, make_grid((1 << 31) - 1, 1, 1), df, v="v", fifth="fifth", ends="ends").select("vec_id", "fifth", "ends")
 
 
 @query("WITH {lat} SELECT i, j, list(value ORDER BY k)[3] AS third, len(list(value)) AS n FROM lat GROUP BY i, j")
@@ -347,9 +349,12 @@ def vertices_to_edges(spark: SparkSession, nx: int = _NX) -> DataFrame:
 _V2E = "v2e AS (SELECT v AS vertex, edge, (row_number() OVER (PARTITION BY v ORDER BY edge) - 1)::int AS n FROM (SELECT edge, unnest(v) AS v FROM e2v))"
 
 
-@query(f"WITH {_E2V}, {_V2E}, p AS (SELECT v.vertex::int AS vertex, n.n::int AS n FROM range(100) v(vertex), range(6) n(n)) SELECT vertex AS index, n, coalesce(edge, -1)::int AS neighbor FROM p LEFT JOIN v2e USING (vertex, n)")
+@query(f"""WITH {{lat}}, {_E2V}, {_V2E}, p AS (SELECT (i + j * 10)::int AS vertex, n.n::int AS n, value FROM lat, range(6) n(n) WHERE k = 0)
+    SELECT vertex AS index, n, coalesce(edge, -1)::int AS neighbor, value FROM p LEFT JOIN v2e USING (vertex, n)""")
 def neighbor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vertices_to_edges(spark)
+    """A connectivity with the value of the point that each row belongs to."""
+    field = lat(spark, sf_dir).where("k = 0").select((F.col("i") + F.col("j") * N).alias("vertex"), "value")
+    return mesh.deref(vertices_to_edges(spark), "index", field, "vertex", "value").select("index", "n", "neighbor", "value")
 
 
 @query(f"""WITH {{lat}}, {_E2V}, {_V2E}, f AS (SELECT (i + j * 10)::int AS vertex, k, value FROM lat),
@@ -724,13 +729,13 @@ def merged_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.merged_columns(lat(spark, sf_dir), ["i", "j"], "k", ["value"], [most, down], "last")
 
 
-@query(f"WITH {_E2V}, {_V2E}, p AS (SELECT v.vertex::int AS vertex, n.n::int AS n FROM range(100) v(vertex), range(6) n(n)) SELECT vertex, n AS place, coalesce(edge, -1)::int AS edge, edge IS NOT NULL AS there FROM p LEFT JOIN v2e USING (vertex, n) WHERE vertex < 20")
+@query(f"""WITH {{lat}}, {_E2V}, {_V2E}, p AS (SELECT (i + j * 10)::int AS vertex, n.n::int AS n, value FROM lat, range(6) n(n) WHERE k = 1)
+    SELECT vertex, value, n AS place, coalesce(edge, -1)::int AS edge, edge IS NOT NULL AS there FROM p LEFT JOIN v2e USING (vertex, n)""")
 def neighbor_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of any names taken as a connectivity, and which of its places can be read."""
-    named = vertices_to_edges(spark).toDF("vertex", "place", "edge")
-    table = mesh.as_neighbor_table(named, "vertex", "place", "edge")
-    points = named.select("vertex").distinct().where("vertex < 20")
-    return mesh.hop(points, "vertex", table, to="edge", order="place").select("vertex", "place", "edge", mesh.can_deref("edge").alias("there"))
+    """A table of any names taken as a connectivity, along which a field's points move, and which of its places can be read."""
+    table = mesh.as_neighbor_table(vertices_to_edges(spark).toDF("vertex", "place", "edge"), "vertex", "place", "edge")
+    points = lat(spark, sf_dir).where("k = 1").select((F.col("i") + F.col("j") * N).alias("vertex"), "value")
+    return mesh.hop(points, "vertex", table, to="edge", order="place").select("vertex", "value", "place", "edge", mesh.can_deref("edge").alias("there"))
 
 
 # --- icosahedral stages, and the pairs of locations without a query so far
@@ -826,13 +831,16 @@ def interval_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("i", "j", "k", "out", F.lit(grid.k_start(lower)).alias("first"), F.lit(grid.k_size(lower)).alias("size"), F.lit(grid.k_start(lower, backward=True)).alias("back"))
 
 
-@query("SELECT * FROM (VALUES (0, 'lap', -1, 1, -1, 1), (1, 'flx', -1, 0, 0, 0), (2, 'fly', 0, 0, -1, 0), (3, 'out', 0, 0, 0, 0)) t(stage, writes, i_low, i_high, j_low, j_high)")
+@query("""WITH {lat}, s AS (SELECT * FROM (VALUES (0, 'lap', -1, 1, -1, 1), (1, 'flx', -1, 0, 0, 0), (2, 'fly', 0, 0, -1, 0), (3, 'out', 0, 0, 0, 0)) t(stage, writes, i_low, i_high, j_low, j_high))
+    SELECT s.*, count(*) AS cells, sum(value) AS total FROM s JOIN lat ON i BETWEEN 2 + i_low AND 7 + i_high AND j BETWEEN 2 + j_low AND 7 + j_high GROUP BY ALL""")
 def plan_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages of horizontal diffusion and how far each computes beyond the box, from the plan's JSON."""
+    """The stages of horizontal diffusion, how far each computes beyond the box by the plan's JSON, and the cells of the lattice that it so computes."""
     kinds = "struct<multistages: array<struct<stages: array<struct<extent: struct<i: array<int>, j: array<int>>, fields: map<string, string>>>>>>"
-    plan = spark.createDataFrame([(kernels.horizontal_diffusion().explain_json(_box(2)),)], "plan string").select(F.from_json("plan", kinds).alias("p"))
-    stages = plan.select(F.posexplode(F.flatten("p.multistages.stages")).alias("stage", "s"))
-    return stages.select("stage", F.col("s.fields")["out"].alias("writes"), *(F.get(f"s.extent.{d}", F.lit(n)).alias(f"{d}_{side}") for d in "ij" for n, side in enumerate(("low", "high"))))
+    plan = F.from_json(F.lit(kernels.horizontal_diffusion().explain_json(_box(2))), kinds)
+    rows = lat(spark, sf_dir).select("i", "j", "value", F.posexplode(F.flatten(plan["multistages"]["stages"])).alias("stage", "s"))
+    ends = [F.get(f"s.extent.{d}", F.lit(n)).alias(f"{d}_{side}") for d in "ij" for n, side in enumerate(("low", "high"))]
+    rows = rows.select("i", "j", "value", "stage", F.col("s.fields")["out"].alias("writes"), *ends).where("i between 2 + i_low and 7 + i_high and j between 2 + j_low and 7 + j_high")
+    return rows.groupBy("stage", "writes", "i_low", "i_high", "j_low", "j_high").agg(F.count("*").alias("cells"), F.sum("value").alias("total"))
 
 
 @query("WITH {lat} SELECT i, j, k, (value::float / 7::float + 0.1::float) * value::float AS windows, (value::float / 7::float + 0.1::float) * value::float AS blocks, (i::bigint << 56) + j AS wide FROM lat")
@@ -847,14 +855,13 @@ def typed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("i", "j", "k", "windows", "blocks", "wide")
 
 
-@query("SELECT (n // 12)::int AS i, (n // 4 % 3)::int AS j, (n % 4)::int AS k, n::double AS c_order, ((n % 4) * 6 + (n // 4 % 3) * 2 + n // 12)::double AS f_order FROM range(24) r(n)")
+@query("WITH {lat} SELECT i, j, k, value AS c_order, value AS f_order FROM lat")
 def buffer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays of both orders as fields, by way of a field and back."""
+    """The lattice as numpy arrays of both orders and back; arrays are the driver's own, and as small as they are."""
     import numpy as np
 
-    a = np.arange(24, dtype="f8")
-    back = src.to_numpy(src.from_numpy(spark, a.reshape(2, 3, 4), name="c_order"), name="c_order")
-    return src.zip_fields(src.from_numpy(spark, back, name="c_order"), src.from_numpy(spark, a.reshape(4, 3, 2), name="f_order", order="F"))
+    a = src.to_numpy(lat(spark, sf_dir))
+    return src.zip_fields(src.from_numpy(spark, a, name="c_order"), src.from_numpy(spark, np.ascontiguousarray(a.transpose(2, 1, 0)), name="f_order", order="F"))
 
 
 _WLAP = "e.value + w.value - 2e0 * a.value + north * (n.value - a.value) + 0.25e0 * (s.value - a.value)"
@@ -878,3 +885,133 @@ def prepare_tracers(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = lambda f: execute_parallel().stage(kernels.prepare_tracer, inp=f["inp"], density="density", out=f["out"])
     ran = stencil.expandable_run(spec, 2, make_grid(N, N, NK), df, {"inp": [f"t{n}" for n in range(11)], "out": [f"o{n}" for n in range(11)]})
     return ran.select("i", "j", "k", *(f"o{n}" for n in range(11)))
+
+
+# --- ordered multistages in the JVM, tables that lack points, blocks over many steps, chains of icosahedral stages
+
+
+@query(ORACLE_SQL["tridiagonal"])
+def tridiagonal_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sweeps as folds of packed columns, without Python."""
+    grid = make_grid(N, N, NK)
+    df = lat(spark, sf_dir).withColumns({"inf": F.lit(-1.0), "diag": F.lit(3.0), "sup": F.lit(1.0), "out": F.lit(0.0)})
+    return stencil.run(kernels.tridiagonal(grid, rhs="value"), grid, df, strategy="columns").select("i", "j", "k", "out")
+
+
+@query(ORACLE_SQL["whole_axis"])
+def whole_axis_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    full = Axis(NK).full()
+    step = Operator({full.first_level(): lambda inp, out: {"out": 0.0}, full.modify(1, 0): lambda inp, out: {"out": out(k=-1) + inp(k=-1)}}, inp=in_(k=(-1, 0)), out=inout(k=(-1, 0)))
+    df = lat(spark, sf_dir).withColumn("out", F.lit(0.0))
+    return stencil.run(execute_forward().stage(step, inp="value", out="out"), make_grid(N, N, NK), df, strategy="columns").select("i", "j", "k", "out")
+
+
+@query(ORACLE_SQL["vertical_advection"])
+def vertical_advection_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parallel stage by windows, two sweeps as folds, and a parallel stage, in one exchange."""
+    grid = make_grid(Halo(0, 1, 0, N - 2, N), N, NK)
+    df = lat(spark, sf_dir).withColumns({"wcon": F.col("value") / 1000, "u_pos": F.col("value") / 50, "utens": F.lit(0.5), "utens_stage": F.lit(0.25), "utens_out": F.lit(0.0)})
+    return stencil.run(kernels.vertical_advection(grid, u_stage="value"), grid, df, strategy="columns").where("i < 9").select("i", "j", "k", "utens_out")
+
+
+@query("""WITH RECURSIVE {lat}, f(i, j, k, a, b, before) AS (
+        SELECT i, j, k, value, value, 0e0 FROM lat WHERE k = 0
+        UNION ALL SELECT l.i, l.j, l.k, l.value + 0.5e0 * f.a + f.before, l.value + 0.5e0 * f.a + f.before - f.b, f.a FROM f JOIN lat l ON l.i = f.i AND l.j = f.j AND l.k = f.k + 1)
+    SELECT i, j, k, a, b FROM f""")
+def interleaved_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stages of one forward pass: the second reads what the first wrote at its level, and its own last output; the first reads two levels back."""
+    axis = Axis(NK, offset_limit=3)
+    full = axis.full()
+    low, second, rest = full.first_level(), full.first_level().shift(1), full.modify(2, 0)
+    first = Operator({low: lambda v, a: {"a": v()}, second: lambda v, a: {"a": v() + 0.5 * a(k=-1) + 0.0}, rest: lambda v, a: {"a": v() + 0.5 * a(k=-1) + a(k=-2)}}, v=in_(), a=inout(k=(-2, 0)))
+    then = Operator({low: lambda a, b: {"b": a()}, full.modify(1, 0): lambda a, b: {"b": a() - b(k=-1)}}, a=in_(), b=inout(k=(-1, 0)))
+    spec = execute_forward().stage(first, v="value", a="a").stage(then, a="a", b="b")
+    return stencil.run(spec, make_grid(N, N, axis), lat(spark, sf_dir).withColumns({"a": F.lit(0.0), "b": F.lit(0.0)}), strategy="columns").select("i", "j", "k", "a", "b")
+
+
+def _sparse_sql(n: int = 12, gone: int = 3) -> str:
+    """Points of a lattice of n by 10 that lines fall on, less those whose quantities add up to a multiple of `gone`."""
+    return f"""lat AS MATERIALIZED (SELECT (l_suppkey % {n})::int AS i, (l_partkey % 10)::int AS j, (l_linenumber - 1)::int AS k, sum(l_quantity::bigint)::double AS value
+        FROM lineitem GROUP BY 1, 2, 3 HAVING sum(l_quantity::bigint) % {gone} <> 0)"""
+
+
+_SPARSE_SQL = _sparse_sql()
+
+
+def sparse_lat(spark: SparkSession, sf_dir: str, n: int = 12, gone: int = 3) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    own = rows.groupBy(*(c.cast("int").alias(d) for d, c in zip("ijk", (F.col("l_suppkey") % n, F.col("l_partkey") % 10, F.col("l_linenumber") - 1), strict=True))).agg(F.sum(F.col("l_quantity").cast("long")).alias("value"))
+    return own.where(F.col("value") % gone != 0).withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"WITH {_SPARSE_SQL} SELECT i, j, k, CASE WHEN i BETWEEN 1 AND 10 AND j BETWEEN 1 AND 8 THEN 4e0 * value - ({_at(1, 0)} + {_at(0, 1)} + {_at(-1, 0)} + {_at(0, -1)}) ELSE -1e0 END AS out FROM lat a")
+def sparse_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lattice with holes, unfilled: null where a neighbour is missing."""
+    grid = make_grid(Halo(1, 1, 1, 10, 12), Halo(1, 1, 1, 8, 10), NK)
+    spec = execute_parallel().stage(kernels.laplacian, inp="value", out="out")
+    return stencil.run(spec, grid, sparse_lat(spark, sf_dir).withColumn("out", F.lit(-1.0)), sparse=True).select("i", "j", "k", "out")
+
+
+@query(_DIFFUSION_SQL.replace("{coeff}", "0.025e0").replace("{lat}", _sparse_sql(10, 31)))
+def sparse_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four stages on a lattice with holes, in tiles of 5 by 5; the points where all that they read is there."""
+    df = sparse_lat(spark, sf_dir, 10, 31).withColumns({"coeff": F.lit(0.025), "out": F.lit(0.0)})
+    out = stencil.run(kernels.horizontal_diffusion(), _box(2), df, tile=(5, 5), sparse=True)
+    return _inner(out, 2).where("out is not null").select("i", "j", "k", "out")
+
+
+@query(f"WITH {_SPARSE_SQL} SELECT a.i, a.j, a.k, a.value - c.value AS out FROM lat a JOIN lat c ON c.i = a.i - 1 AND c.j = a.j + 1 AND c.k = a.k + 1")
+def sparse_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read at a corner of another level, whatever lies between."""
+    own = Operator(lambda v, out: {"out": v() - v(i=-1, j=1, k=1)}, v=in_(i=(-1, 0), j=(0, 1), k=(0, 1)), out=inout())
+    df = sparse_lat(spark, sf_dir).withColumn("out", F.lit(None).cast("double"))
+    return stencil.run(execute_parallel().stage(own, v="value", out="out"), make_grid(12, 10, NK), df, tile=(4, 4), sparse=True).where("out is not null").select("i", "j", "k", "out")
+
+
+def _steps_sql(count: int) -> str:
+    step = """s{m} AS MATERIALIZED (SELECT a.i, a.j, a.k, CASE WHEN a.j BETWEEN 1 AND 8 THEN a.value + 0.125e0 * (e.value + n.value + w.value + s.value - 4e0 * a.value) ELSE a.value END AS value FROM s{l} a
+        LEFT JOIN s{l} e ON e.i = (a.i + 1) % 10 AND e.j = a.j AND e.k = a.k LEFT JOIN s{l} n ON n.i = a.i AND n.j = a.j + 1 AND n.k = a.k
+        LEFT JOIN s{l} w ON w.i = (a.i + 9) % 10 AND w.j = a.j AND w.k = a.k LEFT JOIN s{l} s ON s.i = a.i AND s.j = a.j - 1 AND s.k = a.k)"""
+    return f"WITH {{lat}}, s0 AS (SELECT * FROM lat), {', '.join(step.format(l=n, m=n + 1) for n in range(count))} SELECT i, j, k, value FROM s{count}"
+
+
+@query(_steps_sql(6))
+def stepped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six steps of diffusion, periodic along i, in blocks that stay where they are: only border strips move."""
+    own = Operator(lambda v, out: {"out": v() + 0.125 * (v(i=1) + v(j=1) + v(i=-1) + v(j=-1) - 4.0 * v())}, v=in_(i=(-1, 1), j=(-1, 1)), out=inout())
+    start = blocks.Blocks.of(lat(spark, sf_dir).withColumn("next", F.col("value")), blocks.Layout((5, 5, NK), (2, 2, 1), ((1, 1), (1, 1), (0, 0)), (True, False, False)), ("value",))
+    return start.march(execute_parallel().stage(own, v="value", out="next"), make_grid(N, Halo(1, 1, 1, N - 2, N), NK), 6, {"value": "next"}).rows().select("i", "j", "k", "value")
+
+
+def _fused_sql() -> str:
+    """Sums over neighbours from cells to edges to vertices to edges to cells; each table has the sums of the one before."""
+    a, b, c, d = (_ico_sql(source, target, "x.s", "s", table=f"s{n}") for n, (source, target) in enumerate((("edges", "cells"), ("vertices", "edges"), ("edges", "vertices"), ("cells", "edges"))))
+    return f"""WITH {{lat}}, {_CELLS}, {_EDGES}, {_VERTICES}, s0 AS (SELECT *, u AS s FROM cells), s1 AS (SELECT * FROM {a}), s2 AS (SELECT * FROM {b}), s3 AS (SELECT * FROM {c}), s4 AS (SELECT * FROM {d})
+        SELECT i, j, k, c, CASE WHEN i BETWEEN 4 AND 5 AND j BETWEEN 4 AND 5 THEN s4.s ELSE -1e0 END AS out FROM cells LEFT JOIN s4 USING (i, j, k, c)"""
+
+
+@query(_fused_sql())
+def ico_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of four stages over all three locations in one exchange; three write temporaries as far beyond the box as those after them read."""
+    chain = [("edges", "cells", "u", "t1"), ("vertices", "edges", "t1", "t2"), ("edges", "vertices", "t2", "t3"), ("cells", "edges", "t3", "out")]
+    stages = tuple(icosahedral.Stage(at, lambda p, f=f, r=r, to=to: {to: p.fold(f, lambda a, x: a + x[r], F.lit(0.0))}, (to,), {f: (r,)}) for at, f, r, to in chain)
+    spec = icosahedral.IcosahedralSpec(stages, {"t1": ("edges", "double"), "t2": ("vertices", "double"), "t3": ("edges", "double")})
+    tables = {where: _located(spark, sf_dir, where) for where in icosahedral.COLORS}
+    tables["cells"] = tables["cells"].withColumn("out", F.lit(-1.0))
+    return icosahedral.run(spec, ((4, 5), (4, 5)), tables)["cells"].select("i", "j", "k", "c", "out")
+
+
+@query(f"""WITH {{lat}}, {_CELLS}, {_VERTICES}, a AS (SELECT * FROM {_ico_sql('cells', 'vertices', 'x.u', 's')}), b AS (SELECT * FROM {_ico_sql('cells', 'vertices', 'x.u * x.len', 's')})
+    SELECT i, j, k, c, coalesce(a.s, 0) AS p, coalesce(b.s, 0) AS q FROM cells LEFT JOIN a USING (i, j, k, c) LEFT JOIN b USING (i, j, k, c)""")
+def ico_expandable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stages over two fields, with a temporary for each."""
+    vertices = _located(spark, sf_dir, "vertices").withColumn("w", F.col("u") * F.col("len"))
+    cells = _located(spark, sf_dir, "cells").withColumns({"p": F.lit(0.0), "q": F.lit(0.0)})
+
+    def spec(f):
+        copy = icosahedral.Stage("vertices", lambda at: {f["t"]: at(f["v"])}, (f["t"],))
+        add = icosahedral.Stage("cells", lambda at: {f["out"]: at.fold("vertices", lambda a, x: a + x[f["t"]], F.lit(0.0))}, (f["out"],), {"vertices": (f["t"],)})
+        return icosahedral.IcosahedralSpec((copy, add), {f["t"]: ("vertices", "double")})
+
+    ran = icosahedral.expandable_run(spec, ((0, N), (0, N)), {"cells": cells, "vertices": vertices}, {"v": ["u", "w"], "t": ["t1", "t2"], "out": ["p", "q"]})
+    return ran["cells"].select("i", "j", "k", "c", "p", "q")
