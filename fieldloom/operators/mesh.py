@@ -115,15 +115,18 @@ class ColumnStage:
 CHUNK = 64
 
 
-def merged_columns(df: DataFrame, keys: list[str], axis: str, inputs: list[str], stages: list[ColumnStage], last: str | None = None) -> DataFrame:
+def merged_columns(df: DataFrame, keys: list[str], axis: str, inputs: list[str], stages: list[ColumnStage], last: str | None = None, beside: DataFrame | None = None) -> DataFrame:
     """(keys, axis, inputs and what the stages write, last): stages run one after the other on each column.
 
     A stage reads the inputs and what stages before it wrote.  Levels that a fold covers keep the old value, or null where `out` is
     no input.  last: a column for the accumulator at the end.  One exchange serves all stages: a point's column is one array,
-    ordered and folded by JVM aggregates; it must be as long as a stage's prologue and epilogue.
+    ordered and folded by JVM aggregates; it must be as long as a stage's prologue and epilogue.  beside: a row for each column by keys, whose other values
+    the seeds and steps may use.
     """
     level = F.struct(F.col(axis).alias("__k"), *inputs)
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(level)).alias("__l"))
+    if beside is not None:
+        packed = packed.join(beside, keys, "left")
     known = list(inputs)
     for n, s in enumerate(stages):
         if s.seed is None and n == 0:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import ieee
-from fieldloom.operators import blocks, boundary, fn, halo, icosahedral, kernels, mesh, reduction, stencil
+from fieldloom.operators import blocks, boundary, fn, halo, icosahedral, kernels, longcolumns, mesh, reduction, stencil
 from fieldloom.operators.fn import can_deref, deref, shift
 from fieldloom.plans import expr
 from fieldloom.plans.expr import Index, array, maximum, where
@@ -1015,3 +1015,33 @@ def ico_expandable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ran = icosahedral.expandable_run(spec, ((0, N), (0, N)), {"cells": cells, "vertices": vertices}, {"v": ["u", "w"], "t": ["t1", "t2"], "out": ["p", "q"]})
     return ran["cells"].select("i", "j", "k", "c", "p", "q")
+
+
+# --- columns longer than a task should hold
+
+
+@query("SELECT o_orderkey, (sum(o_custkey) OVER w)::bigint AS total, max(o_custkey) OVER w AS most FROM orders WINDOW w AS (ORDER BY o_orderkey)")
+def long_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as one column, scanned in chunks: a running sum and a running greatest value."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    both = longcolumns.Monoid("struct<s: bigint, m: bigint>", F.struct(F.lit(0).alias("s"), F.lit(0).alias("m")), lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), F.greatest(a["m"], b["m"]).alias("m")))
+    ran = longcolumns.blocked_scan(rows, [], "o_orderkey", F.struct(F.col("o_custkey").alias("s"), F.col("o_custkey").alias("m")), both, "r", 256)
+    return ran.select("o_orderkey", F.col("r.s").alias("total"), F.col("r.m").alias("most"))
+
+
+@query("""WITH RECURSIVE {lat}, f(i, j, k, x) AS (SELECT i, j, k, value FROM lat WHERE k = 0 UNION ALL SELECT a.i, a.j, a.k, 0.5e0 * f.x + a.value FROM f JOIN lat a ON a.i = f.i AND a.j = f.j AND a.k = f.k + 1)
+    SELECT i, j, k, x FROM f""")
+def affine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x = x / 2 + value up each column, as maps that are composed in chunks of two."""
+    step = F.struct(F.lit(0.5).alias("a"), F.col("value").alias("b"))
+    return longcolumns.blocked_scan(lat(spark, sf_dir), ["i", "j"], "k", step, longcolumns.affine(), "f", 2).select("i", "j", "k", F.col("f.b").alias("x"))
+
+
+@query("""WITH RECURSIVE {lat}, r AS MATERIALIZED (SELECT (i * 10 + j) * 7 + k AS p, value AS d, -1e0 - k / 16e0 AS a, 3e0 + i / 8e0 AS b, 1e0 - j / 16e0 AS c FROM lat),
+    f(p, u, v) AS (SELECT p, c / b, d / b FROM r WHERE p = 0 UNION ALL SELECT r.p, r.c / (r.b - r.a * f.u), (r.d - r.a * f.v) / (r.b - r.a * f.u) FROM f JOIN r ON r.p = f.p + 1),
+    b(p, x) AS (SELECT p, v FROM f WHERE p = 699 UNION ALL SELECT f.p, f.v - f.u * b.x FROM b JOIN f ON f.p = b.p - 1)
+    SELECT p, round(x, 6) AS x FROM b""")
+def long_tridiagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lattice as one column and one system, solved in chunks of 64."""
+    row = lat(spark, sf_dir).select(((F.col("i") * 10 + F.col("j")) * 7 + F.col("k")).alias("p"), F.col("value").alias("d"), (-1 - F.col("k") / 16).alias("a"), (3 + F.col("i") / 8).alias("b"), (1 - F.col("j") / 16).alias("c"))
+    return longcolumns.blocked_tridiagonal(row, [], "p", "a", "b", "c", "d", "x", 64).select("p", F.round("x", 6).alias("x"))
