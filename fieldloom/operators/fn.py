@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators import mesh, stencil
-from fieldloom.plans.expr import Const, Expr, Item, Op, Read, lift, reads, to_column
+from fieldloom.plans.expr import Const, Expr, Item, Op, Read, ReadAt, indexed_reads, lift, reads, to_column
 from fieldloom.plans.grid import Axis, Extent, Grid
 from fieldloom.plans.spec import MultiStage, Operator, Spec, Stage, in_, inout
 
@@ -24,19 +24,30 @@ _ACC = "__acc"
 
 @dataclass(frozen=True)
 class Iterator:
-    """A field seen from a point: hops along connectivities, (name, place) each, and offsets along dimensions."""
+    """A field seen from a point: hops along connectivities, (name, place) each, and offsets along dimensions.
+
+    levels: an expression that says how many levels away besides, at the point that the stencil is for.
+    """
 
     field: str
     hops: tuple[tuple[str, int], ...] = ()
     offset: tuple[int, int, int] = (0, 0, 0)
+    levels: Expr | None = None
 
 
-def shift(it: Iterator, *moves: str | int) -> Iterator:
-    """Moved by pairs: a dimension and a number of steps, or a connectivity's name and the neighbour's place."""
+def shift(it: Iterator, *moves: str | int | Expr) -> Iterator:
+    """Moved by pairs: a dimension and a number of steps, or a connectivity's name and the neighbour's place.
+
+    Along k the number may be an expression, as another field's value.
+    """
     if len(moves) % 2:
         raise ValueError("moves come in pairs")
     for where, by in zip(moves[::2], moves[1::2], strict=True):
-        if where in DIMS:
+        if isinstance(by, Expr):
+            if where != "k" or it.hops:
+                raise ValueError("only levels of a cartesian domain can be shifted by an expression")
+            it = replace(it, levels=by if it.levels is None else it.levels + by)
+        elif where in DIMS:
             n = DIMS.index(where)
             it = replace(it, offset=tuple(o + by * (d == n) for d, o in enumerate(it.offset)))
         else:
@@ -46,6 +57,8 @@ def shift(it: Iterator, *moves: str | int) -> Iterator:
 
 def deref(it: Iterator) -> Expr:
     """The field's value; null at a missing neighbour and beyond the table."""
+    if it.levels is not None:
+        return ReadAt(it.field, it.offset, it.levels)
     return Read(it.field, (it.hops, it.offset) if it.hops else it.offset)
 
 
@@ -179,9 +192,14 @@ def column_executor(fields: DataFrame, domain: mesh.Domain, seed: Column, inputs
     found = [_traced(p, inputs) for p in (body, *prologue, *epilogue)]
     wanted = sorted({r for step in found for r in reads(step) if r[0] != _ACC})
     moved = {(f, o): f"__at{n}" for n, (f, o) in enumerate(r for r in wanted if any(r[1]))}
-    if moved:
+    indexed = {key: r for step in found for key, r in indexed_reads(step).items()}
+    if any(f == _ACC for r in indexed.values() for f, _ in reads(r.by)):
+        raise ValueError("an offset cannot depend on the accumulator")
+    if moved or indexed:
         copies = CartesianExecutor(domain, fields, kind)
-        copies.assign(tuple(moved.values()), lambda *its: tuple(deref(replace(it, offset=o)) for it, (_, o) in zip(its, moved, strict=True)), *(f for f, _ in moved))
+        copied = [Read(f, o) for f, o in moved] + list(indexed.values())
+        moved |= {(r.field, key): f"__by{n}" for n, (key, r) in enumerate(indexed.items())}
+        copies.assign(tuple(moved.values()), lambda *its: tuple(copied))
         fields = copies.execute()
     passes = [_columns(p, step, moved) for p, step in zip((body, *prologue, *epilogue), found, strict=True)]
     df = fields.where(domain.holds())

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.plans.expr import reads, to_column
+from fieldloom.plans.expr import ReadAt, reads, to_column
 from fieldloom.plans.grid import Extent, Grid
 from fieldloom.plans.spec import MultiStage, Spec, Stage
 
@@ -23,12 +23,14 @@ KEYS = ["ti", "tj", "own", "i", "j"]
 
 
 def has_column_form(spec: Spec) -> bool:
-    """Whether no ordered multistage reads what it writes at a horizontal offset."""
+    """Whether no ordered multistage reads what it writes at a horizontal offset or at one that is an expression."""
     for m in spec.multistages:
         if m.order != "parallel":
             written = {f for s in m.stages for f in s.written()}
             if any(f in written and any(o[:2]) for s in m.stages for f, o in _reads(s)):
                 return False
+            if any(n.field in written or any(f in written for f, _ in reads(n.by)) for s in m.stages for n in s.indexed().values()):
+                return False
     return True
 
 
@@ -50,7 +52,8 @@ def run_columns(spec: Spec, grid: Grid, tiled: DataFrame, parallel_stage: Callab
     for m in spec.multistages:
         stages = [(s, next(extents)) for s in m.stages]
         beside = sorted({(f, (*o[:2], 0)) for s, _ in stages for f, o in _reads(s) if any(o[:2])})
-        if packed is not None and (m.order == "parallel" or beside):
+        wanted = {key: n for s, _ in stages for key, n in s.indexed().items()}
+        if packed is not None and (m.order == "parallel" or beside or wanted):
             flat, packed = _unpacked(packed), None
         if m.order == "parallel":
             for s, extent in stages:
@@ -59,6 +62,9 @@ def run_columns(spec: Spec, grid: Grid, tiled: DataFrame, parallel_stage: Callab
         held: dict[tuple, str] = {}
         if beside:
             flat, held = shifted(flat, beside, checked)
+        if wanted:
+            flat, more = read_indexed(flat, wanted, held, singles)
+            held |= more
         if packed is None:
             packed = _packed(flat)
         packed = _folded(packed, m, stages, grid, held, singles)
@@ -77,6 +83,26 @@ def _packed(flat: DataFrame) -> DataFrame:
     return flat.groupBy(*KEYS).agg(F.array_sort(F.collect_list(levels)).alias("__l"))
 
 
+def read_indexed(flat: DataFrame, wanted: dict[str, ReadAt], held: dict[tuple, str], singles: frozenset[str]) -> tuple[DataFrame, dict[tuple, str]]:
+    """flat with a column for each read whose offset is an expression, and their names; null beyond the column and where the offset is null.
+
+    All come by array access in the packed column, in one pass over it: no join, and no exchange beside that of the tiles.  Offsets are cut to whole levels.
+    """
+    at = lambda f, o: F.col(held[f, o] if any(o) else f)
+    offsets = {f"__o{n}": (to_column(r.by, at, singles) + r.offset[2]).cast("int") for n, r in enumerate(wanted.values())}
+    packed = _packed(flat.withColumns(offsets))
+    dense = F.size("__l") == F.element_at("__l", -1)["k"] - F.element_at("__l", 1)["k"] + 1
+    levels = F.when(dense, F.col("__l")).otherwise(F.raise_error(F.lit("the table has a hole or a repeated point along k")))
+
+    def found(x: Column, n: Column) -> Column:
+        for m, r in enumerate(wanted.values()):
+            x = x.withField(f"__d{m}", F.get("__l", n + x[f"__o{m}"]).getField(held[r.field, r.beside] if any(r.beside) else r.field))
+        return x.dropFields(*offsets)
+
+    flat = _unpacked(packed.withColumn("__l", F.transform(levels, found)))
+    return flat, {(r.field, key): f"__d{m}" for m, (key, r) in enumerate(wanted.items())}
+
+
 def _unpacked(packed: DataFrame) -> DataFrame:
     # no column is empty; an inner explode would have its array computed once more, by a filter on its size
     return packed.select(*KEYS, F.explode_outer("__l").alias("__x")).select(*KEYS, "__x.*")
@@ -108,6 +134,8 @@ def _folded(packed: DataFrame, m: MultiStage, stages: list[tuple[Stage, Extent]]
         """struct of all written fields after a stage at a level."""
 
         def read(f: str, o: tuple[int, int, int]) -> Column:
+            if isinstance(o, str):
+                return x.getField(held[f, o])
             if f in ring and not o[2]:
                 return now(f)
             if f in ring and o[2] * behind > 0:

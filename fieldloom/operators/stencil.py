@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from fieldloom.operators.gather import sent_within
-from fieldloom.operators.ordered import has_column_form, run_columns
+from fieldloom.operators.ordered import has_column_form, read_indexed, run_columns
 from fieldloom.plans.expr import native_only, reads, to_column, to_numpy
 from fieldloom.plans.grid import Extent, Grid
 from fieldloom.plans.spec import MultiStage, Operator, Spec, SpecError, Stage, execute_parallel
@@ -54,6 +54,8 @@ def run(spec: Spec | MultiStage, grid: Grid, fields: DataFrame, strategy: str =
         _check(spec, grid, fields)
     parallel = all(m.order == "parallel" for m in spec.multistages)
     if sparse:
+        if any(s.indexed() for s in spec.stages()):
+            raise SpecError("reads at offsets that are expressions need dense columns")
         if not parallel or strategy not in ("auto", "windows"):
             raise SpecError("sparse tables serve parallel multistages only")
         strategy = "windows"
@@ -88,7 +90,7 @@ def run_single_stage(op: Operator, grid: Grid, fields: DataFrame, **args: str) -
 
 
 def vertical_reads(spec: Spec) -> bool:
-    return any(e.k != (0, 0) for s in spec.stages() for e in s.read_extents().values())
+    return any(e.k != (0, 0) for s in spec.stages() for e in s.read_extents().values()) or any(s.indexed() for s in spec.stages())
 
 
 def _check(spec: Spec, grid: Grid, fields: DataFrame) -> None:
@@ -176,6 +178,10 @@ def _shifted(out: DataFrame, wanted: list[tuple[str, tuple[int, int, int]]], che
 def _window_stage(out: DataFrame, s: Stage, extent: Extent, grid: Grid, singles: frozenset[str], checked: set[str]) -> DataFrame:
     bodies = s.bodies()
     out, held = _shifted(out, sorted({r for _, b in bodies for e in b.values() for r in reads(e) if any(r[1])}), checked)
+    wanted = s.indexed()
+    if wanted:
+        out, more = read_indexed(out, wanted, held, singles)
+        held |= more
     return _written(out, bodies, extent, grid, singles, held)
 
 
@@ -203,7 +209,7 @@ def _written(out: DataFrame, bodies: list, extent: Extent, grid: Grid, singles:
         levels = grid.levels(interval) if interval else range(grid.nk)
         here = inside & F.col("k").between(levels.start, levels.stop - 1)
         for name, e in body.items():
-            value = to_column(e, lambda f, o: F.col(held[f, o] if any(o) else f), singles, missing=missing)
+            value = to_column(e, lambda f, o: F.col(held[f, o] if isinstance(o, str) or any(o) else f), singles, missing=missing)
             kind = out.schema[name].dataType
             value = value if isinstance(kind, (T.StructType, T.ArrayType)) else value.cast(kind)
             updates[name] = updates[name].when(here, value) if name in updates else F.when(here, value)
@@ -269,6 +275,11 @@ def _multistage(order: str, stages: list, data: dict, grid: Grid, lows: tuple, s
             return
 
         def read(name: str, o: tuple[int, int, int]) -> np.ndarray:
+            if isinstance(o[2], np.ndarray):
+                column = data[name][here[0].start + o[0] : here[0].stop + o[0], here[1].start + o[1] : here[1].stop + o[1], :]
+                at = np.broadcast_to(np.arange(levels.start, levels.stop) + np.where(np.isfinite(o[2]), o[2], -shape[2]).astype(np.int64), (*column.shape[:2], levels.stop - levels.start))
+                found = np.take_along_axis(column, np.clip(at, 0, shape[2] - 1), axis=2)
+                return np.where((at >= 0) & (at < shape[2]), found, np.nan)
             low, high = levels.start + o[2], levels.stop + o[2]
             a = data[name][here[0].start + o[0] : here[0].stop + o[0], here[1].start + o[1] : here[1].stop + o[1], max(low, 0) : max(min(high, shape[2]), 0)]
             if low < 0 or high > shape[2]:  # beyond the column there is nothing

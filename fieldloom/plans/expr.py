@@ -58,6 +58,19 @@ class Read(Expr):
     offset: tuple[int, int, int] = (0, 0, 0)
 
 
+@dataclass(frozen=True, eq=False)
+class ReadAt(Expr):
+    """A field as many levels away as an expression says at the point; null beyond the column.  offset: how far away besides."""
+
+    field: str
+    offset: tuple[int, int, int]
+    by: Expr
+
+    @property
+    def beside(self) -> tuple[int, int, int]:
+        return (*self.offset[:2], 0)
+
+
 @dataclass(frozen=True, eq=False)
 class Index(Expr):
     """The point's own coordinate along a dimension."""
@@ -148,11 +161,27 @@ _OPS: dict[str, tuple[Callable, Callable]] = {
 def reads(expr: Expr) -> set[tuple[str, tuple[int, int, int]]]:
     if isinstance(expr, Read):
         return {(expr.field, expr.offset)}
+    if isinstance(expr, ReadAt):
+        return {(expr.field, expr.beside)} | reads(expr.by)
     if isinstance(expr, Item):
         return reads(expr.of)
     return set().union(*map(reads, expr.args)) if isinstance(expr, Op) else set()
 
 
+def indexed_reads(expr: Expr) -> dict[str, ReadAt]:
+    """Reads whose offset is an expression, by what they are in words: equal ones have one entry."""
+    if isinstance(expr, ReadAt):
+        if indexed_reads(expr.by):
+            raise ValueError("an offset cannot be read at an offset that is an expression itself")
+        return {repr(expr): expr}
+    if isinstance(expr, Item):
+        return indexed_reads(expr.of)
+    out: dict[str, ReadAt] = {}
+    for a in expr.args if isinstance(expr, Op) else ():
+        out |= indexed_reads(a)
+    return out
+
+
 def native_only(expr: Expr) -> bool:
     """Whether a part of it has no numpy form."""
     if isinstance(expr, Item):
@@ -168,13 +197,13 @@ def in_single(expr: Expr, singles: frozenset[str]) -> bool:
     """Whether all that it reads are fields of floats, and so all its steps stay floats."""
     if isinstance(expr, Op):
         return any(reads(a) for a in expr.args) and all(isinstance(a, Const) or in_single(a, singles) for a in expr.args)
-    return isinstance(expr, Read) and expr.field in singles
+    return isinstance(expr, Read | ReadAt) and expr.field in singles
 
 
 def to_column(expr: Expr, read: Callable[[str, tuple[int, int, int]], Column], singles: frozenset[str] = frozenset(), index: Callable[[str], Column] = F.col, missing: bool = False) -> Column:
     """singles: the fields of floats.  Steps on these alone are rounded to single precision one by one, as numpy's are.  index: a coordinate of the point.
 
-    missing: reads may be null; then a choice whose condition is unknown is null too.
+    An indexed read is read(field, its words).  missing: reads may be null; then a choice whose condition is unknown is null too.
     """
     if isinstance(expr, Const):
         return F.lit(expr.value)
@@ -184,6 +213,8 @@ def to_column(expr: Expr, read: Callable[[str, tuple[int, int, int]], Column], s
         return out if expr.kind in _NO_NUMBER else ieee.single(out)
     if isinstance(expr, Read):
         return read(expr.field, expr.offset)
+    if isinstance(expr, ReadAt):
+        return read(expr.field, repr(expr))
     if isinstance(expr, Index):
         return index(expr.dim)
     if isinstance(expr, Item):
@@ -200,6 +231,8 @@ def to_numpy(expr: Expr, read: Callable[[str, tuple[int, int, int]], np.ndarray]
         return expr.value
     if isinstance(expr, Read):
         return read(expr.field, expr.offset)
+    if isinstance(expr, ReadAt):
+        return read(expr.field, (*expr.offset[:2], expr.offset[2] + np.asarray(to_numpy(expr.by, read, index))))
     if isinstance(expr, Index):
         return index(expr.dim)
     with np.errstate(all="ignore"):

@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from fieldloom.plans.expr import Const, Expr, Index, Read, lift, reads
+from fieldloom.plans.expr import Const, Expr, Index, Read, ReadAt, indexed_reads, lift, reads
 from fieldloom.plans.grid import Extent, Grid, Interval
 
 
@@ -48,7 +48,11 @@ class _Reader:
     def __init__(self, name: str, field_name: str, accessor: Accessor, base: tuple[int, int, int] = (0, 0, 0)):
         self.name, self.field, self.accessor, self.base = name, field_name, accessor, base
 
-    def __call__(self, i: int = 0, j: int = 0, k: int = 0) -> Expr:
+    def __call__(self, i: int = 0, j: int = 0, k: int | Expr = 0) -> Expr:
+        """k: levels away, or an expression that says how many at each point."""
+        if isinstance(k, Expr):
+            at = self(i, j)
+            return ReadAt(self.field, (*at.offset[:2], self.base[2]), k)
         own = tuple(a + b for a, b in zip(self.base, (i, j, k), strict=True))
         if not self.accessor.extent.holds(Extent.at(*own)):
             raise SpecError(f"{self.name} is read at {own}, beyond its extent")
@@ -112,6 +116,13 @@ class Stage:
                     out[name] = out.get(name, Extent()).hull(Extent.at(*offset))
         return out
 
+    def indexed(self) -> dict[str, ReadAt]:
+        out: dict[str, ReadAt] = {}
+        for _, body in self.bodies():
+            for e in body.values():
+                out |= indexed_reads(e)
+        return out
+
     def written(self) -> set[str]:
         return {self.args[n] for n, p in self.operator.params.items() if isinstance(p, Accessor) and p.writable}
 
@@ -250,6 +261,8 @@ def _told(e: Expr) -> object:
         return e.value
     if isinstance(e, Read):
         return {"read": e.field, "offset": list(e.offset)}
+    if isinstance(e, ReadAt):
+        return {"read": e.field, "offset": list(e.offset), "levels": _told(e.by)}
     if isinstance(e, Index):
         return {"index": e.dim}
     return {"op": e.kind, "args": [_told(a) for a in e.args]} if hasattr(e, "kind") else {"item": e.at, "of": _told(e.of)}

@@ -1045,3 +1045,45 @@ def long_tridiagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lattice as one column and one system, solved in chunks of 64."""
     row = lat(spark, sf_dir).select(((F.col("i") * 10 + F.col("j")) * 7 + F.col("k")).alias("p"), F.col("value").alias("d"), (-1 - F.col("k") / 16).alias("a"), (3 + F.col("i") / 8).alias("b"), (1 - F.col("j") / 16).alias("c"))
     return longcolumns.blocked_tridiagonal(row, [], "p", "a", "b", "c", "d", "x", 64).select("p", F.round("x", 6).alias("x"))
+
+
+# --- offsets that are data
+
+
+_INDEXED_SQL = """WITH {lat}, o AS (SELECT *, ((i + 2 * j + 3 * k) % 5) - 2 AS by FROM lat)
+    SELECT a.i, a.j, a.k, coalesce(b.value, -1e0) + coalesce(c.value, -2e0) AS out FROM o a LEFT JOIN lat b ON b.i = a.i AND b.j = a.j AND b.k = a.k + a.by
+        LEFT JOIN lat c ON c.i = a.i + 1 AND c.j = a.j AND c.k = a.k + 1 - a.by WHERE a.i < 9"""
+
+
+def _with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lat(spark, sf_dir).withColumns({"by": ((F.col("i") + 2 * F.col("j") + 3 * F.col("k")) % 5 - 2).cast("double"), "out": F.lit(0.0)})
+
+
+def _or(value, other: float):
+    """A value, or another where it is beyond the column: null there, or NaN in numpy, equals nothing."""
+    return where(expr.equal(value, value), value, other)
+
+
+@query(_INDEXED_SQL)
+def indexed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage that reads as many levels away as another field says, here and at i + 1."""
+    own = Operator(lambda v, by, out: {"out": _or(v(k=by()), -1.0) + _or(v.at(k=1)(i=1, k=-by()), -2.0)}, v=in_(i=(0, 1), k=(0, 1)), by=in_(), out=inout())
+    ran = stencil.run(execute_parallel().stage(own, v="value", by="by", out="out"), make_grid(Halo(0, 1, 0, N - 2, N), N, NK), _with_offsets(spark, sf_dir))
+    return ran.where("i < 9").select("i", "j", "k", "out")
+
+
+@query(_INDEXED_SQL)
+def fn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by iterators, one of which is shifted by what another reads."""
+    stencil_ = lambda v, by: _or(deref(shift(v, "k", deref(by))), -1.0) + _or(deref(shift(v, "i", 1, "k", 1, "k", -deref(by))), -2.0)
+    domain = mesh.cartesian_domain({"i": N - 1, "j": N, "k": NK})
+    return fn.CartesianExecutor(domain, _with_offsets(spark, sf_dir)).assign("out", stencil_, "value", "by").execute().where("i < 9").select("i", "j", "k", "out")
+
+
+@query("""WITH RECURSIVE {lat}, o AS MATERIALIZED (SELECT a.i, a.j, a.k, coalesce(b.value, 0e0) AS v FROM lat a LEFT JOIN lat b ON b.i = a.i AND b.j = a.j AND b.k = a.k + ((a.i + 2 * a.j + 3 * a.k) % 5) - 2),
+    f(i, j, k, x) AS (SELECT i, j, k, v FROM o WHERE k = 0 UNION ALL SELECT o.i, o.j, o.k, 0.5e0 * f.x + o.v FROM f JOIN o ON o.i = f.i AND o.j = f.j AND o.k = f.k + 1) SELECT i, j, k, x FROM f""")
+def fn_indexed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan up each column that adds what another field points to."""
+    step = fn.ScanPass(lambda acc, v, by: 0.5 * acc + _or(deref(shift(v, "k", deref(by))), 0.0))
+    ran = fn.column_executor(_with_offsets(spark, sf_dir).drop("out"), mesh.cartesian_domain({"i": N, "j": N, "k": NK}), F.lit(0.0), ("value", "by"), step, "x")
+    return ran.select("i", "j", "k", "x")
