@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.exact import exact_sum
+
 #: Names: aggregates of a column.  min and max are `x < y ? x : y` and `x > y ? x : y`; NaNs are passed over (Spark orders them last), all of them if there is nothing else.
 REDUCTIONS: dict[str, Callable[[Column], Column]] = {
     "plus": F.sum,
@@ -30,8 +32,12 @@ class Reducible:
     def reduce(self, how: str | Callable[[object, object], object], kind: str = "double") -> DataFrame:
         """One row, column `value`; a callable of two values reduces each task's rows, then the tasks' results.
 
+        `exact_plus` is a sum of doubles that does not depend on the order of rows; `plus` does, in its last bits.
+
         A callable must be associative and commutative and leave values as they are with the neutral element.
         """
+        if how == "exact_plus":
+            return exact_sum(self.field, [], self.column, "value").select(F.coalesce("value", F.lit(self.neutral)).alias("value"))
         if isinstance(how, str):
             value = REDUCTIONS[how](F.col(self.column))
             return self.field.agg(F.coalesce(value, F.lit(self.neutral)).alias("value"))

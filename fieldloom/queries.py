@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import ieee
-from fieldloom.operators import blocks, boundary, fn, halo, icosahedral, kernels, longcolumns, mesh, reduction, stencil
+from fieldloom.operators import blocks, boundary, exact, fn, halo, icosahedral, kernels, longcolumns, mesh, reduction, stencil
 from fieldloom.operators.fn import can_deref, deref, shift
 from fieldloom.plans import expr
 from fieldloom.plans.expr import Index, array, maximum, where
@@ -1087,3 +1087,20 @@ def fn_indexed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = fn.ScanPass(lambda acc, v, by: 0.5 * acc + _or(deref(shift(v, "k", deref(by))), 0.0))
     ran = fn.column_executor(_with_offsets(spark, sf_dir).drop("out"), mesh.cartesian_domain({"i": N, "j": N, "k": NK}), F.lit(0.0), ("value", "by"), step, "x")
     return ran.select("i", "j", "k", "x")
+
+
+# --- sums that do not depend on the order
+
+
+@query("""SELECT k, sum(h)::double / 1024 AS total, 1e0 AS apart FROM (SELECT (l_linenumber - 1)::int AS k, (l_quantity::bigint * 1024 + l_orderkey % 1024)::hugeint AS h FROM lineitem) GROUP BY k""")
+def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of quantities and fractions by line number, and of 2**90 + 1 - 2**90 beside them."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_linenumber") - 1).cast("int").alias("k"), (F.col("l_quantity").cast("long") + (F.col("l_orderkey") % 1024) / 1024).cast("double").alias("v"))
+    total = exact.exact_sum(rows, ["k"], "v", "total")
+    ends = rows.select("k").distinct().select("k", F.explode(F.array(F.lit(2.0**90), F.lit(1.0), F.lit(-(2.0**90)))).alias("v"))
+    return total.join(exact.exact_sum(ends, ["k"], "v", "apart"), "k").select("k", "total", "apart")
+
+
+@query("WITH {lat} SELECT sum(value)::double AS value FROM lat")
+def exact_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduction.make_reducible(lat(spark, sf_dir), "value", 0.0).reduce("exact_plus")

@@ -255,3 +255,35 @@ def test_icosahedral_chain_on_tables_with_holes(spark):
         assert r.out == (held[p] if 2 <= p[0] <= 4 and 1 <= p[1] <= 4 else 0.0)
     with pytest.raises(ValueError, match="reads"):
         icosahedral.run(IcosahedralSpec((Stage("cells", lambda p: {"out": p("u")}, ("out",), {"edges": ("nothing",)}),)), ((0, 1), (0, 1)), tables)
+
+
+def test_indexed_reads_equal_loops(spark):
+    """By windows, columns and blocks, forward too; null and far offsets find nothing; holes raise."""
+    rnd = random.Random(8)
+    n, nk = 5, 9
+    v = {(i, j, k): rnd.uniform(-5, 5) for i in range(n) for j in range(n) for k in range(nk)}
+    by = {p: rnd.choice([None, -20.0, -2.0, -1.0, 0.0, 1.0, 3.0, 2.75, 40.0]) for p in v}
+    df = spark.createDataFrame([(*p, v[p], by[p], 0.0) for p in v], "i int, j int, k int, v double, by double, out double")
+    h = Halo(1, 0, 1, n - 1, n)
+    grid = make_grid(h, n, nk)
+    own = Operator(lambda v, by, out: {"out": where(by(i=-1) > 0.5, v(i=-1, k=by()), v.at(i=-1)(k=by(i=-1)) + v())}, v=in_((-1, 0)), by=in_((-1, 0)), out=inout())
+    want = {}
+    for (i, j, k), x in v.items():
+        if i < 1:
+            want[i, j, k] = 0.0
+            continue
+        other, mine = by[i - 1, j, k], by[i, j, k]
+        found = lambda b, i=i, j=j, k=k: None if b is None else v.get((i - 1, j, k + int(b)))
+        a = found(mine) if other is not None and other > 0.5 else found(other)
+        want[i, j, k] = a if other is not None and other > 0.5 else None if a is None else a + x
+    for spec, strategies in ((execute_parallel(), ("windows", "blocks")), (execute_forward(), ("columns", "blocks"))):
+        for s in strategies:
+            ran = stencil.run(spec.stage(own, v="v", by="by", out="out"), grid, df, strategy=s, tile=(2, 3))
+            if s != "blocks":
+                assert exchanges(ran) == 1
+            got = {(r.i, r.j, r.k): None if r.out is None or r.out != r.out else r.out for r in ran.collect()}
+            assert got == want, s
+    with pytest.raises(Exception, match="hole"):
+        stencil.run(execute_parallel().stage(own, v="v", by="by", out="out"), grid, df.where("not (i = 3 and j = 3 and k = 4)")).collect()
+    with pytest.raises(SpecError):
+        stencil.run(execute_parallel().stage(own, v="v", by="by", out="out"), grid, df, sparse=True)
