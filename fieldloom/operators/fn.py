@@ -17,6 +17,7 @@ from fieldloom.operators import mesh, stencil
 from fieldloom.plans.expr import Const, Expr, Item, Op, Read, ReadAt, indexed_reads, lift, reads, to_column
 from fieldloom.plans.grid import Axis, Extent, Grid
 from fieldloom.plans.spec import MultiStage, Operator, Spec, Stage, in_, inout
+from fieldloom.sources.tables import written
 
 DIMS = ("i", "j", "k")
 _ACC = "__acc"
@@ -233,6 +234,83 @@ def _columns(p: ScanPass | FoldPass, step: Expr, moved: Mapping) -> mesh.Pass:
 # --- meshes
 
 
+def _way(domain: mesh.Domain, at: str, names: tuple[str, ...], hops: list[tuple[tuple[str, int], ...]]) -> DataFrame | None:
+    """(at, place of each hop __n0..., __to): where the hops lead; None without hops."""
+    way = None
+    for d, name in enumerate(names):
+        if name not in domain.connectivities:
+            raise ValueError(f"the domain has no connectivity {name}")
+        table = domain.connectivities[name].where(F.col("neighbor") != mesh.MISSING).where(F.col("n").isin(*{h[d][1] for h in hops}))
+        if way is None:
+            way = table.select(F.col("index").alias(at), F.col("n").alias("__n0"), F.col("neighbor").alias("__to"))
+        else:
+            table = table.select(F.col("index").alias("__to"), F.col("n").alias(f"__n{d}"), F.col("neighbor").alias("__next"))
+            way = way.join(table, "__to").drop("__to").withColumnRenamed("__next", "__to")
+    return way
+
+
+def mesh_column_executor(domain: mesh.Domain, at: str, fields: Mapping[str, DataFrame], seed: Column, inputs: tuple[str, ...], body: ScanPass | FoldPass, out: str, backward: bool = False, prologue: tuple = (), epilogue: tuple = (), kind: str = "double", width: int = 0, out_kind: str | None = None, level: str = "k") -> DataFrame:
+    """The location's rows within the domain with `out` written by a pass over each point's column; the step may read neighbours' columns, at level offsets too.
+
+    Whole packed columns travel along the connectivities, once for all levels: an equi-join on the neighbour and an aggregate by point for each way.  Missing neighbours and levels
+    read null.  width, out_kind: as in column_executor.
+    """
+    acc_kind = f"struct<{', '.join(f'_{n}: {kind}' for n in range(width))}>" if width else kind
+    found = [_traced(p, inputs) for p in (body, *prologue, *epilogue)]
+    if any(indexed_reads(step) for step in found):
+        raise ValueError("a mesh is read at fixed level offsets")
+    whole = MeshExecutor(domain, at, fields, level)
+    own = fields[at].where(domain.holds())
+    names = [c for c in own.columns if c not in (at, level)]
+    packed = own.groupBy(at).agg(F.array_sort(F.collect_list(F.struct(F.col(level).alias("__k"), *names))).alias("__l"))
+    moved: dict[tuple, str] = {}
+    groups: dict[tuple, list[tuple[str, tuple]]] = {}
+    for f, o in sorted({r for step in found for r in reads(step) if r[0] != _ACC}, key=repr):
+        hops, offset = o if len(o) == 2 else ((), o)
+        if any(offset[:2]):
+            raise ValueError("a mesh has levels, but no i and j")
+        if hops or offset[2]:
+            moved[f, o] = f"__at{len(moved)}"
+            groups.setdefault((whole._location(f) if f else None, tuple(h for h, _ in hops)), []).append((f, o))
+    arrays: dict[tuple, str] = {}
+    for n, ((location, way_names), wanted) in enumerate(groups.items()):
+        if not way_names:
+            continue
+        way = _way(domain, at, way_names, [o[0] for _, o in wanted])
+        if location is not None:
+            values = sorted({f for f, _ in wanted})
+            columns = fields[location].groupBy(F.col(location).alias("__to")).agg(F.array_sort(F.collect_list(F.struct(F.col(level).alias("__k"), *values))).alias("__column"))
+            way = way.join(columns, "__to")
+        got = []
+        for m, hops in enumerate(sorted({o[0] for _, o in wanted})):
+            here = reduce(lambda a, b: a & b, (F.col(f"__n{d}") == place for d, (_, place) in enumerate(hops)))
+            arrays[location, hops] = f"__w{n}_{m}"
+            got.append(F.first(F.when(here, F.col("__column") if location is not None else F.lit(True)), ignorenulls=True).alias(f"__w{n}_{m}"))
+        packed = packed.join(way.groupBy(at).agg(*got), at, "left")
+
+    def beside(x: Column, n: Column) -> Column:
+        for (f, o), name in moved.items():
+            hops, offset = o if len(o) == 2 else ((), o)
+            if not f:
+                x = x.withField(name, F.coalesce(F.col(arrays[None, hops]), F.lit(False)))
+                continue
+            column = F.col(arrays[whole._location(f), hops]) if hops else F.col("__l")
+            # the level is where it is in dense columns of the same levels, else it is sought
+            there = F.get(column, n + offset[2])
+            level_there = F.when(there["__k"] == x["__k"] + offset[2], there).otherwise(F.get(F.filter(column, _at_level(x["__k"] + offset[2])), F.lit(0)))
+            x = x.withField(name, level_there.getField(f))
+        return x
+
+    packed = packed.withColumn("__l", F.transform("__l", beside)) if moved else packed
+    passes = [_columns(p, step, moved) for p, step in zip((body, *prologue, *epilogue), found, strict=True)]
+    stage = mesh.ColumnStage(passes[0], out, seed, out_kind or acc_kind, acc_kind, backward, tuple(passes[1 : 1 + len(prologue)]), tuple(passes[1 + len(prologue) :]))
+    return mesh.run_passes(packed, [at], level, names, [stage])
+
+
+def _at_level(level: Column) -> Callable[[Column], Column]:
+    return lambda y: y["__k"] == level
+
+
 class MeshExecutor:
     """Assignments that run in order on one location of a mesh, from fields on any location.
 
@@ -279,6 +357,54 @@ class MeshExecutor:
             self.fields[self.at] = df.withColumns(new).drop(*held.values())
         return self.fields[self.at]
 
+    def needed(self, points: DataFrame) -> dict[str, DataFrame]:
+        """For each field that is read, the points at which the outputs on `points` need it, all stages taken together: (id, and what points has besides).
+
+        points: rows with an id, and more columns that tell parts of a mesh apart if there are any.  From the last assignment back, each is wanted on the
+        points and wherever later ones read it; sets grow along the connectivities, a hop an equi-join.
+        """
+        need: dict[str, DataFrame] = {}
+        for s in reversed(self.steps):
+            own = points
+            for out in s.outs:
+                own = own.union(need.pop(out).select(*points.columns)) if out in need else own
+            own = own.distinct()
+            ways: dict[tuple, set[tuple]] = {}
+            for f, o in {r for e in s.bodies().values() for r in reads(e) if r[0]}:
+                hops = o[0] if len(o) == 2 else ()
+                ways.setdefault((f, tuple(name for name, _ in hops)), set()).add(tuple(place for _, place in hops))
+            for (f, names), places in sorted(ways.items()):
+                reached = self._reached(own, names, sorted(places)) if names else own
+                need[f] = need[f].union(reached).distinct() if f in need else reached
+        return need
+
+    def _reached(self, points: DataFrame, names: tuple[str, ...], places: list[tuple[int, ...]]) -> DataFrame:
+        """Where the places along connectivities lead from the points, all by one way."""
+        way = _way(self.domain, "id", names, [tuple(zip(names, p, strict=True)) for p in places])
+        one = lambda p: reduce(lambda a, b: a & b, (F.col(f"__n{d}") == n for d, n in enumerate(p)))
+        way = way.where(reduce(lambda a, b: a | b, map(one, places))).select("id", "__to")
+        return points.join(way, "id").withColumn("id", F.col("__to")).select(*points.columns).distinct()
+
+    def on_part(self, points: DataFrame) -> DataFrame:
+        """What execute() gives on some points (id), from tables that hold only what these need: the part and its ghost points."""
+        need = self.needed(points)
+        own = points.select("id").distinct()
+        for s in self.steps[:-1]:  # earlier outputs are computed where later assignments read them
+            rest = MeshExecutor(self.domain, self.at, self.fields, self.level)
+            rest.steps = self.steps[self.steps.index(s) + 1 :]
+            later = rest.needed(points)
+            for out in s.outs:
+                own = own.union(later[out].select("id")).distinct() if out in later else own
+        by_location: dict[str, DataFrame] = {self.at: own}
+        for f, ids in need.items():
+            at = self._location(f)
+            by_location[at] = by_location[at].union(ids.select("id")) if at in by_location else ids.select("id")
+        # the sets of points are written, so that the tables' plans do not hold the way to them
+        fields = {at: self.fields[at].join(written(ids.distinct()).withColumnRenamed("id", at), at, "left_semi") for at, ids in by_location.items()}
+        part = MeshExecutor(self.domain, self.at, fields, self.level)
+        part.steps = list(self.steps)
+        return part.execute().join(points.select(F.col("id").alias(self.at)), self.at, "left_semi")
+
     def _location(self, field: str) -> str | None:
         if not field:
             return None
@@ -289,16 +415,7 @@ class MeshExecutor:
 
     def _gathered(self, location: str | None, names: tuple[str, ...], up: int, wanted: list, held: dict) -> tuple[DataFrame, list[str]]:
         places = [f"__n{d}" for d in range(len(names))]
-        way = None
-        for d, name in enumerate(names):
-            if name not in self.domain.connectivities:
-                raise ValueError(f"the domain has no connectivity {name}")
-            table = self.domain.connectivities[name].where(F.col("neighbor") != mesh.MISSING).where(F.col("n").isin(*{o[0][d][1] for _, o in wanted}))
-            if way is None:
-                way = table.select(F.col("index").alias(self.at), F.col("n").alias(places[0]), F.col("neighbor").alias("__to"))
-            else:
-                table = table.select(F.col("index").alias("__to"), F.col("n").alias(places[d]), F.col("neighbor").alias("__next"))
-                way = way.join(table, "__to").drop("__to").withColumnRenamed("__next", "__to")
+        way = _way(self.domain, self.at, names, [o[0] for _, o in wanted])
         keys = [self.at]
         if location is not None:
             source = self.fields[location]

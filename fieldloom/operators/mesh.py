@@ -127,6 +127,11 @@ def merged_columns(df: DataFrame, keys: list[str], axis: str, inputs: list[str],
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(level)).alias("__l"))
     if beside is not None:
         packed = packed.join(beside, keys, "left")
+    return run_passes(packed, keys, axis, inputs, stages, last)
+
+
+def run_passes(packed: DataFrame, keys: list[str], axis: str, inputs: list[str], stages: list[ColumnStage], last: str | None = None) -> DataFrame:
+    """The stages on packed columns: a row for each, with its levels in __l, structs of __k and what the stages read; returns rows of inputs and results."""
     known = list(inputs)
     for n, s in enumerate(stages):
         if s.seed is None and n == 0:

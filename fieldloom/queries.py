@@ -1104,3 +1104,48 @@ def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH {lat} SELECT sum(value)::double AS value FROM lat")
 def exact_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduction.make_reducible(lat(spark, sf_dir), "value", 0.0).reduce("exact_plus")
+
+
+# --- columns with neighbours on meshes, and parts of a mesh
+
+
+@query(f"""WITH RECURSIVE {{lat}}, {_E2V}, {_V2E}, f AS (SELECT (i + j * 10)::int AS vertex, k, value FROM lat),
+    s AS MATERIALIZED (SELECT x.vertex, a.k, sum(coalesce(b.value, 0e0)) AS s FROM v2e x JOIN e2v USING (edge) JOIN f a ON a.vertex = x.vertex LEFT JOIN f b ON b.vertex = v[1] AND b.k = a.k + 1 GROUP BY x.vertex, a.k),
+    r AS MATERIALIZED (SELECT f.vertex, f.k, f.value, coalesce(s, 0e0) AS s FROM f LEFT JOIN s USING (vertex, k)),
+    u(vertex, k, c, d) AS (SELECT vertex, k, 0.25e0, (value + s) / 4e0 FROM r WHERE k = 0 UNION ALL SELECT r.vertex, r.k, 1e0 / (4e0 - u.c), (r.value + r.s - u.d) / (4e0 - u.c) FROM u JOIN r ON r.vertex = u.vertex AND r.k = u.k + 1),
+    w(vertex, k, x) AS (SELECT vertex, k, d FROM u WHERE k = 6 UNION ALL SELECT u.vertex, u.k, u.d - u.c * w.x FROM w JOIN u ON u.vertex = w.vertex AND u.k = w.k - 1)
+    SELECT vertex, k, x FROM w""")
+def mesh_implicit_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A system up each vertex's column whose right side reads the columns of the first ends of its edges, a level up."""
+    field = lat(spark, sf_dir).select((F.col("i") + F.col("j") * N).alias("vertex"), "k", "value")
+    domain = mesh.unstructured_domain({"vertex": N * N, "k": NK}, v2e=vertices_to_edges(spark), e2v=edges_to_vertices(spark))
+
+    def right(v):
+        return deref(v) + sum((_or(deref(shift(v, "v2e", n, "e2v", 0, "k", 1)), 0.0) for n in range(6)), expr.Const(0.0))
+
+    def first(acc, v):
+        return expr.Const(0.25), right(v) / 4.0
+
+    def up(acc, v):
+        return 1.0 / (4.0 - acc[0]), (right(v) - acc[1]) / (4.0 - acc[0])
+
+    solved = fn.mesh_column_executor(domain, "vertex", {"vertex": field}, F.struct(F.lit(0.0).alias("_0"), F.lit(0.0).alias("_1")), ("value",), fn.ScanPass(up), "cd", prologue=(fn.ScanPass(first),), width=2)
+    back = fn.ScanPass(lambda x, cd: deref(cd)["_1"] - deref(cd)["_0"] * x)
+    return fn.mesh_column_executor(domain, "vertex", {"vertex": solved}, F.lit(0.0), ("cd",), back, "x", backward=True).select("vertex", "k", "x")
+
+
+@query(f"SELECT * FROM ({_NABLA_SQL}) WHERE vertex % 3 = 0 AND vertex < 50")
+def nabla_of_a_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-hop nabla on some vertices, from tables cut down to these and the points that they read."""
+    domain, fields = _nabla(spark, sf_dir)
+
+    def nabla(sign, vol, pp, s):
+        def pair(n):
+            edge = shift(s, "v2e", n)
+            half = (deref(shift(pp, "v2e", n, "e2v", 0)) + deref(shift(pp, "v2e", n, "e2v", 1))) / 2.0
+            return tuple(where(can_deref(edge), half * deref(edge)[d], 0.0) for d in ("x", "y"))
+
+        return _around(vol, sign, pair)
+
+    part = fields["vertex"].where("vertex % 3 = 0 and vertex < 50").select(F.col("vertex").alias("id")).distinct()
+    return fn.MeshExecutor(domain, "vertex", fields).assign(("x", "y"), nabla, "sign", "vol", "pp", "s").on_part(part).select("vertex", "k", "x", "y")
