@@ -1149,3 +1149,36 @@ def nabla_of_a_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     part = fields["vertex"].where("vertex % 3 = 0 and vertex < 50").select(F.col("vertex").alias("id")).distinct()
     return fn.MeshExecutor(domain, "vertex", fields).assign(("x", "y"), nabla, "sign", "vol", "pp", "s").on_part(part).select("vertex", "k", "x", "y")
+
+
+# --- further parts of the model
+
+
+@query("WITH {lat} SELECT i, j, k, CASE WHEN i BETWEEN 1 AND 4 THEN value + k END AS a, CASE WHEN i BETWEEN 1 AND 4 THEN value - k END AS b FROM lat")
+def merged_stencils(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stencils in one pass over the points, both from the old values."""
+    inside = F.col("i").between(1, 4)
+    both = mesh.merged_stencil(("a", lambda v, k: F.when(inside, v + k), ("value", "k")), ("b", lambda v, k: F.when(inside, v - k), ("value", "k")))
+    return both(lat(spark, sf_dir)).select("i", "j", "k", "a", "b")
+
+
+@query(f"WITH {{lat}}, {_E2V}, {_V2E} SELECT a.k, sum(CASE WHEN n = 0 THEN 1 ELSE 2 END * a.value) AS total FROM lat a JOIN e2v ON edge = 17 JOIN (SELECT unnest([0, 1]) AS n) t ON v[t.n + 1] = a.i + 10 * a.j GROUP BY a.k")
+def one_row_of_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of one edge, in their order, and a weighed sum of a field over them."""
+    ends = mesh.neighbors_of(edges_to_vertices(spark), 17)
+    field = lat(spark, sf_dir).select((F.col("i") + F.col("j") * N).alias("neighbor"), "k", "value")
+    return ends.join(field, "neighbor").groupBy("k").agg(F.sum((F.col("n") + 1) * F.col("value")).alias("total"))
+
+
+@query("WITH {lat} SELECT i, j, k, value * 2 AS value FROM lat")
+def tuple_to_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An axis made a tuple of each point, worked on as one, and made an axis again."""
+    packed = src.dimension_to_tuple(lat(spark, sf_dir), "k", "value")
+    return src.tuple_to_dimension(packed.withColumn("value", F.transform("value", lambda x: x * 2)), "value", "k").select("i", "j", "k", "value")
+
+
+@query("""WITH {lat} SELECT i, j, k, CASE WHEN i < 2 OR j < 2 THEN -5e0 ELSE value END AS value FROM lat""")
+def boundary_of_a_corner_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition on the sides and corners where the block in the first corner of a grid of blocks has no neighbour; the others keep their values."""
+    first = boundary.at_edges((0, 0, 0), (2, 2, 1), (False, False, True))
+    return boundary.apply_boundary(lat(spark, sf_dir), (_H3, _H3, Halo(0, 0, 0, NK - 1, NK)), {(None, None, None): lambda row: {"value": F.lit(-5.0)}}, first)
