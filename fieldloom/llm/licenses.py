@@ -118,6 +118,11 @@ class Matcher:
             norm = math.sqrt(sum(x * x for x in v.values()))
             for term, x in v.items():
                 self.index.setdefault(term, []).append((k, x / norm))
+        self.terms = {term: n for n, term in enumerate(self.index)}
+        self.squares = np.zeros((len(own), len(self.terms)))  # a template's part in each term
+        for term, of in self.index.items():
+            for k, y in of:
+                self.squares[k, self.terms[term]] = y * y
         self.own = own
         self.frequencies = frequencies
         self._anchors: dict[float, dict[bytes, set[int]]] = {}
@@ -172,9 +177,22 @@ class Matcher:
     def candidates(self, ws: list[bytes], least: float) -> list[tuple[int, int]]:
         """(first word, words) of the passages that can reach `least`."""
         anchors = self.anchors(least)
-        at = [(n, w) for n, w in enumerate(ws) if w in anchors]
-        starts = {(low, size) for n, w in at for size in anchors[w] for low in range(max(0, n - size + 1), min(n, len(ws) - size) + 1)}
-        return sorted((low, size) for low, size in starts if self.best(ws[low : low + size])[0] >= least - 1e-9)
+        sizes = {size for w in anchors.keys() & set(ws) for size in anchors[w] if size <= len(ws)}
+        if not sizes:
+            return []
+        single = _occurrences([self.terms.get(w, -1) for w in ws])
+        paired = _occurrences([self.terms.get(t, -1) for t in zip(ws, ws[1:], strict=False)])
+        out: set[tuple[int, int]] = set()
+        for k, size in enumerate(self.sizes):
+            if size in sizes:
+                # the template's parts that the passage from each word on has, the most that a cosine's square can be
+                parts = np.zeros(len(ws) + 1)
+                for (at, term, before), reach in ((single, size), (paired, size - 1)):
+                    own = self.squares[k, term]
+                    parts += np.bincount(np.maximum(before + 1, at - reach + 1), own, len(parts)) - np.bincount(at + 1, own, len(parts))
+                low = np.flatnonzero(np.cumsum(parts)[: len(ws) - size + 1] >= least * least - 1e-9)
+                out.update((a, size) for a in low.tolist())
+        return sorted((low, size) for low, size in out if self.best(ws[low : low + size])[0] >= least - 1e-9)
 
     def findings(self, ws: list[bytes], candidates: list[tuple[int, int]], more: dict[bytes, float], least: float, full: WholeTexts | None = None) -> list[tuple[int, int, str, float]]:
         """(first word, word after the last, name, cosine) of passages that do not overlap, best first where they would.
@@ -295,6 +313,18 @@ def _tagged(data: bytes, found: list[tuple[int, int, str, float]], known: set[st
     return sorted(found)
 
 
+def _occurrences(terms: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, term, place of the same term before or -1) of the known terms."""
+    every = np.array(terms, np.int64)
+    at = np.flatnonzero(every >= 0)
+    term = every[at]
+    order = np.argsort(term, kind="stable")
+    same = term[order][1:] == term[order][:-1]
+    before = np.full(len(at), -1)
+    before[order[1:][same]] = at[order[:-1][same]]
+    return at, term, before
+
+
 _FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("cosine", pa.float64())])
 
 
