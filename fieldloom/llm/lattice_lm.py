@@ -23,6 +23,7 @@ from fieldloom.llm.common import drop_written, utf8, written
 
 _START = "▁"
 _LOG10 = math.log(10)
+_LONG = 1 << 14  # bytes from which on a word passes the recursion alone, a slab of letters at a time
 
 
 def words(data: bytes) -> list[bytes]:
@@ -80,17 +81,28 @@ class Pieces:
     def words(self, words: list[bytes]) -> np.ndarray:
         """log P of each word."""
         out = np.empty(len(words))
-        for at, lattice in self._lattices(words):
-            out[at] = lattice.total + self.stop
+        short, long = self._by_length(words)
+        for at, lattice in self._lattices([words[k] for k in short]):
+            out[short[at]] = lattice.total + self.stop
+        for k in long:
+            out[k] = _LongWord(self, words[k]).total + self.stop
         return out
 
     def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """How often each piece is used in expectation over all segmentations of words that occur so many times."""
         out = np.zeros(self.size)
-        for at, lattice in self._lattices(words):
-            lattice.add_expected(out, times[at])
+        short, long = self._by_length(words)
+        for at, lattice in self._lattices([words[k] for k in short]):
+            lattice.add_expected(out, times[short[at]])
+        for k in long:
+            _LongWord(self, words[k]).add_expected(out, times[k])
         return out
 
+    @staticmethod
+    def _by_length(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        long = np.array([len(w) > _LONG for w in words], bool)
+        return np.flatnonzero(~long), np.flatnonzero(long)
+
     def _lattices(self, words: list[bytes], cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, _Lattice]]:
         """Words of like lengths together, about `cells` places of arcs at a time (a word alone may be more)."""
         texts = [_START + w.decode("utf-8", "replace") for w in words]
@@ -168,6 +180,62 @@ class _Lattice:
             np.add.at(out, self.pieces.byte_ids[list(raw)], n)
 
 
+class _LongWord:
+    """The segmentations of one long word: 8 bytes a letter and the arcs of a slab of letters are all that is held."""
+
+    def __init__(self, pieces: Pieces, word: bytes, slab: int = 1 << 13):
+        self.pieces, self.slab = pieces, slab
+        self.chars = np.frombuffer((_START + word.decode("utf-8", "replace")).encode("utf-32-le"), "<u4")
+        n, reach = len(self.chars), pieces.longest
+        self.alpha = np.full(n + 1 + reach, -np.inf)
+        self.alpha[0] = 0.0
+        for low in range(0, n, slab):
+            arcs = self._arcs(low)[0]
+            for i, own in enumerate(arcs, low):
+                ahead = self.alpha[i + 1 : i + 1 + reach]
+                np.logaddexp(ahead, own + self.alpha[i], out=ahead)
+        self.total = float(self.alpha[n])
+
+    def _arcs(self, low: int) -> tuple:
+        """(weights by letter that they begin at and length less 1, pieces, letters by their bytes) of a slab."""
+        pieces, n = self.pieces, len(self.chars)
+        begin = np.arange(low, min(low + self.slab, n))
+        weights = np.full((len(begin), pieces.longest), -np.inf)
+        at, state, used = begin, np.minimum(begin, 1), []
+        for k in range(pieces.longest):
+            on = at + k < n
+            at, state = at[on], state[on]
+            key = state << 21 | self.chars[at + k].astype(np.int64)
+            step = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
+            on = pieces.keys[step] == key
+            at, state = at[on], pieces.to[step[on]]
+            if not len(at):
+                break
+            done = pieces.piece[state] >= 0
+            weights[at[done] - low, k] = pieces.weight[state[done]]
+            used.append((at[done], at[done] + k + 1, pieces.piece[state[done]], pieces.weight[state[done]]))
+        inside = begin[begin > 0]
+        letters, which = np.unique(self.chars[inside], return_inverse=True)
+        raw = [chr(c).encode() for c in letters]
+        by_bytes = np.array([sum(pieces.bytes[b] for b in r) for r in raw])[which] if raw else np.array([])
+        weights[inside - low, 0] = np.logaddexp(weights[inside - low, 0], by_bytes)
+        return weights, used, (inside, which, raw, by_bytes)
+
+    def add_expected(self, out: np.ndarray, times: float) -> None:
+        n, reach = len(self.chars), self.pieces.longest
+        beta = np.full(n + 1 + reach, -np.inf)
+        beta[n] = 0.0
+        for low in range((n - 1) // self.slab * self.slab, -1, -self.slab):
+            weights, used, (inside, which, raw, by_bytes) = self._arcs(low)
+            for i in range(low + len(weights) - 1, low - 1, -1):
+                beta[i] = np.logaddexp.reduce(weights[i - low] + beta[i + 1 : i + 1 + reach])
+            for begin, end, piece, weight in used:
+                out += np.bincount(piece, weights=times * np.exp(self.alpha[begin] + weight + beta[end] - self.total), minlength=len(out))
+            shares = times * np.exp(self.alpha[inside] + by_bytes + beta[inside + 1] - self.total)
+            for r, x in zip(raw, np.bincount(which, weights=shares, minlength=len(raw)), strict=True):
+                np.add.at(out, self.pieces.byte_ids[list(r)], x)
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """log of the sum of exponentials along the first axis, where all may be -inf."""
     most = x.max(axis=0)

@@ -9,6 +9,7 @@ all windows of 50 words are counted.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -190,7 +191,20 @@ def _groups(column: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, list[b
         yield low, texts
 
 
-def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5, rows: int = 2, least_words: int = 32, gap: int = 8, filter_bits: int = 26, crowd: int = 1000, band_sets: int = 1 << 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tuned(similarity: float, recall: float, hashes: int = 10) -> tuple[int, int]:
+    """(bands, rows): the most rows whose bands take no more than so many hashes, and one row where none do.
+
+    Pairs with the similarity meet in some band with probability 1 - (1 - similarity**rows)**bands, which is at least `recall`.
+    """
+
+    def bands(rows: int) -> int:
+        meets = similarity**rows
+        return 1 if meets >= 1 else math.ceil(math.log1p(-recall) / math.log1p(-meets) - 1e-12)
+
+    return next(((bands(r), r) for r in range(hashes, 1, -1) if r * bands(r) <= hashes), (bands(1), 1))
+
+
+def repeated_passages(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99, least_words: int = 32, gap: int = 8, filter_bits: int = 26, crowd: int = 1000, band_sets: int = 1 << 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, n_words, run_words, cluster, n_paragraphs, removed): the paragraphs of repeated passages, places in code points.
 
     A paragraph (of 5 words or more) is repeated if its component, over links with a Jaccard similarity of 5-word shingles of
@@ -199,7 +213,8 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
     first (by id, row, place) are removed.  Besides, every run of WINDOW (50) words or more that stands word by word in more than
     one row of docs is reported to its exact ends, wherever it begins, also where paragraphs tell of the same words (so rows of
     the two kinds may overlap, and what goes is the union of the removed ones); its cluster joins the runs that share windows.  Pairs at the threshold meet in a
-    band with probability 1 - (1 - similarity**rows)**bands (0.994); what meets is decided on the whole shingle sets.
+    band with a probability of at least `recall`, from which and the similarity bands and rows are tuned (5 of 2 at 0.8, which
+    is 0.994); what meets is decided on the whole shingle sets.
 
     Equal paragraphs are one class by an aggregate with partial counts, and each batch sends a class's keys once, so copies do
     not gather.  The shingle sets of the few classes that share a key are computed again in a last pass: a bit field
@@ -207,6 +222,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, bands: int = 5,
     is compared as pairs of blocks of them, each in a task's bounds.  Null and empty texts have none; a
     null id is carried along; other columns are left aside; an empty table gives no row.
     """
+    bands, rows = tuned(similarity, recall)
     held = docs.select(F.col(id_col).cast("long").alias("id"), utf8(F.col(text_col)).alias("data"))
     numbered = held.select(F.monotonically_increasing_id().alias("row"), "id", "data")
     unit = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("begin", pa.int32()), ("stop_word", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("h", pa.int64())])
