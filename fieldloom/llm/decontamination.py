@@ -26,7 +26,8 @@ class Items:
 
     A window of n words holds a whole one of the item's blocks of (n + 1) // 2 words that begin at multiples of that, so
     those blocks are the automaton's words, about a state for each byte of text; what is met is extended in the item's own
-    words.  An item of fewer than n words is a word of the automaton itself.
+    words.  An item of fewer than n words is a word of the automaton itself.  Places of a block with the same words around
+    them, as far as a window reaches, are one place of all their items, so that repetitive items add little to a match.
     """
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
@@ -35,9 +36,8 @@ class Items:
         number = {name: k for k, name in enumerate(self.names)}
         kept: dict[bytes, bytes] = {}
         self.words: list[list[bytes]] = []
-        self.item: list[int] = []
         size = (n + 1) // 2
-        places: dict[bytes, list[tuple[int, int]]] = {}
+        places: dict[bytes, dict[tuple, tuple[int, int, set[int]]]] = {}
         sizes: dict[bytes, int] = {}
         for name, data in items:
             w = [kept.setdefault(x, x) for x in words(data)]
@@ -45,12 +45,22 @@ class Items:
             for at in range(0, len(w) - step + 1, step) if w else ():
                 key = b" " + b" ".join(w[at : at + step]) + b" "
                 sizes[key] = step
-                places.setdefault(key, []).append((len(self.words), at))
+                more = n - step if len(w) >= n else 0
+                around = len(w) >= n, tuple(w[max(0, at - more) : at]), tuple(w[at + step : at + step + more])
+                places.setdefault(key, {}).setdefault(around, (len(self.words), at, set()))[2].add(number[name])
             self.words.append(w)
-            self.item.append(number[name])
+        self.sets: list[tuple[int, ...]] = []
+        known: dict[tuple[int, ...], int] = {}
+
+        def set_number(own: set[int]) -> int:
+            k = known.setdefault(tuple(sorted(own)), len(known))
+            if k == len(self.sets):
+                self.sets.append(tuple(sorted(own)))
+            return k
+
         self.found = ahocorasick.Automaton()
         for key, of in places.items():
-            self.found.add_word(key.decode("latin-1"), (sizes[key], tuple(of)))
+            self.found.add_word(key.decode("latin-1"), (sizes[key], tuple((k, at, set_number(own)) for k, at, own in of.values())))
         if places:
             self.found.make_automaton()
         self.empty = not places
@@ -58,13 +68,13 @@ class Items:
     def scan(self, w: list[bytes], text: str, spaces: np.ndarray | None) -> tuple[set[tuple[int, int]], set[str]]:
         """Ranges of the document's words that windows cover, and the items of those windows."""
         ranges: set[tuple[int, int]] = set()
-        items: set[str] = set()
+        sets: set[int] = set()
         if self.empty:
-            return ranges, items
+            return ranges, set()
         for end, (size, of) in self.found.iter(text):
             stop = int(np.searchsorted(spaces, end))  # the spaces before a match's last one are as many as the words up to it
             start = stop - size
-            for k, at in of:
+            for k, at, of_items in of:
                 own = self.words[k]
                 left = right = 0
                 if len(own) >= self.n:
@@ -76,8 +86,8 @@ class Items:
                     if left + size + right < self.n:
                         continue
                 ranges.add((start - left, stop + right))
-                items.add(self.names[self.item[k]])
-        return ranges, items
+                sets.add(of_items)
+        return ranges, {self.names[k] for own in sets for k in self.sets[own]}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:

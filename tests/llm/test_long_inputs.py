@@ -42,3 +42,26 @@ def test_bands_follow_from_similarity_and_recall():
             bands, rows = tuned(similarity, recall)
             assert 1 - (1 - similarity**rows) ** bands >= recall > 1 - (1 - similarity**rows) ** (bands - 1)
     assert tuned(1.0, 0.99)[0] == 1
+
+
+def test_repetitive_items_are_few_places():
+    """2,000 times one word is a handful of places, and the windows found are those of brute force."""
+    from fieldloom.llm.decontamination import Items, words
+
+    items = [("a", b"a " * 2000), ("b", b"x " + b"a " * 40 + b"y"), ("c", b"a a a"), ("d", b"q " * 4 + b"a " * 6), ("e", b"")]
+    at = Items(items, 10)
+    assert max(len(of) for _, of in at.found.values()) < 16
+    for doc in (b"a " * 30, b"z q q q q a a a a a a z", b"x " + b"a " * 9, b"y a a a y", b"a a", b"a " * 9 + b"y q"):
+        w = words(doc)
+        text = b" ".join([b"", *w, b""])
+        ranges, names = at.scan(w, text.decode("latin-1"), np.flatnonzero(np.frombuffer(text, np.uint8) == 32))
+        hit, found = set(), set()
+        for name, data in items:
+            own = words(data)
+            size = min(10, len(own))
+            windows = {tuple(own[k : k + size]) for k in range(len(own) - size + 1)} if own else set()
+            for k in range(len(w) - size + 1) if own else ():
+                if tuple(w[k : k + size]) in windows:
+                    hit.update(range(k, k + size))
+                    found.add(name)
+        assert ({k for a, b in ranges for k in range(a, b)}, names) == (hit, found), doc
