@@ -77,12 +77,15 @@ def all_to_all(df: DataFrame, routes: DataFrame, fields: list[str]) -> DataFrame
     """df updated by sub-blocks moved along routes.
 
     routes: rows of (from_bi, from_bj, from_bk, i0, i1, j0, j1, k0, k1, to_bi, to_bj, to_bk, di, dj, dk): cells i0..i1, j0..j1, k0..k1 of
-    a block go to another, shifted by di, dj, dk.  Cells that nothing reaches keep their values.
+    a block go to another, shifted by di, dj, dk.  Cells that nothing reaches keep their values;
+    where several routes reach a cell, the one from the greatest block (then the greatest cell in it) holds.
     """
     inside = reduce(lambda a, b: a & b, (F.col(d).between(F.col(f"{d}0"), F.col(f"{d}1")) for d in "ijk"))
     same = reduce(lambda a, b: a & b, (F.col(f"b{d}") == F.col(f"from_b{d}") for d in "ijk"))
     moved = df.join(routes, same).where(inside).select(
-        *(F.col(f"to_b{d}").alias(f"b{d}") for d in "ijk"), *((F.col(d) + F.col(f"d{d}")).cast(df.schema[d].dataType).alias(d) for d in "ijk"), F.struct(*fields).alias("__got")
+        *(F.col(f"to_b{d}").alias(f"b{d}") for d in "ijk"), *((F.col(d) + F.col(f"d{d}")).cast(df.schema[d].dataType).alias(d) for d in "ijk"), F.struct(*fields).alias("__got"),
+        F.struct(*(f"from_b{d}" for d in "ijk"), *(F.col(d).alias(f"from_{d}") for d in "ijk")).alias("__from"),
     )
+    moved = moved.groupBy(*_KEYS).agg(F.max_by("__got", "__from").alias("__got"))
     joined = df.join(moved, _KEYS, "left")
     return joined.select(*(F.when(F.col("__got").isNotNull(), F.col(f"__got.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns))
