@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import columns_of, table, written
+from fieldloom.llm.common import columns_of, drop_written, table, written
 from fieldloom.llm.decontamination import contaminated
 from fieldloom.llm.language import UNKNOWN, learn, predict
 from fieldloom.llm.packing import pack_documents
@@ -59,10 +59,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts hold none and stay, as do repeated rows without a window; an empty table stays empty.
     """
-    rows, row = _numbered(docs)
     items = table(spark, sf_dir, "benchmark").withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
-    found = contaminated(rows, items, id_col=row).where("n_hit > 0").select(row)
-    return rows.join(found, row, "left_anti").select(*columns_of(docs))
+    whole = F.struct(*columns_of(docs))  # the rows pass through the scan: neither a copy of the table nor a join
+    return contaminated(docs, items, keep=whole).where("n_hit = 0").select("kept.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,7 +89,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of sf_dir; between stages the documents are a table in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

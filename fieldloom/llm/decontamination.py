@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm.common import utf8
 
@@ -90,7 +91,7 @@ class Items:
         return ranges, {self.names[k] for own in sets for k in self.sets[own]}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20, keep: Column | None = None) -> DataFrame:
     """One row for each row of docs: id, n_words, n_hit, items array<string> (those with occurring windows), hits array<struct<start,end>>.
 
     hits are the merged ranges of hit words in the original text, as UTF-8 byte offsets with exclusive ends, n_hit their
@@ -99,7 +100,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str
     automata, which a task builds one after the other for every 64 MB of its texts, so that what it holds is bounded however large
     the benchmark is; the plan is the same one pass without a shuffle.  The items' own text is broadcast, in blocks.  Null
     and empty texts and items have no words; items with the same id count as one; items with a null id are ignored;
-    repeated rows stay apart; other columns are left aside.
+    repeated rows stay apart; other columns are left aside.  Where keep is given, that column takes the id's place, as kept.
     """
     sc = docs.sparkSession.sparkContext
     items = benchmark.where(F.col(f"`{item_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("string").alias("item"), utf8(F.col(f"`{item_text}`")).alias("data"))
@@ -135,15 +136,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str
             for batch in some:
                 rows = [_told(data.as_py(), own) for data, own in zip(batch.column(1), found[place : place + batch.num_rows], strict=True)]
                 place += batch.num_rows
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], _OUT.field(k + 1).type) for k in range(4))], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], _OUT.field(k).type) for k in range(4))], names=["id", *_OUT.names])
 
-    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), utf8(F.col(f"`{text_col}`")).alias("data"))
-    return ids.mapInArrow(scan, "id long, n_words long, n_hit long, items array<string>, hits array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
+    name = id_col if keep is None else "kept"
+    ids = docs.select((F.col(f"`{id_col}`").cast("long") if keep is None else keep).alias("id"), utf8(F.col(f"`{text_col}`")).alias("data"))
+    kinds = T.StructType([ids.schema["id"], *_KINDS])
+    return ids.mapInArrow(scan, kinds).withColumnRenamed("id", name)
 
 
 #: The last automaton that a Python worker built, by its key.
 _BUILT: dict = {}
-_OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+_OUT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+_HIT = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_KINDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", T.ArrayType(_HIT))]
 
 
 def _some(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
