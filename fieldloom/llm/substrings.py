@@ -426,8 +426,9 @@ def _exact_runs(numbered: DataFrame, filter_bits: int, crowd: int) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for own, ws in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                begin, start, end, picks, stays = _windows_of(ws.as_py())
+            every, cuts = _windows_of(batch.column(1))
+            for own, low, high in zip(batch.column(0).to_pylist(), cuts, cuts[1:], strict=False):
+                begin, start, end, picks, stays = (x[low:high] for x in every)
                 bounds = [0, *(np.flatnonzero(np.diff(begin) >= WINDOW) + 1), len(begin)]
                 for a, b in zip(bounds, bounds[1:], strict=False):
                     among = np.unique(picks[a:b])
@@ -487,15 +488,32 @@ def _marked(part: pa.RecordBatch, schema: pa.Schema) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([told if f.name == "marks" else own.column(f.name) for f in schema], schema=schema)
 
 
-def _windows_of(contexts: list[dict]) -> tuple[np.ndarray, ...]:
-    """(begin, start, end, pick, whether it stays) of the shared windows of a row's contexts, which come in order."""
-    out: list[tuple] = []
-    for c in contexts:
-        marks = np.frombuffer(c["marks"], np.uint8)
-        on = np.flatnonzero(marks)
-        start, end = _unpacked(c["start"], c["starts"], len(marks)), _unpacked(c["end"], c["ends"], len(marks))
-        out.append((c["begin"] + on, start[on], end[on], np.full(len(on), c["pick"], np.int64), marks[on] == 2))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def _windows_of(contexts: pa.ListArray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(begin, start, end, pick, whether it stays) of the shared windows of all rows' contexts, which come in order, and where each row's begin."""
+    flat = contexts.flatten()
+    told = {f.name: flat.field(k) for k, f in enumerate(flat.type)}
+    marks = told["marks"].to_pylist()
+    n = np.array([len(x) for x in marks], np.int64)
+    marks = np.frombuffer(b"".join(marks), np.uint8)
+    on = np.flatnonzero(marks)
+    opens = np.cumsum(n) - n  # each context's first window
+    owner = np.repeat(np.arange(len(n)), n)
+    start, end = (_all_unpacked(told[first].to_numpy(zero_copy_only=False), told[steps].to_pylist(), n, opens, owner)[on] for first, steps in (("start", "starts"), ("end", "ends")))
+    begin = told["begin"].to_numpy(zero_copy_only=False).astype(np.int64)[owner[on]] + on - opens[owner[on]]
+    rows = np.concatenate([[0], np.cumsum(contexts.value_lengths().to_numpy(zero_copy_only=False))])
+    cuts = np.searchsorted(on, np.append(opens, len(marks))[rows])
+    return (begin, start, end, told["pick"].to_numpy(zero_copy_only=False)[owner[on]], marks[on] == 2), cuts
+
+
+def _all_unpacked(first: np.ndarray, steps: list[bytes], n: np.ndarray, opens: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """_unpacked() of many at once."""
+    out = np.zeros(len(owner), np.int64)
+    width = np.array([len(x) for x in steps], np.int64) // np.maximum(n - 1, 1)
+    later = np.arange(len(owner)) != opens[owner]
+    for w in (1, 2, 4):
+        out[later & (width == w)[owner]] = np.frombuffer(b"".join(x for x, k in zip(steps, width.tolist(), strict=True) if k == w), f"<u{w}")
+    out = np.cumsum(out)
+    return out - (out[opens] - first)[owner]
 
 
 def _cut(begin: np.ndarray, start: np.ndarray, end: np.ndarray, stays: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
