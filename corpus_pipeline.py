@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs, "text", "lang", F.col("doc_id"))
     if not model.languages:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    whole = F.struct(*columns_of(docs)).alias("doc")  # in one column, no name clashes with the model's
-    found = written(predict(docs, model, keep=[whole]), "predicted").where(F.col("lang_pred") != UNKNOWN)
+    # in one column, no name clashes with the model's
+    found = written(predict(docs, model, whole="doc"), "predicted").where(F.col("lang_pred") != UNKNOWN)
     usual = found.where(F.col("doc.lang").isNotNull()).agg(F.percentile_approx("bits_per_byte", 0.99)).first()[0]
     if usual is not None:
         found = found.where(F.col("bits_per_byte") <= FAR * usual + START_BITS / F.octet_length("doc.text"))
@@ -60,8 +60,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts hold none and stay, as do repeated rows without a window; an empty table stays empty.
     """
     items = table(spark, sf_dir, "benchmark").withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
-    whole = F.struct(*columns_of(docs))  # the rows pass through the scan: neither a copy of the table nor a join
-    return contaminated(docs, items, keep=whole).where("n_hit = 0").select("kept.*")
+    # the rows pass through the scan: neither a copy of the table nor a join
+    return contaminated(docs, items, whole=True).where("n_hit = 0").select("kept.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

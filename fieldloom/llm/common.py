@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,33 @@ def in_blocks(rows: DataFrame, sizes: DataFrame, member: str, most: int) -> Data
     return rows.join(hot, "key", "left").select(F.explode(keys).alias("key"), *rest)
 
 
+#: What operators keep in a Python worker from task to task, by their names.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by_worker(name: str) -> dict:
+    """A cache that lasts from task to task of an operator, until the worker runs another's (see in_parts)."""
+    return _KEPT.setdefault(name, {})
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], own: str = "", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A task's rows in parts of about `most` bytes (a larger row alone), so that what is made of them is never that of a whole batch.
+
+    Spark reuses Python workers: all caches but that of the name own go first, and at the end freed Arrow memory goes back to the system.
+    """
+    for name, cache in _KEPT.items():
+        if name != own:
+            cache.clear()
+    try:
+        for batch in batches:
+            rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+            for low in range(0, batch.num_rows, rows):
+                yield batch.slice(low, rows)
+            del batch
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def columns_of(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
     """All columns, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]

@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import utf8
+from fieldloom.llm.common import columns_of, in_parts, kept_by_worker, utf8
 
 #: A-Z become lower case; what is left of ASCII besides digits and letters separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -91,7 +92,7 @@ class Items:
         return ranges, {self.names[k] for own in sets for k in self.sets[own]}
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20, keep: Column | None = None) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20, whole: bool = False) -> DataFrame:
     """One row for each row of docs: id, n_words, n_hit, items array<string> (those with occurring windows), hits array<struct<start,end>>.
 
     hits are the merged ranges of hit words in the original text, as UTF-8 byte offsets with exclusive ends, n_hit their
@@ -100,7 +101,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str
     automata, which a task builds one after the other for every 64 MB of its texts, so that what it holds is bounded however large
     the benchmark is; the plan is the same one pass without a shuffle.  The items' own text is broadcast, in blocks.  Null
     and empty texts and items have no words; items with the same id count as one; items with a null id are ignored;
-    repeated rows stay apart; other columns are left aside.  Where keep is given, that column takes the id's place, as kept.
+    repeated rows stay apart; other columns are left aside.  If whole, a struct of all
+    columns takes the id's place, as kept, and goes to Python alone: the text is read in it.
     """
     sc = docs.sparkSession.sparkContext
     items = benchmark.where(F.col(f"`{item_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("string").alias("item"), utf8(F.col(f"`{item_text}`")).alias("data"))
@@ -114,19 +116,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str
     sent.append(sc.broadcast(block))
     key = uuid.uuid4().hex
 
-    def automaton(k: int) -> Items:
-        if (key, k) not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key, k] = Items(sent[k].value, n)
-        return _BUILT[key, k]
+    def texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+        return (x.as_py() or b"" for x in (batch.column(0).field(place).cast(pa.binary()) if whole else batch.column(1)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = in_parts(batches, "automata")
         for some in _some(batches, 64 << 20) if len(sent) > 1 else ([batch] for batch in batches):
             found: list[list[tuple[set, set]]] = [[] for batch in some for _ in range(batch.num_rows)]
             for k in range(len(sent)):
-                at = automaton(k)
-                for own, data in zip(found, (x for batch in some for x in batch.column(1)), strict=True):
-                    w = words(data.as_py())
+                at = _automaton(key, k, sent[k], n)
+                for own, data in zip(found, (x for batch in some for x in texts(batch)), strict=True):
+                    w = words(data)
                     if w and not at.empty:
                         text = b" ".join([b"", *w, b""])
                         ranges, names = at.scan(w, text.decode("latin-1"), np.flatnonzero(np.frombuffer(text, np.uint8) == 32))
@@ -134,24 +134,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str
                             own.append((ranges, names))
             place = 0
             for batch in some:
-                rows = [_told(data.as_py(), own) for data, own in zip(batch.column(1), found[place : place + batch.num_rows], strict=True)]
+                rows = [_told(data, own) for data, own in zip(texts(batch), found[place : place + batch.num_rows], strict=True)]
                 place += batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], _OUT.field(k).type) for k in range(4))], names=["id", *_OUT.names])
 
-    name = id_col if keep is None else "kept"
-    ids = docs.select((F.col(f"`{id_col}`").cast("long") if keep is None else keep).alias("id"), utf8(F.col(f"`{text_col}`")).alias("data"))
+    name = "kept" if whole else id_col
+    if whole:
+        ids, place = docs.select(F.struct(*columns_of(docs)).alias("id")), docs.columns.index(text_col)
+    else:
+        ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), utf8(F.col(f"`{text_col}`")).alias("data"))
     kinds = T.StructType([ids.schema["id"], *_KINDS])
     return ids.mapInArrow(scan, kinds).withColumnRenamed("id", name)
 
 
 #: The last automaton that a Python worker built, by its key.
-_BUILT: dict = {}
+_BUILT = kept_by_worker("automata")
 _OUT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 _HIT = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _KINDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", T.ArrayType(_HIT))]
 
 
+def _automaton(key: str, k: int, block: Broadcast, n: int) -> Items:
+    if (key, k) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key, k] = Items(block.value, n)
+    return _BUILT[key, k]
+
+
 def _some(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
     """Lists of batches of about `most` bytes."""
     held: list[pa.RecordBatch] = []

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.common import columns_of, utf8
+from fieldloom.llm.common import columns_of, in_parts, utf8
 
 ORDER = 3
 _SLAB = 1 << 18  # bytes that are looked up at a time
@@ -38,7 +38,7 @@ def gram_counts(docs: DataFrame, label: str, text: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
+        for batch in in_parts(batches):
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = _grams(data, letters)
                 if len(x) > ORDER:
@@ -241,23 +241,29 @@ _MODELS: dict = {}
 UNKNOWN = "und"
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[Column] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[Column] | None = None, whole: str | None = None) -> DataFrame:
     """The kept columns (if None all but those named like the new ones) and lang_pred, score (posterior under an even prior), bits_per_byte of each row.
 
     A null text, or one without a letter, is `und` with score 0; so is every text if no language was learned.  Repeated rows
-    stay; only the text is read for the prediction.
+    stay; only the text is read for the prediction.  Where whole is given, a struct of all columns of that name is kept, and goes
+    to Python alone: the text is read in it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample
     out = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
-    held = docs.select(*(keep if keep is not None else columns_of(docs, without=tuple(out.names))), F.col(text).cast("binary").alias("the text"))
-    schema = held.schema.fields[:-1]
+    if whole is None:
+        held = docs.select(*(keep if keep is not None else columns_of(docs, without=tuple(out.names))), F.col(text).cast("binary").alias("the text"))
+        schema = held.schema.fields[:-1]
+    else:
+        held = docs.select(F.struct(*columns_of(docs)).alias(whole))
+        schema, place = held.schema.fields, docs.columns.index(text)
     plain = [f"c{k}" for k in range(len(schema))]  # names that the way to Python and back can take
     kinds = T.StructType([T.StructField(name, f.dataType) for name, f in zip(plain, schema, strict=True)] + [T.StructField(name, kind) for name, kind in zip(out.names, (T.StringType(), T.DoubleType(), T.DoubleType()), strict=True)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
-            texts = [x if x is not None and m.languages and _lettered(x) else b"" for x in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in in_parts(batches):
+            data = batch.column(batch.num_columns - 1) if whole is None else batch.column(0).field(place).cast(pa.binary())
+            texts = [x if x is not None and m.languages and _lettered(x) else b"" for x in data.to_pylist()]
             bits = m.code_lengths(texts)
             rows = []
             for data, b in zip(texts, bits, strict=True):
@@ -267,9 +273,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[Column
                 best = int(b.argmin())
                 rows.append((m.languages[best], float(1 / np.exp2(np.maximum(b[best] - b, -1000)).sum()), float(b[best] / len(data))))
             extra = [pa.array([r[k] for r in rows], out.field(k).type) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[f.name for f in kinds])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(schema)], *extra], names=[f.name for f in kinds])
 
-    return held.toDF(*plain, "text").mapInArrow(score, kinds).toDF(*(f.name for f in schema), *out.names)
+    return held.toDF(*plain, *(["text"] if whole is None else [])).mapInArrow(score, kinds).toDF(*(f.name for f in schema), *out.names)
 
 
 def _lettered(data: bytes) -> bool:

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.common import in_parts, kept_by_worker
+
 #: A space between white space, or at the end after white space: only there may a token cross from one chunk to the next.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
 #: The pieces in which a byte-level vocabulary of this pattern is applied, for chunks of the letters below only.
@@ -100,7 +102,7 @@ class _Later(dict):
         return ids
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = kept_by_worker("encoders")
 
 
 def encoder(path: str) -> Encoder:
@@ -225,7 +227,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         packer = _Packer(TaskContext.get().partitionId() << 33, size, end_id, penalties, step)
-        for batch in batches:
+        for batch in in_parts(batches, "encoders"):
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 packer.add(doc_id.as_py(), enc.encode(text.as_py() or ""))
                 if packer.held >= block_tokens:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.automaton import Dfa, compile_rules
-from fieldloom.llm.common import utf8
+from fieldloom.llm.common import in_parts, kept_by_worker, utf8
 
 
 @dataclass(frozen=True)
@@ -88,7 +88,7 @@ class Scanner:
         return sorted(found)
 
 
-_SCANNERS: dict[tuple[Rule, ...], Scanner] = {}
+_SCANNERS: dict[tuple[Rule, ...], Scanner] = kept_by_worker("scanners")
 
 
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
@@ -142,7 +142,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, text_col
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = scanner(rules)
-        for batch in batches:
+        for batch in in_parts(batches, "scanners"):
             at = place
             texts = [None if x is None else _redacted(x, found) for x in batch.column(at).cast(pa.binary()).to_pylist()]
             columns = batch.columns

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import connected_components, dealt_anew, in_blocks, utf8, written
+from fieldloom.llm.common import connected_components, dealt_anew, in_blocks, in_parts, utf8, written
 
 _WORDS_AT_ONCE = 1 << 14
 
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     out = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=out)
 
