@@ -43,6 +43,36 @@ def hashes(word: bytes) -> list[int]:
     return out
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+_CRC = _crc_table()
+#: zlib's state after the letter that stands before a whole word or an end, and by n the difference that such a start makes to n bytes.
+_WHOLE, _ENDING = zlib.crc32(b"w"), zlib.crc32(b"e")
+_BEGUN = {n: zlib.crc32(bytes(n), zlib.crc32(b"%d" % n)) ^ zlib.crc32(bytes(n)) for n in STARTS}
+
+
+def hashes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes() of each word, one after the other, how many each has); words have no zero byte."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    most = max(STARTS)
+    columns = np.zeros((len(words), 2 + len(STARTS)), np.int64)
+    columns[:, 0] = np.fromiter(map(zlib.crc32, words, itertools.repeat(_WHOLE)), np.int64, len(words))
+    letters = np.array(words, f"S{most}").view(np.uint8).reshape(len(words), most)
+    state = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for n in range(1, most + 1):  # all words at once, a letter at a time; one state serves all lengths, as the hash is linear
+        state = _CRC[(state ^ letters[:, n - 1]) & 255] ^ state >> 8
+        if n in _BEGUN:
+            columns[:, 1 + STARTS.index(n)] = ~state ^ np.uint32(_BEGUN[n])
+    columns[:, -1] = np.fromiter(map(zlib.crc32, [w[-END:] for w in words], itertools.repeat(_ENDING)), np.int64, len(words))
+    has = np.column_stack([np.ones(len(words), bool), *(sizes > n for n in STARTS), sizes > END])
+    return columns[has], has.sum(1)
+
+
 def slabs(data: bytes) -> Iterator[list[bytes]]:
     """A lower-case text's words, about _SLAB bytes of it at a time; words are never cut."""
     low = 0
@@ -106,17 +136,16 @@ class Network:
 
     def features(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(owners, rows of vectors) of the words' known hashes."""
-        each = [hashes(w) for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(h) for h in each])
-        code = np.fromiter((h for hs in each for h in hs), np.int64, len(owner))
-        if not len(self.known):
+        if not len(self.known) or not words:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        code, n = hashes_of(words)
+        owner = np.repeat(np.arange(len(words)), n)
         at = np.minimum(np.searchsorted(self.known, code), len(self.known) - 1)
         hit = self.known[at] == code
         return owner[hit], at[hit]
 
-    def shares(self, words: list[bytes]) -> np.ndarray:
-        """What each word adds to each filter in each of its places, and to each language's odds."""
+    def shares(self, words: list[bytes]) -> list[np.ndarray]:
+        """What each word adds to the filters of each width in each of their places, an array for each place, and last to each language's odds."""
         owner, row = self.features(words)
         x = np.zeros((len(words), self.vectors.shape[1]), np.float32)
         spoken = np.zeros((len(words), len(self.languages)), np.float32)
@@ -125,18 +154,23 @@ class Network:
             x[owner[first]] = np.add.reduceat(self.vectors[row], first)
             if self.languages:
                 spoken[owner[first]] = np.add.reduceat(self.odds[row], first)
-        return np.concatenate([*(x @ part for f, w in zip(self.filters, WIDTHS, strict=True) for part in np.split(f, w)), spoken], axis=1)
+        return [*self.placed(x), spoken]
+
+    def placed(self, x: np.ndarray) -> list[np.ndarray]:
+        return [x @ part for f, w in zip(self.filters, WIDTHS, strict=True) for part in np.split(f, w)]
 
-    def greatest(self, shares: np.ndarray, words: np.ndarray, starts: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    def greatest(self, shares: list[np.ndarray], words: np.ndarray, starts: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Each filter's greatest answer in each run of words (from starts on; each ends in _PAD empty words), and its place if asked for."""
-        out, places, low = [], [], 0
+        out, places, first = [], [], 0
         ends = np.append(starts[1:], len(words)) - _PAD
         for f, w in zip(self.filters, WIDTHS, strict=True):
-            n = f.shape[1]
-            answers = sum(shares[words[j : len(words) - _PAD + j], low + j * n : low + (j + 1) * n] for j in range(w))
-            low += w * n
-            bounds = np.column_stack([starts, np.minimum(ends, len(answers))]).ravel()
-            out.append(np.maximum.reduceat(np.concatenate([answers, np.full((1, n), -np.inf, np.float32)]), bounds, axis=0)[::2])
+            answers = np.full((len(words) - _PAD + 1, f.shape[1]), -np.inf, np.float32)  # the last row is no window's
+            np.take(shares[first], words[: len(words) - _PAD], axis=0, out=answers[:-1], mode="clip")
+            for j in range(1, w):
+                answers[:-1] += shares[first + j].take(words[j : len(words) - _PAD + j], axis=0)
+            first += w
+            bounds = np.column_stack([starts, ends]).ravel()
+            out.append(np.maximum.reduceat(answers, bounds, axis=0)[::2])
             if where:
                 places.append(np.array([a + answers[a:b].argmax(0) for a, b in zip(starts, ends, strict=True)]))
         return np.concatenate(out, axis=1), np.concatenate(places, axis=1) if where else None
@@ -155,12 +189,13 @@ class Reader:
 
     def __init__(self, network: Network):
         self.network = network
-        self.empty = network.shares([b""]) * 0
+        self.empty = [x * 0 for x in network.shares([b""])]
         self._forget()
 
     def _forget(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.rows = [self.empty]
+        self.rows = self.empty
+        self.fresh: list[list[np.ndarray]] = []  # of words met since the rows were joined
 
     def places(self, words: list[bytes]) -> np.ndarray | None:
         """Rows of the words' shares; None if there is no room to remember them beside the others."""
@@ -171,7 +206,7 @@ class Reader:
             if len(self.at) + len(fresh) > _HELD and self.at:
                 return None
             self.at.update(zip(fresh, range(len(self.at) + 1, len(self.at) + 1 + len(fresh)), strict=True))
-            self.rows.append(self.network.shares(fresh))
+            self.fresh.append(self.network.shares(fresh))
             ids[unmet] = [self.at[words[k]] for k in unmet]
         return ids
 
@@ -187,7 +222,6 @@ class Reader:
 
     def _read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         total = sum(f.shape[1] for f in self.network.filters)
-        places = sum(f.shape[1] * w for f, w in zip(self.network.filters, WIDTHS, strict=True))
         out = np.full((len(texts), total), -np.inf, np.float32)
         odds = np.zeros((len(texts), len(self.network.languages)))
         runs: list[np.ndarray] = []
@@ -199,20 +233,45 @@ class Reader:
             nonlocal held
             if runs:
                 lengths = np.array([len(r) for r in runs])
-                if len(self.rows) > 1:
-                    self.rows = [np.concatenate(self.rows)]
-                got, _ = self.network.greatest(self.rows[0], np.concatenate(runs), np.cumsum(lengths) - lengths)
+                if self.fresh:
+                    self.rows, self.fresh = [np.concatenate(x) for x in zip(self.rows, *self.fresh, strict=True)], []
+                words = np.concatenate(runs)
+                got, _ = self.network.greatest(self.rows[:-1], words, np.cumsum(lengths) - lengths)
                 np.maximum.at(out, owners, got)
                 if odds.shape[1]:
                     ends = np.cumsum(lengths)
                     bounds = np.column_stack([ends - lengths + fresh, ends]).ravel()
-                    spoken = np.concatenate([self.rows[0][np.concatenate(runs), places:], np.zeros((1, odds.shape[1]), np.float32)])
+                    spoken = np.concatenate([self.rows[-1].take(words, axis=0), np.zeros((1, odds.shape[1]), np.float32)])
                     np.add.at(odds, owners, np.add.reduceat(spoken, bounds, axis=0)[::2])
             runs.clear()
             fresh.clear()
             owners.clear()
             held = 0
 
+        waiting: list[tuple[int, list[bytes], bool, int]] = []  # owner, words, whether the text ends, how many of them were told
+        words_waiting = 0
+
+        def place() -> None:
+            nonlocal held, words_waiting
+            joined = list(itertools.chain.from_iterable(words for _, words, _, _ in waiting))
+            ids = self.places(joined)
+            if ids is None:
+                flush()
+                self._forget()
+                ids = self.places(joined)
+            low = 0
+            for k, words, last, told in waiting:
+                own = ids[low : low + len(words)]
+                low += len(words)
+                runs.append((np.concatenate([own, pad]) if len(own) else empty) if last else own)
+                fresh.append(told)
+                owners.append(k)
+                held += len(runs[-1])
+                if held >= _HELD:
+                    flush()
+            waiting.clear()
+            words_waiting = 0
+
         for k, data in enumerate(texts):
             before: list[bytes] = []
             told = 0
@@ -221,18 +280,12 @@ class Reader:
                 before = words[-_PAD:]
                 if not last and len(words) <= _PAD:
                     continue
-                ids = self.places(words)
-                if ids is None:
-                    flush()
-                    self._forget()
-                    ids = self.places(words)
-                runs.append((np.concatenate([ids, pad]) if len(ids) else empty) if last else ids)
-                fresh.append(told)
-                owners.append(k)
+                waiting.append((k, words, last, told))
+                words_waiting += len(words)
                 told = len(before)
-                held += len(runs[-1])
-                if held >= _HELD:
-                    flush()
+                if words_waiting >= _HELD >> 4:
+                    place()
+        place()
         flush()
         return out, odds
 
@@ -278,10 +331,9 @@ def _numbered_words(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
 def _hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, how many of the texts hold each)."""
     words, runs = _numbered_words(texts)
-    each = [hashes(w) for w in words[1:]]
-    sizes = np.array([0, *map(len, each)], np.int64)
-    codes, feature = np.unique(np.fromiter((h for hs in each for h in hs), np.int64, int(sizes.sum())), return_inverse=True)
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    each, sizes = hashes_of(words[1:])
+    codes, feature = np.unique(each, return_inverse=True)
+    bounds = np.concatenate([[0, 0], np.cumsum(sizes)])  # the empty word has none
     held, seen = np.zeros(len(codes), np.int64), np.zeros(len(words), bool)
     for r in runs:
         seen[r] = True
@@ -291,7 +343,7 @@ def _hash_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, held
 
 
-def _best(net: Network, shares: np.ndarray, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _best(net: Network, shares: list[np.ndarray], runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Each filter's greatest answer in each text and the words of that window, a long text a piece at a time."""
     total = len(net.out)
     pooled, words = np.full((len(runs), total), -np.inf, np.float32), np.zeros((len(runs), total, _PAD + 1), np.int64)
@@ -341,8 +393,7 @@ def fit(net: Network, runs: list[np.ndarray], bounds: np.ndarray, feature: np.nd
             if len(owners):
                 first = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
                 x[owners[first]] = np.add.reduceat(net.vectors[rows], first)
-            shares = np.concatenate([x @ part for f, w in zip(net.filters, WIDTHS, strict=True) for part in np.split(f, w)], axis=1)
-            pooled, windows = _best(net, shares, [place[runs[k]] for k in own])
+            pooled, windows = _best(net, net.placed(x), [place[runs[k]] for k in own])
             active = pooled + np.concatenate(net.bias)
             hidden = np.maximum(active, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.offset, -30, 30)))
@@ -418,7 +469,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", lang:
         return net
     shards = max(1, -(-sum(counts) // shard_rows))
     shard = F.pmod(F.xxhash64("h", F.lit("shard")), F.lit(shards))
-    texts = whole.select("data", F.xxhash64("data").alias("h")).join(marked, "h").groupBy("h").agg(F.first("data").alias("data"), F.first("mark").alias("mark"))
+    texts = _maybe_in(whole.select("data", F.xxhash64("data").alias("h")), marked).groupBy("h").agg(F.first("data").alias("data")).join(marked, "h")
     texts = texts.withColumn("shard", F.when(apart, -1 - shard).otherwise(shard)).repartition(2 * shards, "shard").sortWithinPartitions("shard", "h")
     texts = written(texts.select("shard", "mark", "data"), "texts")
     drop_written(marked)
@@ -436,6 +487,16 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", lang:
     return net
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """rows without most of those whose h is not in wanted's, so that hardly any other texts are shuffled for a join that tells exactly.
+
+    Every row of wanted's stays.  The bits of all wanted hashes, 64 in a row, are broadcast: at most 2**(bits - 6) rows, however many hashes there are.
+    """
+    word, bit = F.col("h").bitwiseAND((1 << bits) - 64), F.col("h").bitwiseAND(63).cast("int")
+    field = wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("field"))
+    return rows.join(F.broadcast(field), (word == F.col("word")) & (F.bit_get("field", bit) == 1), "left_semi")
+
+
 def _hash_counts(texts: DataFrame) -> DataFrame:
     """(code, n): how many texts hold each hash, counted in each task first."""
 
