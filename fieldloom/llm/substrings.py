@@ -268,8 +268,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, recall: float =
     table = written(numbered.mapInArrow(units, "row long, id long, begin int, stop_word int, start long, end long, h long"), "paragraphs")
     met = held.select("data").mapInArrow(keys, "key long, h long").repartition("key").sortWithinPartitions("key", "h")
     met = written(met.mapInArrow(shared, "key long, h long"), "met")
-    field = _bit_field(met.select("h"), filter_bits)
-    sent = docs.sparkSession.sparkContext.broadcast(field)
+    sent = docs.sparkSession.sparkContext.broadcast(_bit_field(met.select("h"), filter_bits))
     sets = pa.schema([("h", pa.int64()), ("shingles", pa.binary())])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +296,8 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, recall: float =
 
     parted = in_blocks(met, met.groupBy("key").agg(F.count("*").alias("n")), "h", band_sets)
     pairs = parted.join(dealt_anew(texts, "h"), "h").select("key", "h", "shingles").repartition("key").sortWithinPartitions("key", "h").mapInArrow(verify, "u long, v long")
-    components = connected_components(pairs)
+    components = connected_components(pairs)  # written, so the field is not needed any more
+    sent.destroy()
     place = F.struct("id", "row", "begin")
     classes = table.groupBy("h").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count("*").alias("n"), F.min(place).alias("first"))
     labelled = classes.join(components.withColumnRenamed("node", "h"), "h", "left").withColumn("cluster", F.coalesce("component", "h"))
@@ -394,6 +394,7 @@ def _exact_runs(numbered: DataFrame, filter_bits: int, crowd: int) -> DataFrame:
                 ], schema=context)
 
     table = written(numbered.mapInArrow(contexts, _CONTEXT), "contexts")
+    sent.destroy()
     marked = _arrow(_MARKED)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,11 +535,15 @@ def _cut(begin: np.ndarray, start: np.ndarray, end: np.ndarray, stays: np.ndarra
 
 
 def _bit_field(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bytes with a bit set for each hash: at most 2**(bits - 6) words of it come to the driver, however many hashes there are."""
+    """Bytes with a bit set for each hash: at most 2**(bits - 6) words of it come to the driver, however many hashes there are.
+
+    They come as Arrow batches of 16 bytes a word; as rows, each would be objects in the JVM and in Python.
+    """
     place = F.col("h").bitwiseAND((1 << bits) - 1)
-    words = hashes.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = hashes.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     field = np.zeros(1 << bits - 6, np.int64)
-    field[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    for batch in words.to_batches():
+        field[batch.column("w").to_numpy()] = batch.column("b").to_numpy()
     return field.view(np.uint8)
 
 
